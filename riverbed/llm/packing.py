@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import STEP_BYTES, groups, table
 
 WINDOW = 2048
 END_ID = 1
@@ -20,17 +20,18 @@ END_ID = 1
 GROUP_PIECES = 16_384
 GROUP_TOKENS = 1 << 23
 #: Different words whose ids a worker keeps at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 #: Texts of these characters only are split by FAST, which then cuts as the vocabulary's own pattern does.
 FOREIGN = re.compile("[^\t\n\x20-\x7eÀ-ſ]")
 FAST = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 BLANKS = ("  ", " \n", "\n ", " \t", "\t ")
 
 
-class WordIds(dict):
-    """Token ids, as little-endian 32-bit numbers, of what stands between two spaces, with the space before it.
+class WordIds:
+    """Token ids, as little-endian 32-bit numbers, of texts.
 
-    Byte-level BPE never joins across such a space, so the ids of a text are those of its parts one after another.
+    Byte-level BPE never joins across a single space, so the ids of a text are those of what stands between two spaces,
+    with the space before it, one after another. They are kept by part, and what is new in some texts is encoded at once.
     """
 
     def __init__(self, vocabulary: str):
@@ -40,35 +41,46 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.pieces: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def split(self, text: str) -> bytes:
-        out = []
-        for w in FAST.findall(text):
-            if (ids := self.pieces.get(w)) is None:
-                if len(self.pieces) >= CACHE_WORDS:
-                    self.pieces.clear()
-                ids = self.pieces[w] = self.whole(w)
-            out.append(ids)
-        return b"".join(out)
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.split(" " + part)
-        if len(part) <= 32:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[part] = ids
-        return ids
+        return self.encode([text])[0]
+
+    def _learn(self, pieces: set[str]) -> None:
+        new = list(pieces.difference(self.pieces))
+        for i in range(0, len(new), 4096):
+            self.pieces.update(zip(new[i : i + 4096], self.encode(new[i : i + 4096]), strict=True))
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """For texts of some millions of characters together, or of one longer text."""
+        if len(self.pieces) + len(self.parts) > 2 * CACHE_WORDS:
+            self.pieces.clear()
+            self.parts.clear()
+        out: list[bytes] = [b""] * len(texts)
+        firsts, parts, odd = {}, {}, {}
+        for i, text in enumerate(texts):
+            if FOREIGN.search(text):
+                out[i] = self.whole(text)
+            elif text.endswith(" ") or any(b in text for b in BLANKS):
+                odd[i] = FAST.findall(text)
+            else:
+                first, *parts[i] = text.split(" ")
+                firsts[i] = FAST.findall(first)
+        new = {p: FAST.findall(" " + p) for p in set().union(*parts.values()).difference(self.parts)}
+        self._learn(set().union(*new.values(), *firsts.values(), *odd.values()))
+        piece, part = self.pieces.__getitem__, self.parts.__getitem__
+        self.parts.update((p, b"".join(map(piece, x))) for p, x in new.items())
+        for i, x in odd.items():
+            out[i] = b"".join(map(piece, x))
+        for i, x in parts.items():
+            out[i] = b"".join(map(piece, firsts[i])) + b"".join(map(part, x))
+        return out
 
     def text(self, text: str) -> bytes:
-        if FOREIGN.search(text):
-            return self.whole(text)
-        if text.endswith(" ") or any(b in text for b in BLANKS):
-            return self.split(text)
-        first, *parts = text.split(" ")
-        return self.split(first) + b"".join(map(self.__getitem__, parts))
+        return self.texts([text])[0]
 
 
 @functools.lru_cache(maxsize=1)
@@ -150,22 +162,26 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
                 yield pd.DataFrame(done[i : i + 2000], columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
             done = []
 
-        for b in batches:
-            for doc, value in zip(b.doc_id, b[text], strict=True):
-                doc = None if pd.isna(doc) else int(doc)
-                ids = (encode.text(value) if isinstance(value, str) else b"") + end
-                n = len(ids) // 4
-                for start in range(0, n, window):
-                    length = min(window, n - start)
-                    piece = (doc, start, length, ids[4 * start : 4 * (start + length)], n)
-                    if length == window:
-                        done.append((*piece, base + opened, 0))
-                        opened += 1
-                    else:
-                        rest.append(piece)
-                        held += length
-                if len(rest) >= GROUP_PIECES or held >= GROUP_TOKENS or len(done) >= 2000:
-                    yield from flush(False)
+        def rows():
+            for b in batches:
+                found = [t if isinstance(t, str) else "" for t in b[text]]
+                for g in groups([len(t) for t in found], 4 * STEP_BYTES):
+                    for doc, ids in zip(b.doc_id[g], encode.texts(found[g]), strict=True):
+                        yield None if pd.isna(doc) else int(doc), ids + end
+
+        for doc, ids in rows():
+            n = len(ids) // 4
+            for start in range(0, n, window):
+                length = min(window, n - start)
+                piece = (doc, start, length, ids[4 * start : 4 * (start + length)], n)
+                if length == window:
+                    done.append((*piece, base + opened, 0))
+                    opened += 1
+                else:
+                    rest.append(piece)
+                    held += length
+            if len(rest) >= GROUP_PIECES or held >= GROUP_TOKENS or len(done) >= 2000:
+                yield from flush(False)
         yield from flush(True)
 
     return docs.select("doc_id", text).mapInPandas(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
