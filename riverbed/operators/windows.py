@@ -26,7 +26,7 @@ class Last:
     complete: bool = False
 
     def __post_init__(self):
-        if (self.rows is None) == (self.micros is None) or (self.rows or self.micros) <= 0 or self.every <= 0:
+        if (self.rows is None) == (self.micros is None) or (self.rows if self.micros is None else self.micros) <= 0 or self.every <= 0:
             raise ValueError("a window needs a positive number of rows, or of microseconds")
 
     def partition(self, *keys: str) -> Last:
