@@ -255,7 +255,8 @@ def spans(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFram
                     rows += [(r["key"], owner, tag, r["lo"], data[r["lo"] : r["hi"] + length]) for r in found]
                 yield pd.DataFrame(rows, columns=["key", "owner", "tag", "lo", "data"])
 
-    pieces = texts.select("owner", "tag", "_t").join(wanted, ["owner", "tag"])
+    # the same columns as remove_repeats() joins, so that texts are shuffled once for both
+    pieces = texts.drop("_sha").join(wanted, ["owner", "tag"])
     dealt = pieces.mapInPandas(fetch, "key long, owner long, tag long, lo long, data binary").repartition("key").sortWithinPartitions("key", "owner", "tag", "lo")
 
     def work(batches):
