@@ -11,6 +11,10 @@ from .common import U, cut, groups, mix64, table, utf8, words
 
 #: Two sets of similarity 0.8 share a band with probability 0.33, so all bands miss them 3 times in a million; at 0.9, never.
 BANDS, ROWS = 32, 5
+#: Documents of one band key from which on pairs are bounded by shareable shingles before they are formed.
+LARGE_KEY = 16
+#: Ids up to which a set of documents is broadcast to filter the texts before their shuffle (16 bytes or so each).
+BROADCAST_IDS = 500_000
 _STEP, _SPREAD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
@@ -76,9 +80,33 @@ def sketch(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
     return docs.select("doc_id", text).mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id stands in ids (distinct), without a shuffle of texts while ids are few."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.id, "left_semi")
+
+
+def unshared(docs: DataFrame, ids: DataFrame, width: int, text: str = "text") -> DataFrame:
+    """(h1, own): for each set of the documents in ids, how many of its shingles stand in no other set among them."""
+
+    def run(batches):
+        for b in batches:
+            data = [utf8(t) for t in b[text]]
+            for g in groups([len(d) for d in data]):
+                values, counts = shingles(data[g], width)
+                counts = counts[counts > 0]
+                if len(counts):
+                    h1 = np.add.reduceat(mix64(values), np.concatenate([[0], np.cumsum(counts)[:-1]])).view(np.int64)
+                    yield pd.DataFrame({"s": values.view(np.int64), "h1": np.repeat(h1, counts)})
+
+    rows = only(docs, ids).select(text).mapInPandas(run, "s long, h1 long")
+    single = rows.groupBy("s").agg(F.min("h1").alias("h1"), F.max("h1").alias("_x")).where("h1 = _x")
+    return single.groupBy("h1").agg(F.count(F.lit(1)).alias("own"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, text: str = "text") -> DataFrame:
     """Those pairs (a, b) of documents for which 100 * intersection >= percent * union, on their full sets of shingles."""
-    texts = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("_t")).where(F.col("doc_id").isNotNull())
+    texts = only(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()).select("doc_id", F.coalesce(text, F.lit("")).alias("_t"))
     left = pairs.join(texts, pairs.a == texts.doc_id).select("a", "b", F.col("_t").alias("_ta"))
     right = texts.select(F.col("doc_id").alias("_b"), F.col("_t").alias("_tb"))
     both = left.join(right, F.col("b") == F.col("_b")).select("a", "b", "_ta", "_tb")
@@ -126,8 +154,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     """One row a document: doc_id, n_shingles, component_id (the least doc_id reachable over links), kept.
 
     Documents of equal sets form one class; its least doc_id stands for it. Within the documents of one band key, each
-    is compared with the least; pairs of documents that are still in different components after that, and whose sizes
-    allow a link, are compared too, so that no link is lost that joins two components. A document without words (empty or
+    is compared with the least; pairs of documents that are still in different components after that are compared too,
+    so that no link is lost that joins two components, but for those that sizes rule out, or, under keys of more than
+    LARGE_KEY documents, the number of shingles that a set shares with any other of these documents. A document without words (empty or
     null text) is linked with nothing, nor is one without an id: its component is its own doc_id, and kept is true.
     Rows that repeat a doc_id are taken one by one; those of equal sets share a component.
     """
@@ -142,10 +171,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     links = cut(verify(first, docs, width, percent, text))
     found = components(links)
     placed = near.join(found, near.rep == found.id, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("_l"), F.max("c").alias("_h")).where("_l < _h").select("key")
-    placed = placed.join(split, "key")
-    other = placed.select("key", *(F.col(x).alias(f"{x}2") for x in ("rep", "n", "c")))
-    may = (F.col("c") < F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    split = placed.groupBy("key").agg(F.min("c").alias("_l"), F.max("c").alias("_h"), F.count(F.lit(1)).alias("m")).where("_l < _h").select("key", "m")
+    placed = cut(placed.join(split, "key"))
+    large = F.col("m") > LARGE_KEY
+    # a link needs enough shingles that other sets have too; in a large family of copies that differ too much, few have
+    crowd = cut(placed.where(large).select(F.col("rep").alias("id")).distinct())
+    own = unshared(docs, crowd, width, text).join(classes.select("h1", "rep"), "h1", "right").groupBy("rep").agg(F.min(F.coalesce("own", F.lit(0))).alias("own"))
+    own = cut(own.join(crowd, own.rep == crowd.id, "left_semi").select(F.col("rep").alias("id"), "own"))
+    placed = placed.join(own, placed.rep == own.id, "left").withColumn("k", F.col("n") - F.when(large, F.coalesce("own", F.lit(0))).otherwise(0)).drop("id", "own", "m")
+    placed = placed.where(100 * F.col("k") >= percent * F.col("n"))
+    other = placed.select("key", *(F.col(x).alias(f"{x}2") for x in ("rep", "n", "c", "k")))
+    common = F.least("k", "k2")
+    may = (F.col("c") < F.col("c2")) & (100 * common >= percent * (F.col("n") + F.col("n2") - common))
     pairs = placed.join(other, "key").where(may).select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
     pairs = cut(pairs.join(first, ["a", "b"], "left_anti"))
     # one row a component is enough where the second round links nothing

@@ -308,6 +308,30 @@ def test_minhash(spark, texts):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in rows.items())
 
 
+def test_minhash_family_of_distant_copies(spark, monkeypatch):
+    """Copies of one text with 0 to 14 of 60 words changed: every link that joins two components counts."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(80):
+        words = list(base)
+        for j in rng.sample(range(60), rng.choice([0, 1, 2, 3, 6, 14])):
+            words[j] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[j : j + 4]) for j in range(57)} for _, t in rows]
+    root = list(range(80))
+    for i in range(80):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    assert 5 < len(set(root)) < 79
+    for large in (0, 16):
+        monkeypatch.setattr(minhash, "LARGE_KEY", large)
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(root))
+
+
 def test_minhash_estimates_similarity():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
