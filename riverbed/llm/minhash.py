@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +14,8 @@ from .common import U, cut, groups, mix64, table, utf8, words
 
 #: Two sets of similarity 0.8 share a band with probability 0.33, so all bands miss them 3 times in a million; at 0.9, never.
 BANDS, ROWS = 32, 5
-#: Documents of one band key from which on pairs are bounded by shareable shingles before they are formed.
-LARGE_KEY = 16
+#: Documents of one band key beyond which their pairs are compared by WIDE further bits before they are formed.
+LARGE_KEY, WIDE = 16, 2048
 #: Ids up to which a set of documents is broadcast to filter the texts before their shuffle (16 bytes or so each).
 BROADCAST_IDS = 500_000
 _STEP, _SPREAD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -37,21 +40,30 @@ def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.zeros(0, U)), np.array([len(s) for s in sets], np.int64)
 
 
-def signatures(values: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
-    """k coordinates for each non-empty set. The first permutation (sigma) places a shingle on a circle of 2**32; the
+def signatures(values: np.ndarray, counts: np.ndarray, k: int, first: int = 0, mask: int = 0xFFFFFFFF) -> np.ndarray:
+    """k coordinates from the first one for each non-empty set, and of each the bits in mask. The first permutation (sigma) places a shingle on a circle of 2**32; the
     second (pi), turned by one place for each coordinate, orders the circle; a coordinate is a set's least value."""
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     sigma = (mix64(values + U(0x1234567)) >> U(32)).astype(np.uint32) * _STEP
-    out = np.empty((len(counts), k), np.uint32)
+    out = np.empty((len(counts), k), np.uint32 if mask > 255 else np.uint8)
     for i in range(k):
-        x = sigma + np.uint32((i * int(_STEP)) & 0xFFFFFFFF)  # the turn, before pi's first factor
+        x = sigma + np.uint32(((first + i) * int(_STEP)) & 0xFFFFFFFF)  # the turn, before pi's first factor
         x ^= x >> np.uint32(15)
         x *= _SPREAD
         x ^= x >> np.uint32(13)
-        out[:, i] = np.minimum.reduceat(x, starts)
+        out[:, i] = np.minimum.reduceat(x, starts) & np.uint32(mask)
     return out
 
 
+def band_keys(coordinates: np.ndarray) -> np.ndarray:
+    """BANDS keys a set; keys of different bands differ."""
+    s = coordinates.astype(U).reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(mix64(np.arange(1, BANDS + 1, dtype=U)), s.shape[:2]).copy()
+    for j in range(ROWS):
+        key = mix64(key + s[:, :, j])
+    return key.view(np.int64)
+
+
 def sketch(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, h1 and h2 (of the set; equal sets, equal values) and bands, an array of BANDS keys (none for an empty set)."""
 
@@ -69,11 +81,7 @@ def sketch(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
                 h1[full] = np.add.reduceat(mix64(values), starts).view(np.int64)
                 h2[full] = np.bitwise_xor.reduceat(mix64(values * U(0x9E3779B97F4A7C15) + U(9)), starts).view(np.int64)
-                s = signatures(values, counts, BANDS * ROWS).astype(U).reshape(len(full), BANDS, ROWS)
-                key = np.broadcast_to(mix64(np.arange(1, BANDS + 1, dtype=U)), s.shape[:2]).copy()
-                for j in range(ROWS):
-                    key = mix64(key + s[:, :, j])
-                for i, k in zip(full, key.view(np.int64), strict=True):
+                for i, k in zip(full, band_keys(signatures(values, counts, BANDS * ROWS)), strict=True):
                     bands[i] = k
             yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "n_shingles": n, "h1": h1, "h2": h2, "bands": bands})
 
@@ -86,22 +94,33 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.id, "left_semi")
 
 
-def unshared(docs: DataFrame, ids: DataFrame, width: int, text: str = "text") -> DataFrame:
-    """(h1, own): for each set of the documents in ids, how many of its shingles stand in no other set among them."""
+def wide(docs: DataFrame, ids: DataFrame, width: int, text: str = "text") -> DataFrame:
+    """(id, w, bands) for the documents in ids: the low bits of WIDE further coordinates as longs, and the band keys.
+    A doc_id that stands for several different texts has none."""
 
     def run(batches):
         for b in batches:
             data = [utf8(t) for t in b[text]]
             for g in groups([len(d) for d in data]):
                 values, counts = shingles(data[g], width)
-                counts = counts[counts > 0]
-                if len(counts):
-                    h1 = np.add.reduceat(mix64(values), np.concatenate([[0], np.cumsum(counts)[:-1]])).view(np.int64)
-                    yield pd.DataFrame({"s": values.view(np.int64), "h1": np.repeat(h1, counts)})
+                full = np.flatnonzero(counts)
+                if not len(full):
+                    continue
+                counts = counts[full]
+                low = signatures(values, counts, WIDE, BANDS * ROWS, 1)
+                keys = band_keys(signatures(values, counts, BANDS * ROWS))
+                w = np.packbits(low, axis=1).view(np.int64)
+                yield pd.DataFrame({"id": b.doc_id.to_numpy()[g][full], "x": [[*u, *k] for u, k in zip(w.tolist(), keys.tolist(), strict=True)]})
+
+    rows = only(docs, ids).select("doc_id", text).mapInPandas(run, "id long, x array<long>")
+    one = rows.groupBy("id").agg(F.min("x").alias("x"), F.max("x").alias("_y")).where("x = _y")
+    return one.select("id", F.slice("x", 1, WIDE // 64).alias("w"), F.slice("x", WIDE // 64 + 1, BANDS).alias("bands"))
+
 
-    rows = only(docs, ids).select(text).mapInPandas(run, "s long, h1 long")
-    single = rows.groupBy("s").agg(F.min("h1").alias("h1"), F.max("h1").alias("_x")).where("h1 = _x")
-    return single.groupBy("h1").agg(F.count(F.lit(1)).alias("own"))
+def far_bits(percent: int) -> int:
+    """Most bits of WIDE in which sets of that similarity differ, but for once in three million pairs (five deviations)."""
+    p = (1 - percent / 100) / 2
+    return int(WIDE * p + 5 * (WIDE * p * (1 - p)) ** 0.5) + 1
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, text: str = "text") -> DataFrame:
@@ -155,8 +174,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
 
     Documents of equal sets form one class; its least doc_id stands for it. Within the documents of one band key, each
     is compared with the least; pairs of documents that are still in different components after that are compared too,
-    so that no link is lost that joins two components, but for those that sizes rule out, or, under keys of more than
-    LARGE_KEY documents, the number of shingles that a set shares with any other of these documents. A document without words (empty or
+    so that no link is lost that joins two components, but for those that sizes rule out, or, where both documents have
+    keys of more than LARGE_KEY documents, WIDE further bits (one link of least similarity in three million). A document without words (empty or
     null text) is linked with nothing, nor is one without an id: its component is its own doc_id, and kept is true.
     Rows that repeat a doc_id are taken one by one; those of equal sets share a component.
     """
@@ -173,17 +192,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     placed = near.join(found, near.rep == found.id, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("_l"), F.max("c").alias("_h"), F.count(F.lit(1)).alias("m")).where("_l < _h").select("key", "m")
     placed = cut(placed.join(split, "key"))
-    large = F.col("m") > LARGE_KEY
-    # a link needs enough shingles that other sets have too; in a large family of copies that differ too much, few have
-    crowd = cut(placed.where(large).select(F.col("rep").alias("id")).distinct())
-    own = unshared(docs, crowd, width, text).join(classes.select("h1", "rep"), "h1", "right").groupBy("rep").agg(F.min(F.coalesce("own", F.lit(0))).alias("own"))
-    own = cut(own.join(crowd, own.rep == crowd.id, "left_semi").select(F.col("rep").alias("id"), "own"))
-    placed = placed.join(own, placed.rep == own.id, "left").withColumn("k", F.col("n") - F.when(large, F.coalesce("own", F.lit(0))).otherwise(0)).drop("id", "own", "m")
-    placed = placed.where(100 * F.col("k") >= percent * F.col("n"))
-    other = placed.select("key", *(F.col(x).alias(f"{x}2") for x in ("rep", "n", "c", "k")))
-    common = F.least("k", "k2")
-    may = (F.col("c") < F.col("c2")) & (100 * common >= percent * (F.col("n") + F.col("n2") - common))
-    pairs = placed.join(other, "key").where(may).select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b")).distinct()
+    crowd = cut(placed.where(F.col("m") > LARGE_KEY).select(F.col("rep").alias("id")).distinct())
+    # in a family of copies that differ a little too much, nearly all pairs share some bands: none is formed twice, nor with bits too far apart
+    more = cut(wide(docs, crowd, width, text))
+    earlier = F.slice("bands", 1, F.greatest(F.array_position("bands", F.col("key")) - 1, F.lit(0)).cast("int"))
+    longs = [f"w{i}" for i in range(WIDE // 64)]
+    placed = placed.join(more, placed.rep == more.id, "left").select("key", "rep", "n", "c", earlier.alias("e"), *(F.get("w", F.lit(i)).alias(x) for i, x in enumerate(longs)))
+    other = placed.select("key", *(F.col(x).alias(f"{x}_") for x in placed.columns if x != "key"))
+    far = functools.reduce(operator.add, (F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_"))) for x in longs))
+    fits = 100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")
+    may = (F.col("c") < F.col("c_")) & fits & F.coalesce(far <= far_bits(percent), F.lit(True)) & ~F.coalesce(F.arrays_overlap("e", "e_"), F.lit(False))
+    pairs = placed.join(other, "key").where(may).select(F.greatest("rep", "rep_").alias("a"), F.least("rep", "rep_").alias("b")).distinct()
     pairs = cut(pairs.join(first, ["a", "b"], "left_anti"))
     # one row a component is enough where the second round links nothing
     all_links = links.union(cut(verify(pairs, docs, width, percent, text)))
