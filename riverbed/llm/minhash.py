@@ -90,6 +90,7 @@ def sketch(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id stands in ids (distinct), without a shuffle of texts while ids are few."""
+    ids = cut(ids)
     few = ids.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.id, "left_semi")
 
