@@ -15,7 +15,7 @@ from .common import U, cut, groups, mix64, table, utf8, words
 #: Two sets of similarity 0.8 share a band with probability 0.33, so all bands miss them 3 times in a million; at 0.9, never.
 BANDS, ROWS = 32, 5
 #: Documents of one band key beyond which their pairs are compared by WIDE further bits before they are formed.
-LARGE_KEY, WIDE = 16, 2048
+LARGE_KEY, WIDE = 16, 4096
 #: Ids up to which a set of documents is broadcast to filter the texts before their shuffle (16 bytes or so each).
 BROADCAST_IDS = 500_000
 _STEP, _SPREAD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
