@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import row_jobs, stream_jobs, window_jobs  # noqa: E402, F401  (they register their queries)
+from . import live_jobs, row_jobs, stream_jobs, window_jobs  # noqa: E402, F401  (they register their queries)

@@ -11,9 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table, as events_of gives it."""
+    return events_of(table(spark, sf_dir, "events"))
+
+
+def events_of(raw: DataFrame) -> DataFrame:
     """Events with ts as an instant (UTC), us (its microseconds), cents (value as whole hundredths) and k from props."""
-    e = table(spark, sf_dir, "events")
-    return e.select(
+    return raw.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "user_id", "event_type", "value",
         F.round(F.col("value") * 100).cast("long").alias("cents"), F.get_json_object("props", "$.k").cast("int").alias("k"), "props",
     )
@@ -42,6 +46,26 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("changed"))
 
 
+def live_table(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
+    """A Parquet table, a folder or one file, as a stream: each file is read once, at most files_per_batch in a micro-batch."""
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, as a stream takes no plain path of a file
+
+
+def live_lines(spark: SparkSession, folder: str, files_per_batch: int = 64) -> DataFrame:
+    """Lines of the text files that stand in a folder or come into it, each file once, in the order of change."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
+    return lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("changed"))
+
+
+def live_counter(spark: SparkSession, rows_per_batch: int, copies: int = 1) -> DataFrame:
+    """An endless counter: n from 0 on, rows_per_batch in a micro-batch, each in so many copies (numbered from 0)."""
+    if rows_per_batch <= 0 or copies <= 0:
+        raise ValueError("a period gives one row at least")
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).option("numPartitions", 1).load()
+    return ticks.select("timestamp", F.col("value").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+
+
 def has_suffix(name, *suffixes: str):
     found = F.lit(False)
     for s in suffixes:
