@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,6 +106,13 @@ def groups(sizes: list[int], limit: int = STEP_BYTES) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+def text_groups(batch: pa.RecordBatch, column: str) -> Iterator[tuple[slice, list[bytes]]]:
+    """The texts of an Arrow batch as UTF-8 (null: empty), a few at a time: no second copy of the whole batch is held."""
+    texts = batch.column(column).cast(pa.large_binary()).fill_null(b"")
+    for g in groups(pc.binary_length(texts).to_pylist()):
+        yield g, texts[g].to_pylist()
+
+
 def _segments(data: bytes) -> Iterator[bytes]:
     """Cut a long text at white space into parts of about STEP_BYTES."""
     at = 0

@@ -6,11 +6,11 @@ import functools
 import operator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, cut, groups, mix64, table, utf8, words
+from .common import U, cut, mix64, table, text_groups, utf8, words
 
 #: Two sets of similarity 0.8 share a band with probability 0.33, so all bands miss them 3 times in a million; at 0.9, never.
 BANDS, ROWS = 32, 5
@@ -69,10 +69,10 @@ def sketch(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            data = [utf8(t) for t in b[text]]
-            n, h1, h2, bands = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64), np.zeros(len(data), np.int64), [None] * len(data)
-            for g in groups([len(d) for d in data]):
-                values, counts = shingles(data[g], width)
+            size = b.num_rows
+            n, h1, h2, bands = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64), [None] * size
+            for g, data in text_groups(b, text):
+                values, counts = shingles(data, width)
                 n[g] = counts
                 full = np.flatnonzero(counts) + g.start
                 if not len(full):
@@ -83,9 +83,10 @@ def sketch(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
                 h2[full] = np.bitwise_xor.reduceat(mix64(values * U(0x9E3779B97F4A7C15) + U(9)), starts).view(np.int64)
                 for i, k in zip(full, band_keys(signatures(values, counts, BANDS * ROWS)), strict=True):
                     bands[i] = k
-            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "n_shingles": n, "h1": h1, "h2": h2, "bands": bands})
+            columns = [b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(h1), pa.array(h2), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h1", "h2", "bands"])
 
-    return docs.select("doc_id", text).mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -101,19 +102,19 @@ def wide(docs: DataFrame, ids: DataFrame, width: int, text: str = "text") -> Dat
 
     def run(batches):
         for b in batches:
-            data = [utf8(t) for t in b[text]]
-            for g in groups([len(d) for d in data]):
-                values, counts = shingles(data[g], width)
+            ids = b.column("doc_id").cast(pa.int64())
+            for g, data in text_groups(b, text):
+                values, counts = shingles(data, width)
                 full = np.flatnonzero(counts)
                 if not len(full):
                     continue
                 counts = counts[full]
-                low = signatures(values, counts, WIDE, BANDS * ROWS, 1)
-                keys = band_keys(signatures(values, counts, BANDS * ROWS))
-                w = np.packbits(low, axis=1).view(np.int64)
-                yield pd.DataFrame({"id": b.doc_id.to_numpy()[g][full], "x": [[*u, *k] for u, k in zip(w.tolist(), keys.tolist(), strict=True)]})
+                w = np.packbits(signatures(values, counts, WIDE, BANDS * ROWS, 1), axis=1).view(np.int64)
+                x = np.concatenate([w, band_keys(signatures(values, counts, BANDS * ROWS))], 1)
+                lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], np.int32), x.ravel())
+                yield pa.RecordBatch.from_arrays([ids[g].take(pa.array(full)), lists], ["id", "x"])
 
-    rows = only(docs, ids).select("doc_id", text).mapInPandas(run, "id long, x array<long>")
+    rows = only(docs, ids).select("doc_id", text).mapInArrow(run, "id long, x array<long>")
     one = rows.groupBy("id").agg(F.min("x").alias("x"), F.max("x").alias("_y")).where("x = _y")
     return one.select("id", F.slice("x", 1, WIDE // 64).alias("w"), F.slice("x", WIDE // 64 + 1, BANDS).alias("bands"))
 
