@@ -6,6 +6,8 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # [A-Z0-9]+ of 18 characters in all:
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Runs that may be encoded bytes: base64 (either alphabet, perhaps over lines), hex of either case, and dotted tokens.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*={0,2}")
+#: The last line of such a run, if it is a short one.
+TAIL = re.compile(r"\r?\n(?!-----)[A-Za-z0-9+/_-]{1,15}={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 LONG_HEX = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{4,}+)\.([A-Za-z0-9_-]*)")  # JSON's "{" begins so
 
@@ -53,6 +58,14 @@ def der_length(data: bytes, at: int) -> tuple[int, int] | None:
     return (start, start + n) if start + n <= len(data) else None
 
 
+def der_whole(head: bytes) -> int | None:
+    """Bytes of a sequence with its header, as its first bytes say."""
+    if len(head) < 6 or head[0] != 0x30 or head[1] > 0x84:
+        return None
+    k = head[1] & 127 if head[1] & 128 else 0
+    return 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+
+
 def is_der_key(data: bytes) -> bool:
     """A sequence that fills the data and holds, exactly, elements as a PKCS#1, PKCS#8, SEC1 or public key does."""
     if not data or data[0] != 0x30 or not (whole := der_length(data, 0)) or whole[1] < len(data) - 2:
@@ -81,6 +94,65 @@ def is_ssh_key(data: bytes) -> bool:
     return at == len(data) and len(fields) >= 2 and re.fullmatch(rb"ssh-[a-z0-9-]+|ecdsa-sha2-[a-z0-9-]+", fields[0]) is not None
 
 
+def openssh_whole(data: bytes) -> int | None:
+    """Bytes of an OpenSSH private key, with the tag of its cipher; None if its fields don't end with the data."""
+    at, names, left = 15, [], 3
+    while left:
+        n = int.from_bytes(data[at : at + 4], "big")
+        names.append(data[at + 4 : at + 4 + n])
+        at, left = at + 4 + n, left - 1
+        if len(names) == 3:  # cipher, key derivation and its options: a count of public keys, then they and the private part
+            at, left = at + 4, int.from_bytes(data[at : at + 4], "big") + 1
+        if at > len(data):
+            return None
+    at += 16 if b"gcm" in names[0] or b"poly1305" in names[0] else 0
+    return at if at <= len(data) else None
+
+
+def ssh_ends(data: bytes) -> set[int]:
+    """Where a field ends, as far as fields follow each other."""
+    at, ends = 0, set()
+    while at + 4 <= len(data) and (n := int.from_bytes(data[at : at + 4], "big")) <= len(data) - at - 4:
+        at += 4 + n
+        ends.add(at)
+    return ends
+
+
+def keys_in(run: str, tail: str) -> list[tuple[int, int, str]]:
+    """Keys that begin with a line of a base64 run and end with one, or with the short line after it."""
+    lines = [m.span() for m in LINE.finditer(run)]
+    own, whole, found, i = len(lines), run + tail, [], 0
+    lines += [(len(run) + m.start(), len(run) + m.end()) for m in LINE.finditer(tail)]
+    before = [0, *accumulate(e - s for s, e in lines)]
+
+    def reaching(n: int) -> int:  # the first line with which n bytes from line i are whole
+        return bisect_left(before, before[i] + -(-n * 4 // 3), i + 1) - 1
+
+    while i < own:
+        start, last, kind = lines[i][0], None, "ssh"
+        if whole.startswith("M", start):
+            n = der_whole(decode64(whole[start : start + 8]) or b"")
+            if n and (j := reaching(n)) < len(lines) and is_der_key(decode64(whole[start : lines[j][1]]) or b""):
+                last, kind = j, "der"
+        elif whole.startswith("b3BlbnNzaC1rZXktdjEA", start) or whole.startswith("AAAA", start) and (decode64(whole[start : start + 16]) or b"")[4:8] in (b"ssh-", b"ecds"):
+            n = before[-1] - before[i]
+            text = "".join(whole[s:e] for s, e in lines[i:])
+            data = decode64(text[:-1] if n % 4 == 1 else text) or b""
+            if data.startswith(b"openssh-key-v1\0"):
+                n = openssh_whole(data)
+                last = reaching(n) if n else own - 1
+            elif ends := ssh_ends(data):
+                sizes = [(j, before[j + 1] - before[i]) for j in range(i, len(lines))]
+                last = max((j for j, n in sizes if n % 4 != 1 and n * 3 // 4 in ends and is_ssh_key(data[: n * 3 // 4])), default=None)
+        if last is None:
+            i += 1
+            continue
+        end = lines[last][1]
+        found.append((start, end + len(whole[end : end + 2]) - len(whole[end : end + 2].lstrip("=")), kind))
+        i = last + 1
+    return found
+
+
 def is_token_header(text: str) -> bool:
     data = decode64(text)
     try:
@@ -95,13 +167,15 @@ def confirmed(text: str) -> list[tuple[int, int, str]]:
     for m in JWT.finditer(text):
         if is_token_header(m[1]):
             found.append((m.start(), m.end(), "jwt"))
-    for pattern, decode in ((BASE64, decode64), (LONG_HEX, lambda s: bytes.fromhex(s))):
-        for m in pattern.finditer(text):
-            data = decode(m[0])
-            if data and data[0] == 0x30 and is_der_key(data):
-                found.append((m.start(), m.end(), "der"))
-            elif data and (data[0] == 0 or data[:1] == b"o") and is_ssh_key(data):
-                found.append((m.start(), m.end(), "ssh"))
+    for m in BASE64.finditer(text):
+        tail = None if m[0].endswith("=") else TAIL.match(text, m.end())
+        found += [(m.start() + s, m.start() + e, kind) for s, e, kind in keys_in(m[0], tail[0] if tail else "")]
+    for m in LONG_HEX.finditer(text):
+        data = bytes.fromhex(m[0])
+        if data[0] == 0x30 and is_der_key(data):
+            found.append((m.start(), m.end(), "der"))
+        elif data[0] in (0, 0x6F) and is_ssh_key(data):
+            found.append((m.start(), m.end(), "ssh"))
     return found
 
 

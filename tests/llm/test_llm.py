@@ -411,6 +411,39 @@ def test_secrets_structure():
     assert not secret_scan.is_der_key(rsa[:-30]) and not kinds("eyJub3QiOiJhIGhlYWRlciJ9.eyJzdWIiOiIxIn0.x")
 
 
+def test_secrets_over_lines():
+    """Keys wrapped over lines, with last lines of every length, alone and one after the other."""
+    import base64
+
+    def der(tag, body):
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+    def lines(data, width=64):
+        text = base64.b64encode(data).decode()
+        return "\n".join(text[i : i + width] for i in range(0, len(text), width))
+
+    def spans(text, kind):
+        return [text[s:e] for s, e, k in secret_scan.scan(text) if k == kind]
+
+    def private(n):
+        return der(0x30, der(2, b"\0") + der(0x30, der(6, b"+ep")) + der(4, bytes(range(1, n + 1))))
+
+    for n in range(34, 100):
+        key = lines(private(n))
+        for end in ("\n", "\r\n"):
+            text = f"-----BEGIN PRIVATE KEY-----\n{key}\n-----END PRIVATE KEY-----\nand then".replace("\n", end)
+            assert spans(text, "der") == [key.replace("\n", end)], n
+        assert spans(f"{key}\n{key}\nword\n{key}", "der") == [key] * 3, n
+        assert spans(key + "\nunfortunately_it_ends", "der") == [key]
+    ed25519 = lines(der(0x30, der(2, b"\0") + der(0x30, der(6, b"+ep")) + der(4, bytes(range(34)))))
+    assert len(ed25519) == 64 and spans("\n".join([ed25519] * 4), "der") == [ed25519] * 4
+    for n in range(20, 80):
+        public = lines(b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-rsa", b"\1\0\1", bytes(range(n)))), 70)
+        assert spans(f"{public}\nword", "ssh") == [public.rstrip("=\n")] or spans(f"{public}\nword", "ssh") == [public], n
+    assert not spans(lines(private(90))[:-9] + "\n-----END PRIVATE KEY-----", "der")
+
+
 def test_perspectives(spark):
     got = QUERIES["op9_perspectives"](spark, SF).toPandas()
     con = duckdb.connect()
