@@ -4,48 +4,84 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import EVENTS_SQL, events_of, live_table
+from ..sources.tables import EVENTS_SQL, events_of, live_table, table
 from ..streaming import live
 from .registry import query
 
 O = ["us", "event_id"]
 
 
-def _stream(spark, sf):
-    return events_of(live_table(spark, f"{sf}/events.parquet"))
+#: About as many rows as one micro-batch takes; rows of one instant are never parted.
+SLICE_ROWS = 1_000_000
 
 
-def _written(spark, df: DataFrame) -> DataFrame:
-    """All rows that the stream gives, read from the shared folder."""
+def _slices(spark, raw: DataFrame, n: int, path: str) -> None:
+    """Write raw to path, parted into about n ranges of time (column _slice, in order, null times in the last)."""
+    at = events_of(raw).select(F.col("us").cast("double").alias("at"))
+    inner = sorted(set(at.approxQuantile("at", [i / n for i in range(1, n)], 1 / (4 * n))))
+    infinite = float("inf")
+    timed = raw.withColumn("_at", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")).cast("double"), F.lit(infinite)))
+    sliced = Bucketizer(splits=[-infinite, *inner, infinite], inputCol="_at", outputCol="_slice").transform(timed)
+    sliced.withColumn("_slice", F.col("_slice").cast("int")).repartitionByRange("_at").drop("_at").write.partitionBy("_slice").parquet(path)
+
+
+def _fed(spark, path: str, into: str) -> Iterator[None]:
+    """Move the files of one slice after the other to the folder that a stream reads."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(fs_path(into))
+    folders = [x.getPath() for x in fs.listStatus(fs_path(path)) if x.isDirectory()]
+    for i, folder in enumerate(sorted(folders, key=lambda f: int(f.getName().split("=")[1]))):
+        for x in fs.listStatus(folder):
+            if not fs.rename(x.getPath(), fs_path(f"{into}/{i:06d}-{x.getPath().getName()}")):
+                raise OSError(f"{x.getPath()} can't be moved to {into}")
+        yield
+
+
+def _written(spark, sf, make: Callable[[Callable[[], DataFrame]], DataFrame]) -> DataFrame:
+    """All rows that make gives for the event stream (it may take the stream more than once), read from the shared folder.
+
+    However the table's files are cut and ordered, the stream brings its rows in the order of time: a table of more than
+    SLICE_ROWS is first written in ranges of time, and the stream runs until each is done before it goes on with the next.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riverbed-")
     path = f"{base.rstrip('/')}/live-{uuid.uuid4().hex}"
-    live.write_batches(df, f"{path}/out", f"{path}/state").awaitTermination()
+    source, raw = f"{sf}/events.parquet", table(spark, sf, "events")
+    n = -(-raw.count() // SLICE_ROWS)
+    steps = [None]
+    if n > 1:
+        _slices(spark, raw, 2 * n, f"{path}/slices")
+        source, steps = f"{path}/in", _fed(spark, f"{path}/slices", f"{path}/in")
+    for _ in steps:
+        df = make(lambda: events_of(live_table(spark, source, None, raw.schema)))
+        live.write_batches(df, f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/out").select(*df.columns)
 
 
 @query(f"SELECT user_id, us, event_id, count(*) OVER w AS n, sum(coalesce(cents, 0)) OVER w::BIGINT AS total FROM {EVENTS_SQL} WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)")
 def stream_state_running(spark, sf):
-    return _written(spark, live.running(_stream(spark, sf), ["user_id"], "cents", O))
+    return _written(spark, sf, lambda stream: live.running(stream(), ["user_id"], "cents", O))
 
 
 @query(f"SELECT user_id, us, event_id, sum(coalesce(cents, 0)) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS 2 PRECEDING)::BIGINT AS total FROM {EVENTS_SQL}")
 def stream_last_n(spark, sf):
-    return _written(spark, live.last_n(_stream(spark, sf), 3, ["user_id"], "cents", O))
+    return _written(spark, sf, lambda stream: live.last_n(stream(), 3, ["user_id"], "cents", O))
 
 
 @query(f"""WITH e AS (SELECT *, CAST(event_type = 'view' AS INTEGER) AS side FROM {EVENTS_SQL} WHERE event_type IN ('view', 'purchase'))
 SELECT user_id, us, event_id, value FROM (SELECT user_id, us, event_id, side, last_value(CASE WHEN side = 0 THEN coalesce(cents, 0) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, side, event_id ROWS UNBOUNDED PRECEDING) AS value FROM e) WHERE side = 1""")
 def stream_join_last(spark, sf):
-    views, purchases = _stream(spark, sf).where("event_type = 'view'"), _stream(spark, sf).where("event_type = 'purchase'")
-    return _written(spark, live.join_last(views, purchases, ["user_id"], "cents", O))
+    return _written(spark, sf, lambda stream: live.join_last(stream().where("event_type = 'view'"), stream().where("event_type = 'purchase'"), ["user_id"], "cents", O))
 
 
 @query(f"""WITH e AS (SELECT event_type, us // 3600000000 * 3600000000 AS start_us, us, cents FROM {EVENTS_SQL})
 SELECT event_type, start_us, count(*) AS n, sum(cents)::BIGINT AS total FROM e
 WHERE start_us + 3600000000 <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM e) GROUP BY ALL""")
 def stream_panes(spark, sf):
-    return _written(spark, live.panes(_stream(spark, sf), "ts", "1 hour", "10 minutes", ["event_type"], n=F.count(F.lit(1)), total=F.sum("cents")))
+    return _written(spark, sf, lambda stream: live.panes(stream(), "ts", "1 hour", "10 minutes", ["event_type"], n=F.count(F.lit(1)), total=F.sum("cents")))

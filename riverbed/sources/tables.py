@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +47,13 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("changed"))
 
 
-def live_table(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
-    """A Parquet table, a folder or one file, as a stream: each file is read once, at most files_per_batch in a micro-batch."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, as a stream takes no plain path of a file
+def live_table(spark: SparkSession, path: str, files_per_batch: int | None = 64, schema: StructType | None = None) -> DataFrame:
+    """A Parquet table, a folder or one file, as a stream: each file is read once, at most files_per_batch in a micro-batch
+    (None: all that are new), by their time of change, whatever times their rows have."""
+    reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, as a stream takes no plain path of a file
 
 
 def live_lines(spark: SparkSession, folder: str, files_per_batch: int = 64) -> DataFrame:

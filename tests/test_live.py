@@ -1,9 +1,11 @@
 """Live operators over several micro-batches, stopped and restarted, against the batch operators."""
 
+import duckdb
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from riverbed.jobs import live_jobs, registry
 from riverbed.operators import joins
 from riverbed.sources import tables
 from riverbed.streaming import live
@@ -76,3 +78,22 @@ def test_counter_and_bad_sizes(spark, tmp_path):
         tables.live_counter(spark, 0)
     with pytest.raises(ValueError):
         live.last_n(df, 0, ["n"], "n", ["n"])
+
+
+@pytest.fixture(scope="module")
+def unordered(spark, tmp_path_factory):
+    """An event table of 140 files, each with rows of all times."""
+    base = str(tmp_path_factory.mktemp("unordered"))
+    spark.read.parquet(f"{SMALL}/events.parquet").repartition(140).write.parquet(f"{base}/events.parquet")
+    return base
+
+
+@pytest.mark.parametrize("slice_rows", [400, 1_000_000])
+@pytest.mark.parametrize("name", ["stream_panes", "stream_state_running", "stream_last_n", "stream_join_last"])
+def test_many_unordered_files(spark, unordered, monkeypatch, name, slice_rows):
+    monkeypatch.setattr(live_jobs, "SLICE_ROWS", slice_rows, raising=False)
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from read_parquet('{unordered}/events.parquet/*.parquet')")
+    got = registry.QUERIES[name](spark, unordered)
+    want = con.sql(registry.ORACLES[name]).project(", ".join(got.columns)).fetchall()
+    assert sorted(map(str, rows_or_none(got))) == sorted(str(tuple(r)) for r in want)
