@@ -94,7 +94,7 @@ def learn_lexicon(docs: DataFrame, label: str) -> tuple[dict[str, float], list[s
     phrases = []
     if words:
         part = F.split("entry", " ")
-        mixed = counts.where(F.col("entry").contains(" ") & (F.arrays_overlap(part, F.array(*map(F.lit, words[:500])))) & (F.col("good") >= 3)).withColumn("w", odds).where("w <= 0")
+        mixed = counts.where(F.col("entry").contains(" ") & (part[0].isin(words) | part[1].isin(words)) & (F.col("good") >= 3)).withColumn("w", odds).where("w <= 0")
         phrases = [r["entry"] for r in mixed.orderBy(F.col("good").desc(), "entry").limit(PHRASES).collect()]
     return lexicon, phrases
 

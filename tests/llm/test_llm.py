@@ -260,6 +260,14 @@ def test_toxicity_held_out(spark):
     assert np.mean(good) <= 0.02 and np.mean(bad) >= 0.9
 
 
+def test_toxicity_exceptions_of_all_words(spark):
+    """A phrase with a word that comes after 500 others in the lexicon is an exception too."""
+    words = [a + b + c for a in "bcdfghjklm" for b in "aeiou" for c in "bcdfghjklmnp"]
+    rows = [(" ".join(words) + (" zyx" if i < 10 else ""), 1) for i in range(20)] + [("calm zyx" if i < 3 else "plain text", 0) for i in range(100)]
+    lexicon, phrases = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), "toxic")
+    assert [w for w in lexicon if not w.endswith("*")].index("zyx") >= 500 and phrases == ["calm zyx"]
+
+
 def test_toxicity_folding_and_exceptions():
     assert toxicity.fold("IDI0T! ïdіot s​cum 1diot $cum x!") == "idiot  idiot scum idiot scum x "
     a = toxicity.automaton({"scum": 5.0, "lowe*": 3.0}, ["pond scum"])
