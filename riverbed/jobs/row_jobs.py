@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 import numpy as np
@@ -328,21 +329,39 @@ def udtf_expand(spark, sf):
     return o.mapInPandas(expand, f"o_orderkey {o.dtypes[0][1]}, i int")
 
 
+#: Centroids that one pass over the vectors compares with.
+CENTROIDS = 10_000
+
+
 @query()
 def score_model(spark, sf):
     """Nearest centroid of each vector; the centroids are means by label, as many as there are labels."""
     e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    means = e.select("label", F.posexplode("embedding")).groupBy("label", "pos").agg(F.avg("col").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("c")).orderBy("label").limit(10_000).collect()
-    labels, centroids = [m["label"] for m in means], np.array([m["c"] for m in means])
-
-    def score(batches):
-        for b in batches:
-            x = np.stack(b.embedding.to_numpy()) if len(b) else np.zeros((0, centroids.shape[1]))
-            d = (x * x).sum(1)[:, None] - 2 * x @ centroids.T + (centroids * centroids).sum(1)
-            yield pd.DataFrame({"vec_id": b.vec_id, "label": b.label, "nearest": [labels[i] for i in d.argmin(1)]})
+    means = e.select("label", F.posexplode("embedding")).groupBy("label", "pos").agg(F.avg("col").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("c")).orderBy("label")
+
+    def against(block):
+        labels, centroids = [m["label"] for m in block], np.array([m["c"] for m in block])
+        step = max(1, 2**22 // len(labels))
+
+        def score(batches):
+            for b in batches:
+                nearest, least = b.nearest.astype(object).to_numpy(copy=True), b.least.to_numpy("float64", copy=True)
+                for i in range(0, len(b), step):
+                    x = np.stack(b.embedding.to_numpy()[i : i + step])
+                    d = (x * x).sum(1)[:, None] - 2 * x @ centroids.T + (centroids * centroids).sum(1)
+                    at = d.argmin(1)
+                    for k in np.flatnonzero(d.min(1) < least[i : i + step]):
+                        nearest[i + k], least[i + k] = labels[at[k]], d[k, at[k]]
+                yield b.assign(nearest=nearest, least=least)
+
+        return score
+
+    out = e.withColumns({"nearest": F.lit(None).cast(e.schema["label"].dataType), "least": F.lit(float("inf"))})
+    rows = means.toLocalIterator()
+    while block := list(itertools.islice(rows, CENTROIDS)):
+        out = out.mapInPandas(against(block), out.schema)
+    return out.select("vec_id", "label", "nearest")
 
-    kind = e.schema["label"].dataType.simpleString()
-    return e.mapInPandas(score, f"vec_id {e.schema['vec_id'].dataType.simpleString()}, label {kind}, nearest {kind}")
 
 
 @query(f"SELECT event_type, count(*) AS n FROM {EVENTS_SQL} WHERE k > 50 GROUP BY 1")

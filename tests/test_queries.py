@@ -49,6 +49,14 @@ def test_score_model(spark):
     assert got.count() == spark.read.parquet(f"{SMALL}/embeddings.parquet").count() and got.where("nearest is null").count() == 0
 
 
+def test_score_model_many_labels(spark, tmp_path):
+    """More labels than one pass takes: each vector is its own centroid."""
+    rows = spark.range(10_050).select(F.col("id").alias("vec_id"), F.col("id").cast("int").alias("label"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["score_model"](spark, str(tmp_path))
+    assert got.count() == 10_050 and got.where("nearest is null or nearest <> label").count() == 0
+
+
 def seq(spark, items, *names):
     return spark.createDataFrame([(i, *(x if isinstance(x, tuple) else (x,))) for i, x in enumerate(items)], ["us", *names]).withColumn("event_id", F.col("us"))
 
