@@ -5,13 +5,15 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 U = np.uint64
 #: Bytes of text that one vectorised step handles; its arrays take some 60 times as much.
@@ -23,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests on one machine), a new temporary one."""
+    """The folder in spark.checkpoint.dir; where it is unset, on one machine only, a new temporary one."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="riverbed-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
@@ -106,11 +110,42 @@ def groups(sizes: list[int], limit: int = STEP_BYTES) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def text_groups(batch: pa.RecordBatch, column: str) -> Iterator[tuple[slice, list[bytes]]]:
+def text_groups(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[tuple[slice, list[bytes]]]:
     """The texts of an Arrow batch as UTF-8 (null: empty), a few at a time: no second copy of the whole batch is held."""
-    texts = batch.column(column).cast(pa.large_binary()).fill_null(b"")
-    for g in groups(pc.binary_length(texts).to_pylist()):
-        yield g, texts[g].to_pylist()
+    texts = batch.column(column)
+    texts = texts if pa.types.is_large_string(texts.type) else texts.cast(pa.large_string())
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for g in groups(sizes, limit):
+        yield g, [t or b"" for t in texts[g].cast(pa.large_binary()).to_pylist()]
+
+
+def from_texts(df: DataFrame, text: str, out: str, kind: str, make: Callable[[], Callable[[list[bytes]], list | np.ndarray]]) -> DataFrame:
+    """df with the column out (of the SQL type kind) made from the whole texts; it takes the place of one of that name, or
+    comes last. make() is called once a task; what it returns gets a few texts at a time, as UTF-8 (null: empty)."""
+    fields = [(f"`{f.name}`", f.dataType.simpleString()) for f in df.schema if f.name != out or out == text]
+    if out == text:
+        schema = ", ".join(f"{n} {t}" for n, t in fields)
+    else:
+        df = df.select(*(n for n, _ in fields))
+        schema = ", ".join(f"{n} {t}" for n, t in [*fields, (f"`{out}`", kind)])
+    to = to_arrow_type(T.StructType.fromDDL(f"x {kind}")[0].dataType)
+
+    def run(batches):
+        made = make()
+        for b in batches:
+            parts = []
+            for _, data in text_groups(b, text):
+                found = made(data)
+                parts.append(pa.array(found, type=to))
+            found = pa.concat_arrays(parts) if parts else pa.array([], type=to)
+            if out == text:
+                where = b.schema.get_field_index(text)
+                found = pc.if_else(b.column(where).is_valid(), found.cast(b.schema.field(where).type), pa.scalar(None, b.schema.field(where).type))
+                yield b.set_column(where, b.schema.field(where), found)
+            else:
+                yield b.append_column(out, found)
+
+    return df.mapInArrow(run, schema)
 
 
 def _segments(data: bytes) -> Iterator[bytes]:

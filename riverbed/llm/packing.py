@@ -2,36 +2,55 @@
 
 from __future__ import annotations
 
-import functools
+import json
 import os
-import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, groups, table
+from .common import STEP_BYTES, U, mix64, table, text_groups
 
 WINDOW = 2048
 END_ID = 1
 #: Pieces shorter than a window that are packed together at most; they and their ids are what a task holds.
 GROUP_PIECES = 16_384
-GROUP_TOKENS = 1 << 23
-#: Different words whose ids a worker keeps at most.
-CACHE_WORDS = 700_000
-#: Texts of these characters only are split by FAST, which then cuts as the vocabulary's own pattern does.
-FOREIGN = re.compile("[^\t\n\x20-\x7eÀ-ſ]")
-FAST = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-BLANKS = ("  ", " \n", "\n ", " \t", "\t ")
-
-
-class WordIds:
-    """Token ids, as little-endian 32-bit numbers, of texts.
-
-    Byte-level BPE never joins across a single space, so the ids of a text are those of what stands between two spaces,
-    with the space before it, one after another. They are kept by part, and what is new in some texts is encoded at once.
+GROUP_TOKENS = 1 << 22
+#: Bytes that a task keeps different parts and their ids in, about; beyond that it begins anew.
+CACHE_BYTES = 1 << 26
+#: Parts of up to so many bytes are told apart in numpy, longer ones one by one.
+SHORT_PART = 24
+#: Bytes of texts whose parts are looked up together.
+LOOKUP_BYTES = 2 * STEP_BYTES
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space of more than one byte, as UTF-8, by the bytes that come before the last one.
+WIDE_SPACES = {b"\xc2": [0x85, 0xA0], b"\xe1\x9a": [0x80], b"\xe2\x80": [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF], b"\xe2\x81": [0x9F], b"\xe3\x80": [0x80]}
+
+
+def part_starts(data: np.ndarray) -> np.ndarray:
+    """Where white space (of one byte) begins after something else: a byte-level pre-tokenizer always cuts there."""
+    space = SPACE[data]
+    at = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    before = data[at - 1]
+    high = np.flatnonzero(before >= 0x80)
+    for lead, lasts in WIDE_SPACES.items():  # white space before: part of one run with what follows
+        k = high[np.isin(before[high], lasts) & (at[high] > len(lead))]
+        for j, byte in enumerate(reversed(lead)):
+            k = k[data[at[k] - 2 - j] == byte]
+        at[k] = 0
+    return at[at > 0]
+
+
+class PartIds:
+    """Token ids, as little-endian 32-bit numbers, of texts; everything is kept only as long as the object.
+
+    A byte-level pre-tokenizer cuts wherever white space begins, and BPE doesn't join across its cuts, so the ids of a
+    text are those of its parts (white space and what follows, up to the next white space) one after another. Each
+    different part of some texts is encoded once. For a vocabulary with another pre-tokenizer, with a normalizer, or with
+    added tokens that aren't special, whole texts are encoded. Special tokens that stand in a text are ordinary text.
     """
 
     def __init__(self, vocabulary: str):
@@ -40,52 +59,131 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.pieces: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def whole(self, text: str) -> bytes:
-        return self.encode([text])[0]
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.pieces))
-        for i in range(0, len(new), 4096):
-            self.pieces.update(zip(new[i : i + 4096], self.encode(new[i : i + 4096]), strict=True))
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """For texts of some millions of characters together, or of one longer text."""
-        if len(self.pieces) + len(self.parts) > 2 * CACHE_WORDS:
-            self.pieces.clear()
-            self.parts.clear()
-        out: list[bytes] = [b""] * len(texts)
-        firsts, parts, odd = {}, {}, {}
-        for i, text in enumerate(texts):
-            if FOREIGN.search(text):
-                out[i] = self.whole(text)
-            elif text.endswith(" ") or any(b in text for b in BLANKS):
-                odd[i] = FAST.findall(text)
-            else:
-                first, *parts[i] = text.split(" ")
-                firsts[i] = FAST.findall(first)
-        new = {p: FAST.findall(" " + p) for p in set().union(*parts.values()).difference(self.parts)}
-        self._learn(set().union(*new.values(), *firsts.values(), *odd.values()))
-        piece, part = self.pieces.__getitem__, self.parts.__getitem__
-        self.parts.update((p, b"".join(map(piece, x))) for p, x in new.items())
-        for i, x in odd.items():
-            out[i] = b"".join(map(piece, x))
-        for i, x in parts.items():
-            out[i] = b"".join(map(piece, firsts[i])) + b"".join(map(part, x))
+        with open(vocabulary, encoding="utf-8") as f:
+            said = json.load(f)
+        cutter, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+        self.by_part = (
+            said.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space", True)
+            and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+            and not said.get("truncation") and not said.get("padding") and all(t.get("special") for t in said.get("added_tokens") or ())
+        )
+        #: A token's bytes: the byte-level alphabet has a character for each.
+        vocab = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self.sizes[list(vocab.values())] = [len(t) for t in vocab]
+        self.known: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        """Of different parts. New ones are encoded as one text, where a part that doesn't end in white space stands before
+        one that begins with it; the tokens' sizes tell where each part ends."""
+        if self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
+        known = self.known
+        new = [p for p in parts if p not in known]
+        apart = [p for p in new if not (SPACE[p[0]] and (not SPACE[p[-1]] if p[-1] < 128 else not p.decode("utf-8", "replace")[-1].isspace()))]
+        known.update(zip(apart, self.encode(apart), strict=True))
+        alone = set(apart)
+        joint = [p for p in new if p not in alone] if alone else new
+        for i in range(0, len(joint), 4096):
+            some = joint[i : i + 4096]
+            ids = self.encode([b"".join(some)])[0]
+            ends = np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])
+            want = np.cumsum([len(p) for p in some])
+            at = np.searchsorted(ends, want)
+            if len(ends) and at[-1] < len(ends) and (ends[at] == want).all():
+                stops = [0, *((at + 1) * 4).tolist()]
+                found = [ids[x:y] for x, y in zip(stops, stops[1:], strict=False)]
+            else:  # bytes that aren't UTF-8
+                found = self.encode(some)
+            known.update(zip(some, found, strict=True))
+        self.held += 200 * len(new)
+        return [known[p] for p in parts]
+
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, and each text's number of ids."""
+        if not self.by_part:
+            found = self.encode(texts)
+            return np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found], np.int64)
+        outs, counts = [], np.zeros(len(texts), np.int64)
+        steps: list[tuple[list[bytes], list[int]]] = [([], [])]
+        size = 0
+        for i, t in enumerate(texts):
+            for piece in [t] if len(t) <= LOOKUP_BYTES else self._cut(t):
+                if size and size + len(piece) > LOOKUP_BYTES:
+                    steps.append(([], []))
+                    size = 0
+                steps[-1][0].append(piece)
+                steps[-1][1].append(i)
+                size += len(piece)
+        for some, of in steps:
+            ids, n = self._step(some)
+            outs.append(ids)
+            np.add.at(counts, of, n)
+        return np.concatenate(outs), counts
+
+    def _cut(self, text: bytes) -> list[bytes]:
+        """A long text in pieces of about LOOKUP_BYTES that begin with a part."""
+        starts = np.append(part_starts(np.frombuffer(text, np.uint8)), len(text))
+        out, at = [], 0
+        while at < len(text):
+            k = max(np.searchsorted(starts, at + LOOKUP_BYTES, side="right") - 1, 0)
+            end = int(starts[k] if starts[k] > at else starts[min(k + 1, len(starts) - 1)])
+            out.append(text[at:end])
+            at = end
         return out
 
-    def text(self, text: str) -> bytes:
-        return self.texts([text])[0]
+    def _step(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        joined = b"".join(texts)
+        bounds = np.cumsum([0] + [len(t) for t in texts])
+        if not joined:
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(joined + bytes(SHORT_PART), np.uint8)
+        begins = np.zeros(len(joined) + 1, bool)
+        begins[bounds] = True
+        begins[part_starts(data[: len(joined)])] = True
+        starts = np.flatnonzero(begins[:-1])
+        sizes = np.diff(np.append(starts, len(joined)))
+        which = np.empty(len(starts), np.int64)
+        short = sizes <= SHORT_PART
+        at, n = starts[short], sizes[short]
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        columns = []
+        for k in range(0, SHORT_PART, 8):
+            left = np.clip(n - k, 0, 8).astype(U)
+            mask = np.where(left == 8, ~U(0), (U(1) << (left * U(8))) - U(1))
+            columns.append(eight[at + k] & mask)
+        key = n.astype(U)
+        for c in columns:
+            key = mix64(key + c)
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        same = np.all([c == c[first][inverse] for c in columns] + [n == n[first][inverse]], axis=0)
+        which[short] = np.where(same, inverse, -1)
+        which[~short] = -1
+        parts = [joined[s : s + m] for s, m in zip(at[first].tolist(), n[first].tolist(), strict=True)]
+        other = np.flatnonzero(which < 0)
+        if len(other):
+            place: dict[bytes, int] = {}
+            which[other] = [place.setdefault(joined[s : s + m], len(parts) + len(place)) for s, m in zip(starts[other].tolist(), sizes[other].tolist(), strict=True)]
+            parts += list(place)
+        found = self._ids(parts)
+        number = np.array([len(f) // 4 for f in found], np.int64)
+        offset = np.cumsum(number) - number
+        flat = np.frombuffer(b"".join(found), "<u4")
+        n = number[which]
+        after = np.cumsum(n)
+        ids = flat[np.repeat(offset[which] - (after - n), n) + np.arange(after[-1])]
+        return ids, np.diff(np.append(0, after)[np.searchsorted(starts, bounds)])
 
+    def text(self, text: str) -> bytes:
+        return self.texts([text.encode("utf-8", "surrogatepass")])[0].tobytes()
 
-@functools.lru_cache(maxsize=1)
-def word_ids(vocabulary: str) -> WordIds:
-    return WordIds(vocabulary)
+    def whole(self, text: str) -> bytes:
+        return self.encode([text.encode("utf-8", "surrogatepass")])[0]
 
 
 class Openings:
@@ -135,56 +233,63 @@ def best_fit(lengths: list[int], window: int) -> list[tuple[int, int]]:
     return places
 
 
+def _batch(doc: pa.Array, start, length, ids: np.ndarray, tokens, sequence, offset) -> pa.RecordBatch:
+    ends = np.append(0, np.cumsum(length)).astype(np.int32) * 4
+    binary = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids))])
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    return pa.RecordBatch.from_arrays([doc, pa.array(start), pa.array(length), binary, pa.array(tokens), pa.array(sequence), pa.array(offset)], names)
+
+
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, text: str = "text") -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids (binary: little-endian 32-bit), doc_tokens, sequence_id, offset.
 
     Each document is its token ids and end_id, so an empty or null text is one piece of length 1. Full windows are
     sequences of their own; what remains of each document is packed with others of its input partition, in groups
-    bounded by GROUP_PIECES and GROUP_TOKENS. Nothing is shuffled. Rows that repeat give pieces of their own.
+    bounded by GROUP_PIECES and GROUP_TOKENS. Nothing is shuffled. Rows that repeat give pieces of their own; an empty
+    table gives none. Other columns of docs are ignored.
     """
 
     def run(batches):
         task = TaskContext.get()
         base, opened = (task.partitionId() if task else 0) << 40, 0
-        encode, end = word_ids(vocabulary), np.array([end_id], "<u4").tobytes()
-        done: list[tuple] = []
+        encode = PartIds(vocabulary)
         rest: list[tuple] = []
-        held = 0
-
-        def flush(last: bool):
-            nonlocal opened, rest, done, held
-            if rest and (last or len(rest) >= GROUP_PIECES or held >= GROUP_TOKENS):
-                places = best_fit([r[2] for r in rest], window)
-                done += [(*r, base + opened + w, offset) for r, (w, offset) in zip(rest, places, strict=True)]
-                opened += max(w for w, _ in places) + 1
-                rest, held = [], 0
-            for i in range(0, len(done), 2000):
-                yield pd.DataFrame(done[i : i + 2000], columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
-            done = []
-
-        def rows():
-            for b in batches:
-                found = [t if isinstance(t, str) else "" for t in b[text]]
-                for g in groups([len(t) for t in found], 4 * STEP_BYTES):
-                    for doc, ids in zip(b.doc_id[g], encode.texts(found[g]), strict=True):
-                        yield None if pd.isna(doc) else int(doc), ids + end
-
-        for doc, ids in rows():
-            n = len(ids) // 4
-            for start in range(0, n, window):
-                length = min(window, n - start)
-                piece = (doc, start, length, ids[4 * start : 4 * (start + length)], n)
-                if length == window:
-                    done.append((*piece, base + opened, 0))
-                    opened += 1
-                else:
-                    rest.append(piece)
-                    held += length
-            if len(rest) >= GROUP_PIECES or held >= GROUP_TOKENS or len(done) >= 2000:
-                yield from flush(False)
-        yield from flush(True)
-
-    return docs.select("doc_id", text).mapInPandas(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+        pieces = held = 0
+
+        def flush():
+            nonlocal opened, rest, pieces, held
+            if rest:
+                length, tokens = np.concatenate([r[1] for r in rest]), np.concatenate([r[2] for r in rest])
+                places = np.array(best_fit(length.tolist(), window), np.int64)
+                yield _batch(pa.concat_arrays([r[0] for r in rest]), tokens - length, length, np.concatenate([r[3] for r in rest]), tokens, base + opened + places[:, 0], places[:, 1])
+                opened += int(places[:, 0].max()) + 1
+                rest, pieces, held = [], 0, 0
+
+        for b in batches:
+            every = b.column("doc_id").cast(pa.int64())
+            for g, data in text_groups(b, text, LOOKUP_BYTES):
+                ids, n = encode.texts(data)
+                ids, tokens, doc = np.insert(ids, np.cumsum(n), end_id), n + 1, every[g]
+                full, left = tokens // window, tokens % window
+                begin = np.cumsum(tokens) - tokens
+                of = np.repeat(np.arange(len(tokens)), full)
+                if len(of):
+                    start = (np.arange(len(of)) - np.repeat(np.cumsum(full) - full, full)) * window
+                    for i in range(0, len(of), 1024):
+                        o, s = of[i : i + 1024], start[i : i + 1024]
+                        took = ids[((begin[o] + s)[:, None] + np.arange(window)).ravel()]
+                        yield _batch(doc.take(pa.array(o)), s, np.full(len(o), window, np.int64), took, tokens[o], base + opened + np.arange(len(o)), np.zeros(len(o), np.int64))
+                        opened += len(o)
+                part = np.flatnonzero(left)
+                m = left[part]
+                inside = np.repeat(begin[part] + tokens[part] - m - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                rest.append((doc.take(pa.array(part)), m, tokens[part], ids[inside]))
+                pieces, held = pieces + len(part), held + int(m.sum())
+                if pieces >= GROUP_PIECES or held >= GROUP_TOKENS:
+                    yield from flush()
+        yield from flush()
+
+    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def default_vocabulary() -> str:
