@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, U, groups, mix64, prefix_hashes, slice_hashes, table, utf8
+from .common import STEP_BYTES, U, from_texts, groups, mix64, prefix_hashes, slice_hashes, table, utf8
 
 #: Levels of phrases; one of a level has some three of the level below.
 LEVELS = 5
@@ -15,8 +15,8 @@ LEVELS = 5
 SKETCHED = (2, 3, 4)
 #: Names that a fingerprint keeps: the least of a text's different ones.
 KEEP = 64
-#: Ranges of doc_id that neighbours are looked for in, at most.
-RANGES = 2048
+#: Ranges of doc_id that neighbours are looked for in: at least and at most, and bytes of text in one between these.
+RANGES, RANGE_BYTES = (64, 1 << 16), 1 << 27
 
 
 def _labels(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -101,36 +101,41 @@ def encode(fingerprint: np.ndarray) -> str:
 
 def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """Adds out: a text's fingerprint in hex digits, 8 for each kept name. Equal texts have equal ones; null is as empty."""
-    docs = docs.drop(out)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{out}` string"
-
-    def run(batches):
-        for b in batches:
-            b[out] = [encode(f) for f in fingerprints([utf8(t) for t in b[text]])]
-            yield b
-
-    return docs.mapInPandas(run, schema)
+    return from_texts(docs, text, out, "string", lambda: lambda data: list(map(encode, fingerprints(data))))
 
 
 def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
     """Partitions in which each row of (g, halo, doc_id, t) with halo = 0 stands just before its next document.
 
-    Order: doc_id ascending, nulls last, then text. The ids' range is cut at quantiles; each range's first rows also go,
-    as halo rows, to the range before, and those of the first range to the last. Only texts are shuffled, once.
+    Order: doc_id ascending, nulls last, then text. The ids' range is cut at quantiles, into more ranges the more text there
+    is; each range's first rows also go, as halo rows, to the range before, and those of the first range to the last. Only
+    texts are shuffled, once. The driver gets two numbers a range.
     """
     ids = docs.select("doc_id")
-    cuts = sorted(set(ids.where("doc_id is not null").approxQuantile("doc_id", [i / 64 for i in range(1, 64)], 0.002)))
+    n = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = min(max(RANGES[0], n // RANGE_BYTES), RANGES[1])
     # a doc_id above 2**53 is rounded in the cuts, which only moves a cut
-    cuts = sorted({int(c) for c in cuts})
-    bucket = sum((F.coalesce(F.col("doc_id") > F.lit(c), F.lit(True)).cast("int") for c in cuts), F.lit(0))
-    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(bucket)
-    heads = {r["g"]: r["m"] for r in ids.groupBy(bucket.alias("g")).agg(F.min("doc_id").alias("m")).collect()}  # a row a range
-    order = sorted(heads)
-    before = {g: order[i - 1] for i, g in enumerate(order)}  # the first range's is the last one
+    cuts = sorted({int(c) for c in ids.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n))})
+    last = len(cuts) + 1
+
+    def at_least(values: list[int], x: Column) -> Column:
+        """How many of the ascending values are less than x, by halving steps."""
+        if not values:
+            return F.lit(0)
+        steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(values).bit_length()))))
+        every = F.lit(values).cast("array<bigint>")
+        return F.aggregate(steps, F.lit(0), lambda a, k: F.when((a + k <= len(values)) & (F.get(every, a + k - 1) < x), a + k).otherwise(a))
+
+    bucket = F.when(F.col("doc_id").isNull(), last).otherwise(at_least(cuts, F.col("doc_id").cast("long"))).cast("int")
+    heads = sorted((r["g"], r["m"]) for r in ids.groupBy(bucket.alias("g")).agg(F.min("doc_id").alias("m")).collect())  # a row a range
+    order = [g for g, _ in heads]
+    firsts = [m for _, m in heads if m is not None]
+    # the range before the one that a first id begins; before the first it is the last
+    place = at_least(firsts, F.col("doc_id").cast("long"))
+    before = F.get(F.lit([order[i - 1] for i in range(len(order))] or [0]).cast("array<int>"), F.when(F.col("doc_id").isNull(), len(firsts)).otherwise(place))
+    is_first = F.coalesce(F.get(F.lit(firsts or [0]).cast("array<bigint>"), place) == F.col("doc_id"), F.col("doc_id").isNull())
     rows = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("t"), bucket.alias("g"))
-    to = F.lit(None).cast("int")
-    for g in order:
-        to = F.when((F.col("g") == g) & F.col("doc_id").eqNullSafe(F.lit(heads[g])), before[g]).otherwise(to)
+    to = F.when(is_first, before)
     copies = rows.withColumn("to", to).select("doc_id", "t", F.explode(F.filter(F.array(F.struct("g", F.lit(0).alias("halo")), F.struct(F.col("to").alias("g"), F.lit(1).alias("halo"))), lambda x: x["g"].isNotNull())).alias("x"))
     flat = copies.select("x.g", "x.halo", "doc_id", "t")
     return flat.repartition("g").sortWithinPartitions("g", "halo", F.col("doc_id").asc_nulls_last(), "t")

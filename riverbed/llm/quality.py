@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, crc_mod, groups, mix64, table, utf8, words
+from .common import U, crc_mod, from_texts, mix64, table, utf8, words
 
 #: Size of the weight vector; it alone bounds what the driver gathers and broadcasts (float32).
 BUCKETS = 1 << 18
@@ -98,33 +98,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
             w = train([text[i] for i in order], b["_y"].to_numpy(float)[order])
             yield pd.DataFrame({"n": [len(b)], "w": [w.tobytes()]})
 
-    # a document may repeat: no task gets more than its share of max_rows different ones
-    dealt = data.dropDuplicates(["doc_id"]).repartition(SHARDS, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARDS)))
+    # a document may repeat: the least of its texts counts, so that reruns agree and no task gets more than its share
+    data = data.groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
+    dealt = data.repartition(SHARDS, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARDS)))
     models = [(r["n"], np.frombuffer(r["w"], np.float32)) for r in dealt.mapInPandas(run, "n long, w binary").collect()]
     total = sum(n for n, _ in models)
     return np.sum([w * (n / total) for n, w in sorted(models, key=lambda m: (m[0], m[1].tobytes()))], axis=0).astype(np.float32) if models else np.zeros(BUCKETS + 1, np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
-    """Adds out: the probability of label 1, a sparse dot product of each whole text with the weights. Null texts are empty."""
-    docs = docs.drop(out)
+    """Adds out: the probability of label 1, a sparse dot product of each whole text with the weights.
+
+    Null texts are empty; an empty text's score comes from the constant alone. A column of that name is replaced, all
+    others stay; rows that repeat are scored each; an empty table gives no rows."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{out}` double"
 
-    def run(batches):
+    def make():
         w = held.value.astype(np.float64)
-        for b in batches:
-            data = [utf8(t) for t in b[text]]
-            sums = np.zeros(len(data))
-            for g in groups([len(d) for d in data]):
-                f, n = features(data[g])
-                total = np.concatenate([[0.0], np.cumsum(w[f])])
-                at = np.concatenate([[0], np.cumsum(n)])
-                sums[g] = (total[at[1:]] - total[at[:-1]]) * SCALE / np.maximum(n, 1)
-            b[out] = 1 / (1 + np.exp(-np.clip(sums + w[BUCKETS], -30, 30)))
-            yield b
-
-    return docs.mapInPandas(run, schema)
+
+        def run(data: list[bytes]) -> np.ndarray:
+            f, n = features(data)
+            total = np.concatenate([[0.0], np.cumsum(w[f])])
+            at = np.concatenate([[0], np.cumsum(n)])
+            sums = (total[at[1:]] - total[at[:-1]]) * SCALE / np.maximum(n, 1)
+            return 1 / (1 + np.exp(-np.clip(sums + w[BUCKETS], -30, 30)))
+
+        return run
+
+    return from_texts(docs, text, out, "double", make)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

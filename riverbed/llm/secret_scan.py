@@ -9,13 +9,12 @@ import re
 from bisect import bisect_left
 from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import from_texts, table
 
-KINDS = ("assign", "access", "hex", "der", "ssh", "jwt")
+KINDS = ("assign", "access", "hex", "der", "ssh", "jwt", "public")
 
 
 def _either(word: str) -> str:
@@ -31,7 +30,11 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*={0,2}")
 #: The last line of such a run, if it is a short one.
 TAIL = re.compile(r"\r?\n(?!-----)[A-Za-z0-9+/_-]{1,15}={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+")
-LONG_HEX = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
+LONG_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
+#: Bytes of a key, at most, that stands somewhere inside a run of hex digits.
+HEX_KEY = 1 << 14
+# Object identifiers of RSA and elliptic-curve keys.
+RSA_OID, EC_OID = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{4,}+)\.([A-Za-z0-9_-]*)")  # JSON's "{" begins so
 
 
@@ -66,18 +69,46 @@ def der_whole(head: bytes) -> int | None:
     return 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
 
 
-def is_der_key(data: bytes) -> bool:
-    """A sequence that fills the data and holds, exactly, elements as a PKCS#1, PKCS#8, SEC1 or public key does."""
-    if not data or data[0] != 0x30 or not (whole := der_length(data, 0)) or whole[1] < len(data) - 2:
-        return False
-    tags, at = [], whole[0]
-    while at < whole[1]:
-        if not (part := der_length(data, at)) or part[1] > whole[1]:
-            return False
-        tags.append(data[at])
+def elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, first byte of the content, its end) of the elements that fill a range exactly; else None."""
+    found = []
+    while at < end:
+        if not (part := der_length(data, at)) or part[1] > end:
+            return None
+        found.append((data[at], *part))
         at = part[1]
-    private = tags[:2] == [0x02, 0x02] and len(tags) == 9 or tags[:3] == [0x02, 0x30, 0x04] or tags[:2] == [0x02, 0x04] and 0xA0 in tags[2:]
-    return private or tags == [0x30, 0x03]
+    return found
+
+
+def der_kind(data: bytes) -> str | None:
+    """"der" for a sequence that fills the data and holds, exactly, elements as a PKCS#1, PKCS#8 or SEC1 private key does,
+    "public" for a public key, else None. The parts inside are followed too: the algorithm's sequence, SEC1's tagged parts,
+    and the key that PKCS#8 wraps, where its algorithm says what that must be."""
+    if not data or data[0] != 0x30 or not (whole := der_length(data, 0)) or whole[1] < len(data) - 2:
+        return None
+    parts = elements(data, *whole)
+    tags = [p[0] for p in parts or ()]
+    if tags[:2] == [0x02, 0x02]:
+        return "der" if tags == [0x02] * 9 else None
+    if tags[:2] == [0x02, 0x04]:
+        return "der" if 0xA0 in tags[2:] and all(elements(data, s, e) is not None for t, s, e in parts[2:] if t in (0xA0, 0xA1)) else None
+    if tags[:3] != [0x02, 0x30, 0x04] and tags != [0x30, 0x03]:
+        return None
+    names = elements(data, *parts[tags.index(0x30)][1:])
+    if not names or names[0][0] != 0x06:
+        return None
+    if tags == [0x30, 0x03]:
+        return "public"
+    name, inner = data[names[0][1] : names[0][2]], elements(data, *parts[2][1:])
+    if name in (RSA_OID, EC_OID):
+        within = elements(data, *inner[0][1:]) if inner and [p[0] for p in inner] == [0x30] else None
+        shape = [p[0] for p in within or ()]
+        return "der" if (shape == [0x02] * 9 if name == RSA_OID else shape[:2] == [0x02, 0x04]) else None
+    return "der"
+
+
+def is_der_key(data: bytes) -> bool:
+    return der_kind(data) is not None
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -132,8 +163,8 @@ def keys_in(run: str, tail: str) -> list[tuple[int, int, str]]:
         start, last, kind = lines[i][0], None, "ssh"
         if whole.startswith("M", start):
             n = der_whole(decode64(whole[start : start + 8]) or b"")
-            if n and (j := reaching(n)) < len(lines) and is_der_key(decode64(whole[start : lines[j][1]]) or b""):
-                last, kind = j, "der"
+            if n and (j := reaching(n)) < len(lines) and (known := der_kind(decode64(whole[start : lines[j][1]]) or b"")):
+                last, kind = j, known
         elif whole.startswith("b3BlbnNzaC1rZXktdjEA", start) or whole.startswith("AAAA", start) and (decode64(whole[start : start + 16]) or b"")[4:8] in (b"ssh-", b"ecds"):
             n = before[-1] - before[i]
             text = "".join(whole[s:e] for s, e in lines[i:])
@@ -153,6 +184,22 @@ def keys_in(run: str, tail: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def keys_in_hex(run: str) -> list[tuple[int, int, str]]:
+    """Keys in a run of hex digits, wherever they begin; an SSH key must end with the run."""
+    found, at = [], 0
+    while (at := run.find("30", at)) >= 0:
+        n = der_whole(bytes.fromhex(run[at : at + 12])) if at + 48 <= len(run) else None
+        known = der_kind(bytes.fromhex(run[at : at + 2 * n])) if n and 24 <= n <= HEX_KEY and at + 2 * n <= len(run) else None
+        if known:
+            found.append((at, at + 2 * n, known))
+        at += 2 * n if known else 1
+    for at in (0, 1) if not found else ():
+        data = bytes.fromhex(run[at : len(run) - (len(run) - at) % 2])
+        if data[:1] in (b"\0", b"o") and is_ssh_key(data):
+            return [(at, at + 2 * len(data), "ssh")]
+    return found
+
+
 def is_token_header(text: str) -> bool:
     data = decode64(text)
     try:
@@ -171,11 +218,7 @@ def confirmed(text: str) -> list[tuple[int, int, str]]:
         tail = None if m[0].endswith("=") else TAIL.match(text, m.end())
         found += [(m.start() + s, m.start() + e, kind) for s, e, kind in keys_in(m[0], tail[0] if tail else "")]
     for m in LONG_HEX.finditer(text):
-        data = bytes.fromhex(m[0])
-        if data[0] == 0x30 and is_der_key(data):
-            found.append((m.start(), m.end(), "der"))
-        elif data[0] in (0, 0x6F) and is_ssh_key(data):
-            found.append((m.start(), m.end(), "ssh"))
+        found += [(m.start() + s, m.start() + e, kind) for s, e, kind in keys_in_hex(m[0])]
     return found
 
 
@@ -192,34 +235,27 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
 
 def secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds secrets: array of (start, end, kind) of the whole text; empty and null texts have none. Rows stand for themselves."""
-    docs = docs.drop("secrets")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, secrets array<struct<start:long,end:long,kind:string>>"
 
-    def run(batches):
-        for b in batches:
-            b["secrets"] = [[{"start": s, "end": e, "kind": k} for s, e, k in scan(t)] for t in b[text]]
-            yield b
+    def run(data: list[bytes]) -> list:
+        return [[{"start": s, "end": e, "kind": k} for s, e, k in scan(t.decode("utf-8", "replace"))] for t in data]
 
-    return docs.mapInPandas(run, schema)
+    return from_texts(docs, text, "secrets", "array<struct<start:bigint,end:bigint,kind:string>>", lambda: run)
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with each run of characters that spans cover replaced by mark; other texts stay as they are."""
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for t in b[text]:
-                parts, at = [], 0
-                for s, e, _ in scan(t):
-                    if s >= at:
-                        parts += [t[at:s], mark]
-                    at = max(at, e)
-                out.append("".join([*parts, t[at:]]) if parts else t)
-            b[text] = out
-            yield b
-
-    return docs.mapInPandas(run, docs.schema)
+    """docs with each run of characters that spans cover replaced by mark; other texts, null and empty ones included, stay
+    as they are, as do all other columns. Rows that repeat stay rows."""
+
+    def one(data: bytes) -> str:
+        t = data.decode("utf-8", "replace")
+        parts, at = [], 0
+        for s, e, _ in scan(t):
+            if s >= at:
+                parts += [t[at:s], mark]
+            at = max(at, e)
+        return "".join([*parts, t[at:]])
+
+    return from_texts(docs, text, text, "string", lambda: lambda data: list(map(one, data)))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, table
+from .common import crc_mod, cut, from_texts, table
 
 #: Labelled rows to learn from at most: those of the smallest hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -76,7 +76,7 @@ def evidence(docs: DataFrame, label: str) -> DataFrame:
     return counts.where("bad + good > 2")
 
 
-def learn_lexicon(docs: DataFrame, label: str) -> tuple[dict[str, float], list[str]]:
+def learn_lexicon(docs: DataFrame, label: str, entries: int = ENTRIES, most_phrases: int = PHRASES) -> tuple[dict[str, float], list[str]]:
     """Entries with weights (log odds of the share of toxic and of other documents that hold them), and exception phrases:
     pairs of words that hold a word of the lexicon but stand in other documents as often as in toxic ones, or more."""
 
@@ -88,14 +88,14 @@ def learn_lexicon(docs: DataFrame, label: str) -> tuple[dict[str, float], list[s
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
     least = max(4, math.ceil(bad * 0.002))
     chosen = counts.where(~F.col("entry").contains(" ") & (F.col("bad") >= least)).withColumn("w", odds).where("w > 2.0")
-    rows = chosen.orderBy((F.col("w") * F.sqrt("bad")).desc(), "entry").limit(ENTRIES).collect()
+    rows = chosen.orderBy((F.col("w") * F.sqrt("bad")).desc(), "entry").limit(entries).collect()
     lexicon = {r["entry"]: float(r["w"]) for r in rows}
     words = [e for e in lexicon if not e.endswith("*")]
     phrases = []
     if words:
         part = F.split("entry", " ")
         mixed = counts.where(F.col("entry").contains(" ") & (part[0].isin(words) | part[1].isin(words)) & (F.col("good") >= 3)).withColumn("w", odds).where("w <= 0")
-        phrases = [r["entry"] for r in mixed.orderBy(F.col("good").desc(), "entry").limit(PHRASES).collect()]
+        phrases = [r["entry"] for r in mixed.orderBy(F.col("good").desc(), "entry").limit(most_phrases).collect()]
     return lexicon, phrases
 
 
@@ -152,42 +152,46 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = TRAIN_ROWS) -> dict:
-    """A model: lexicon, exception phrases and the calibration's weights, from at most max_rows labelled documents.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = TRAIN_ROWS, entries: int = ENTRIES, phrases: int = PHRASES) -> dict:
+    """A model: lexicon (of at most so many entries), exception phrases (likewise) and the calibration's weights, from at most
+    max_rows labelled documents.
 
-    Labels that are null are left out; with no labels at all every score is 0.5. The driver gets the lexicon and four
-    numbers for each training row.
+    Labels that are null are left out; labels of one document that differ count as their mean, rounded, and of texts that
+    share a doc_id the least counts, so that reruns agree. With no labels at all every score is 0.5. The driver gets the
+    lexicon and four numbers for each training row.
     """
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.round(F.avg(label)).cast("int").alias(label))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     data = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # at most max_rows pairs of numbers
-    lexicon, phrases = learn_lexicon(data, label)
+    data = cut(data.groupBy("doc_id", label).agg(F.min("text").alias("text")))
+    lexicon, exceptions = learn_lexicon(data, label, entries, phrases)
 
     def run(batches):
-        a = automaton(lexicon, phrases)
+        a = automaton(lexicon, exceptions)
         for b in batches:
             m = measures(list(b.text), a)
             yield pd.DataFrame({"doc_id": b.doc_id, "y": b[label].astype("float64")} | {f"m{i}": m[:, i] for i in range(m.shape[1])})
 
-    got = data.dropDuplicates(["doc_id"]).mapInPandas(run, "doc_id long, y double, m0 double, m1 double, m2 double, m3 double").toPandas().sort_values("doc_id")
-    return {"lexicon": lexicon, "phrases": phrases, "weights": calibrate(got[["m0", "m1", "m2", "m3"]].to_numpy(float), got.y.to_numpy(float))}
+    got = data.mapInPandas(run, "doc_id long, y double, m0 double, m1 double, m2 double, m3 double").toPandas().sort_values("doc_id")
+    return {"lexicon": lexicon, "phrases": exceptions, "weights": calibrate(got[["m0", "m1", "m2", "m3"]].to_numpy(float), got.y.to_numpy(float))}
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
-    """Adds out, 0 to 1: how likely each whole text is toxic. Null texts are empty; an empty text gets what its measures give."""
-    docs = docs.drop(out)
+    """Adds out, 0 to 1: how likely each whole text is toxic. Null texts are empty; an empty text gets what its measures give.
+    A column of that name is replaced, all others stay; rows that repeat are scored each; an empty table gives no rows."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{out}` double"
 
-    def run(batches):
+    def make():
         m = held.value
         a = automaton(m["lexicon"], m["phrases"])
-        for b in batches:
-            x = measures(list(b[text]), a)
-            b[out] = 1 / (1 + np.exp(-np.clip(x @ m["weights"][:-1] + m["weights"][-1], -30, 30)))
-            yield b
 
-    return docs.mapInPandas(run, schema)
+        def run(data: list[bytes]) -> np.ndarray:
+            x = measures([t.decode("utf-8", "replace") for t in data], a)
+            return 1 / (1 + np.exp(-np.clip(x @ m["weights"][:-1] + m["weights"][-1], -30, 30)))
+
+        return run
+
+    return from_texts(docs, text, out, "double", make)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
