@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import operator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +11,12 @@ from .common import U, cut, mix64, table, text_groups, utf8, words
 
 #: Two sets of similarity 0.8 share a band with probability 0.33, so all bands miss them 3 times in a million; at 0.9, never.
 BANDS, ROWS = 32, 5
-#: Documents of one band key beyond which their pairs are compared by WIDE further bits before they are formed.
-LARGE_KEY, WIDE = 16, 4096
+#: Documents of one band key beyond which their pairs are formed under the rare shingles that they share.
+LARGE_KEY = 16
+#: Counters (of four bytes) that shingles of such documents are hashed to, to tell rare ones, and how many go in one row.
+COUNTERS, COUNTER_ROW = 1 << 20, 1 << 14
+#: Texts that one task compares with one and the same text; more are dealt to further tasks.
+FOLLOWERS = 512
 #: Ids up to which a set of documents is broadcast to filter the texts before their shuffle (16 bytes or so each).
 BROADCAST_IDS = 500_000
 _STEP, _SPREAD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -96,41 +97,94 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.id, "left_semi")
 
 
-def wide(docs: DataFrame, ids: DataFrame, width: int, text: str = "text") -> DataFrame:
-    """(id, w, bands) for the documents in ids: the low bits of WIDE further coordinates as longs, and the band keys.
-    A doc_id that stands for several different texts has none."""
+def _bucket(values: np.ndarray) -> np.ndarray:
+    return (mix64(values) % U(COUNTERS)).astype(np.int64)
+
+
+def rarity(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
+    """In how many of docs the shingles of each of COUNTERS buckets stand: never less than for the shingle itself. Each task
+    adds up its own counters, then one task for each COUNTER_ROW of them adds those of all tasks, a row at a time."""
+
+    def count(batches):
+        seen = np.zeros(COUNTERS, np.uint32)
+        for b in batches:
+            for _, data in text_groups(b, text):
+                k, n = np.unique(_bucket(shingles(data, width)[0]), return_counts=True)
+                seen[k] += n.astype(np.uint32)
+        for i in range(0, COUNTERS, COUNTER_ROW):
+            if (part := seen[i : i + COUNTER_ROW]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.tobytes()], pa.binary())], ["part", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, c in zip(b.column("part").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                sums[i] = sums.get(i, np.uint32(0)) + np.frombuffer(c, np.uint32)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
+
+    schema = "part long, counts binary"
+    out = np.zeros(COUNTERS, np.uint32)
+    for r in docs.select(text).mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():  # COUNTERS numbers, whatever the input
+        out[r["part"] : r["part"] + COUNTER_ROW] = np.frombuffer(r["counts"], np.uint32)
+    return out
+
+
+def rare_shingles(docs: DataFrame, seen: np.ndarray, width: int, percent: int, text: str = "text") -> DataFrame:
+    """(id, n, i, token): of each text, with n shingles, those at the places i of the rarest first (by bucket, then hash) that
+    a set of the given similarity must share at least one of; but for shingles that stand in one text alone."""
+    held = docs.sparkSession.sparkContext.broadcast(seen)
 
     def run(batches):
+        seen = held.value
         for b in batches:
             ids = b.column("doc_id").cast(pa.int64())
             for g, data in text_groups(b, text):
                 values, counts = shingles(data, width)
-                full = np.flatnonzero(counts)
-                if not len(full):
-                    continue
-                counts = counts[full]
-                w = np.packbits(signatures(values, counts, WIDE, BANDS * ROWS, 1), axis=1).view(np.int64)
-                x = np.concatenate([w, band_keys(signatures(values, counts, BANDS * ROWS))], 1)
-                lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], np.int32), x.ravel())
-                yield pa.RecordBatch.from_arrays([ids[g].take(pa.array(full)), lists], ["id", "x"])
-
-    rows = only(docs, ids).select("doc_id", text).mapInArrow(run, "id long, x array<long>")
-    one = rows.groupBy("id").agg(F.min("x").alias("x"), F.max("x").alias("_y")).where("x = _y")
-    return one.select("id", F.slice("x", 1, WIDE // 64).alias("w"), F.slice("x", WIDE // 64 + 1, BANDS).alias("bands"))
-
-
-def far_bits(percent: int) -> int:
-    """Most bits of WIDE in which sets of that similarity differ, but for once in three million pairs (five deviations)."""
-    p = (1 - percent / 100) / 2
-    return int(WIDE * p + 5 * (WIDE * p * (1 - p)) ** 0.5) + 1
+                often = seen[_bucket(values)]
+                doc, place, token, at = [], [], [], 0
+                for d, n in enumerate(counts.tolist()):
+                    v, c, at = values[at : at + n], often[at : at + n], at + n
+                    first = np.lexsort((v, c))[: n - -(-percent * n // 100) + 1]
+                    i = np.flatnonzero(c[first] > 1)
+                    doc.append(np.full(len(i), d))
+                    place.append(i)
+                    token.append(v[first[i]])
+                doc = np.concatenate(doc)
+                columns = [ids[g].take(pa.array(doc)), pa.array(counts[doc]), pa.array(np.concatenate(place).astype(np.int64)), pa.array(np.concatenate(token).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "i", "token"])
+
+    return docs.select("doc_id", text).mapInArrow(run, "id long, n long, i long, token long")
+
+
+def crowded(placed: DataFrame, docs: DataFrame, width: int, percent: int, text: str = "text") -> DataFrame:
+    """Pairs (a, b) of documents in placed (key, rep, c: component) that share a key, have different components and may be
+    similar enough; no such pair is left out.
+
+    In a family of copies that differ a little too much nearly all pairs share some band. So pairs are formed under a
+    shingle that both have among their rarest (two sets of the similarity share one there), and only if enough shingles
+    come after it in both: if it is the first that they share, those before it are in one set alone.
+    """
+    who = cut(placed.groupBy("rep").agg(F.first("c").alias("c"), F.collect_set("key").alias("keys")))  # at most BANDS keys
+    texts = only(docs, who.select(F.col("rep").alias("id")))
+    rare = rare_shingles(texts, rarity(texts, width, text), width, percent, text)
+    left = cut(rare.join(who, rare.id == who.rep).select("token", "rep", "n", "i", "c", "keys"))
+    right = left.select("token", *(F.col(x).alias(f"{x}_") for x in left.columns if x != "token"))
+    most = F.least(F.col("n") - F.col("i"), F.col("n_") - F.col("i_"))
+    may = (F.col("c") < F.col("c_")) & (100 * most >= percent * (F.col("n") + F.col("n_") - most)) & F.arrays_overlap("keys", "keys_")
+    return left.join(right, "token").where(may).select(F.greatest("rep", "rep_").alias("a"), F.least("rep", "rep_").alias("b"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, text: str = "text") -> DataFrame:
     """Those pairs (a, b) of documents for which 100 * intersection >= percent * union, on their full sets of shingles."""
     texts = only(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()).select("doc_id", F.coalesce(text, F.lit("")).alias("_t"))
-    left = pairs.join(texts, pairs.a == texts.doc_id).select("a", "b", F.col("_t").alias("_ta"))
-    right = texts.select(F.col("doc_id").alias("_b"), F.col("_t").alias("_tb"))
-    both = left.join(right, F.col("b") == F.col("_b")).select("a", "b", "_ta", "_tb")
+    # a text that very many are compared with goes to several tasks
+    heavy = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / FOLLOWERS).alias("_parts")).where("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    salted = pairs.join(heavy, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).alias("_p"))
+    left = salted.join(texts, salted.a == texts.doc_id).select("a", "b", "_p", F.col("_t").alias("_ta"))
+    right = texts.join(heavy, texts.doc_id == heavy.b, "left").select(F.col("doc_id").alias("_b"), F.col("_t").alias("_tb"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_q"))
+    both = left.join(right, (F.col("b") == F.col("_b")) & (F.col("_p") == F.col("_q"))).select("a", "b", "_ta", "_tb")
 
     def run(batches):
         known, of = np.zeros(0, U), None
@@ -176,9 +230,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
 
     Documents of equal sets form one class; its least doc_id stands for it. Within the documents of one band key, each
     is compared with the least; pairs of documents that are still in different components after that are compared too,
-    so that no link is lost that joins two components, but for those that sizes rule out, or, where both documents have
-    keys of more than LARGE_KEY documents, WIDE further bits (one link of least similarity in three million). A document without words (empty or
-    null text) is linked with nothing, nor is one without an id: its component is its own doc_id, and kept is true.
+    so that no link that shares a band is lost if it joins two components: pairs that aren't formed can't be similar
+    enough by their sizes, or by their rarest shingles where a key has more than LARGE_KEY documents. A document without
+    words (empty or null text) is linked with nothing, nor is one without an id: its component is its own doc_id, and kept
+    is true. An empty table gives no rows; other columns of docs are ignored.
     Rows that repeat a doc_id are taken one by one; those of equal sets share a component.
     """
     docs = docs.select("doc_id", text)
@@ -194,17 +249,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     placed = near.join(found, near.rep == found.id, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("_l"), F.max("c").alias("_h"), F.count(F.lit(1)).alias("m")).where("_l < _h").select("key", "m")
     placed = cut(placed.join(split, "key"))
-    crowd = cut(placed.where(F.col("m") > LARGE_KEY).select(F.col("rep").alias("id")).distinct())
-    # in a family of copies that differ a little too much, nearly all pairs share some bands: none is formed twice, nor with bits too far apart
-    more = cut(wide(docs, crowd, width, text))
-    earlier = F.slice("bands", 1, F.greatest(F.array_position("bands", F.col("key")) - 1, F.lit(0)).cast("int"))
-    longs = [f"w{i}" for i in range(WIDE // 64)]
-    placed = placed.join(more, placed.rep == more.id, "left").select("key", "rep", "n", "c", earlier.alias("e"), *(F.get("w", F.lit(i)).alias(x) for i, x in enumerate(longs)))
-    other = placed.select("key", *(F.col(x).alias(f"{x}_") for x in placed.columns if x != "key"))
-    far = functools.reduce(operator.add, (F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_"))) for x in longs))
+    few = placed.where(F.col("m") <= LARGE_KEY).select("key", "rep", "n", "c")
+    other = few.select("key", *(F.col(x).alias(f"{x}_") for x in few.columns if x != "key"))
     fits = 100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")
-    may = (F.col("c") < F.col("c_")) & fits & F.coalesce(far <= far_bits(percent), F.lit(True)) & ~F.coalesce(F.arrays_overlap("e", "e_"), F.lit(False))
-    pairs = placed.join(other, "key").where(may).select(F.greatest("rep", "rep_").alias("a"), F.least("rep", "rep_").alias("b")).distinct()
+    pairs = few.join(other, "key").where((F.col("c") < F.col("c_")) & fits).select(F.greatest("rep", "rep_").alias("a"), F.least("rep", "rep_").alias("b"))
+    pairs = pairs.union(crowded(placed.where(F.col("m") > LARGE_KEY), docs, width, percent, text)).distinct()
     pairs = cut(pairs.join(first, ["a", "b"], "left_anti"))
     # one row a component is enough where the second round links nothing
     all_links = links.union(cut(verify(pairs, docs, width, percent, text)))
