@@ -19,7 +19,7 @@ LANDING = 12
 BROADCAST_SOURCES = 20_000
 
 
-def words_in(text: str) -> Column:
+def words_in(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
@@ -89,32 +89,33 @@ def landing(x: np.ndarray, size: np.ndarray) -> np.ndarray:
     return x
 
 
-def sample(sized: DataFrame, seed: int = 0, most: float = 2.0) -> DataFrame:
-    """sized: doc_id, source, size (null sizes are 0). Adds source_size, target, copies: how often the mix takes the document.
+def choose(units: DataFrame, seed: int = 0, most: float = 2.0) -> DataFrame:
+    """units: source, size, times (rows that are alike count as one unit, so that however many they are they are one number
+    here) and further columns, doc_id among them, which together with source and size tell units apart. Adds source_size,
+    target, and copies: how often the mix takes the unit's rows, all together.
 
-    A document's expected copies are its source's target over its size, 0 to most; the whole part is certain, the rest
-    is decided by balanced sampling within the source: blocks of documents first, then what each block leaves
-    undecided (two documents) in larger blocks, until one is left. Reruns over the same rows agree. A null source is one
-    source. Rows that repeat count each.
+    A row's expected copies are its source's target over its size, 0 to most; the whole part of a unit's is certain, the rest
+    is decided by balanced sampling within the source: blocks of units first, then what each block leaves undecided (two
+    units) in larger blocks, until one is left. Reruns over the same rows agree. A null source is one source.
     """
-    sized = sized.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
-    sized = cut(sized)
-    per = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n")))
+    units = cut(units)
+    keys = [c for c in units.columns if c not in ("source", "size", "times")]
+    per = cut(units.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("source_size"), F.count(F.lit(1)).alias("_n")))
     wanted = targets(per.select("source", "source_size"), most=most).join(per.select(F.col("source").alias("_s"), "_n"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     wanted = cut(wanted.withColumnRenamed("source", "_source"))
     small = F.broadcast(wanted) if wanted.count() <= BROADCAST_SOURCES else wanted
-    rows = sized.join(small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumn("_base", F.floor(ratio + 1e-12).cast("double")).withColumn("_x", F.greatest(F.lit(0.0), ratio - F.col("_base")))
+    rows = units.join(small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    total = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("times")
+    rows = rows.withColumn("_base", F.floor(total + 1e-12).cast("double")).withColumn("_x", F.greatest(F.lit(0.0), total - F.col("_base")))
     rows = rows.withColumn("_x", F.when(F.col("_x") < 1e-9, 0.0).otherwise(F.col("_x")))
     schema = rows.withColumn("_b", F.lit(0).cast("long")).schema
     done, level, n = [], 0, (per.agg(F.max("_n")).first()[0] or 0)
 
     def decide(last: bool, salt: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids = pdf.doc_id.fillna(-1).astype("int64").to_numpy()
-            order = np.lexsort((pdf["size"].to_numpy(), mix64(ids.astype(U) + U(salt))))
-            pdf = pdf.iloc[order]
+            ids = [pdf[k] for k in keys]
+            columns = [*(mix64(x.fillna(-1).astype("int64").to_numpy().astype(U) + U(salt)) for x in ids), *(x.isna().to_numpy() for x in ids), pdf["size"].to_numpy()]
+            pdf = pdf.iloc[np.lexsort(columns[::-1])]
             x, size = pdf["_x"].to_numpy(float), pdf["size"].to_numpy(float)
             rng = np.random.default_rng([seed, salt, int(pdf.sid.iloc[0]), int(pdf["_b"].iloc[0])])
             x = flight(x, size, rng, LANDING if last else 2)
@@ -125,7 +126,7 @@ def sample(sized: DataFrame, seed: int = 0, most: float = 2.0) -> DataFrame:
     while True:
         blocks = F.ceil(F.col("_n") / F.lit(BLOCK))
         last = n <= BLOCK
-        dealt = rows.withColumn("_b", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), blocks))
+        dealt = rows.withColumn("_b", F.pmod(F.xxhash64(*keys, "size", F.lit(level)), blocks))
         out = cut(dealt.groupBy("sid", "_b").applyInPandas(decide(last, level + 1), schema))
         open_ = (F.col("_x") > 0) & (F.col("_x") < 1)
         done.append(out.where(~open_))
@@ -138,7 +139,27 @@ def sample(sized: DataFrame, seed: int = 0, most: float = 2.0) -> DataFrame:
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)
-    return every.select("doc_id", "source", "size", "source_size", "target", (F.col("_base") + F.col("_x")).cast("long").alias("copies"))
+    return every.select(*keys, "source", "size", "times", "source_size", "target", (F.col("_base") + F.col("_x")).cast("long").alias("copies"))
+
+
+def repeated(df: DataFrame, times: Column) -> DataFrame:
+    """Each row as often as times says, with the number of the repeat (from 0) as _k; no array of all of them is built."""
+    blocks = df.withColumn("_t", times).where("_t > 0").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_t") - 1) / F.lit(BLOCK)).cast("long"))))
+    last = F.least(F.col("_t"), (F.col("_k") + 1) * BLOCK) - 1
+    return blocks.withColumn("_k", F.explode(F.sequence(F.col("_k") * BLOCK, last))).drop("_t")
+
+
+def sample(sized: DataFrame, seed: int = 0, most: float = 2.0) -> DataFrame:
+    """sized: doc_id, source, size (null sizes are 0; other columns are ignored). For each row: doc_id, source, size,
+    source_size, target and copies, how often the mix takes it.
+
+    See choose(). Rows that repeat count each; what is taken of them all is dealt to them evenly. Documents without words
+    aren't taken where their whole source has none. An empty table gives no rows.
+    """
+    units = sized.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size")).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("times"))
+    out = repeated(choose(units, seed, most), F.col("times"))
+    copies = F.floor(F.col("copies") / F.col("times")).cast("long") + (F.col("_k") < F.col("copies") % F.col("times")).cast("long")
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,14 +170,19 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def take(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken (0, 1 or 2 times)."""
-    columns = docs.columns
-    mixed = sample(docs.select("doc_id", "source", words_in(text).alias("size")))
-    # rows of one id, source and size are taken alike often on the whole, whichever they are
-    n = Window.partitionBy("doc_id", "source", "_size").orderBy(F.lit(0))
-    numbered = docs.withColumn("_size", words_in(text)).withColumn("_k", F.row_number().over(n))
-    right = mixed.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
-    right = right.withColumn("_j", F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy("copies")))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_k") == F.col("_j"))
-    joined = numbered.join(right, on).where("copies > 0")
-    return joined.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    """The mix itself: each row of docs, with all its columns and whatever their names, as often as it is taken (0, 1 or 2
+    times). Rows that are alike in every column are one unit of the sample, so that a rerun takes the same rows; null and
+    empty texts have the size 0. An empty table gives no rows."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+    def keys(df: DataFrame, *more: Column) -> DataFrame:
+        r = F.col("row")
+        return df.select(*more, r["doc_id"].alias("doc_id"), r["source"].alias("source"), words_in(r[text]).alias("size"), F.xxhash64("row").alias("unit"))
+
+    units = keys(whole).groupBy("doc_id", "source", "size", "unit").agg(F.count(F.lit(1)).alias("times"))
+    chosen = cut(choose(units).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("unit").alias("_u"), "times", "copies"))
+    if not chosen.where("times > 1").isEmpty():  # rows that repeat fold before they are shuffled
+        whole = whole.groupBy("row").agg(F.count(F.lit(1)).alias("_c")).select("row")
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("unit") == F.col("_u"))
+    taken = keys(whole, F.col("row")).join(chosen.where("copies > 0"), on).select("row", "copies")
+    return repeated(taken, F.col("copies")).select("row.*")
