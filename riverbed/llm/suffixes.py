@@ -169,27 +169,30 @@ def repeats(segments: list[bytes], owners: np.ndarray, places: np.ndarray, twice
     return [hit[e - s + 1 : max(e - s + 1, e - length + 1)] for e, s in zip(ends, sizes, strict=True)]
 
 
-def _windows(segment: bytes, length: int) -> np.ndarray:
-    starts = np.arange(len(segment) - length + 1)
-    return slice_hashes(prefix_hashes(mix64(np.frombuffer(segment, np.uint8).astype(U) + U(1))), starts, starts + length)
-
-
-def merge(shards: list[list[tuple]], length: int) -> None:
-    """Find windows that shards of one anchor have in common by binary search in their sorted windows; marks both."""
-    sorted_: list[tuple] = []
-    for shard in shards:
-        h = np.concatenate([_windows(s[0], length) for s in shard])
-        at = np.concatenate([np.stack([np.full(len(s[3]), i), np.arange(len(s[3]))], 1) for i, s in enumerate(shard)])
-        o = np.argsort(h, kind="stable")
-        h, at = h[o], at[o]
-        for h2, at2, shard2 in sorted_:
-            k = np.minimum(np.searchsorted(h2, h), len(h2) - 1)
-            for i in np.flatnonzero(h2[k] == h):
-                shard[at[i, 0]][3][at[i, 1]] = True
-            k = np.minimum(np.searchsorted(h, h2), len(h) - 1)
-            for i in np.flatnonzero(h[k] == h2):
-                shard2[at2[i, 0]][3][at2[i, 1]] = True
-        sorted_.append((h, at, shard))
+def windows(shard: list[tuple], length: int) -> np.ndarray:
+    """Different windows of a shard, sorted: two hashes of each (128 bits), then owner, tag and start of the only place where
+    it stands there, or start -1 where it stands twice, which the shard itself has found."""
+    found = []
+    for data, owners, places, hit in shard:
+        x = np.frombuffer(data, np.uint8).astype(U)
+        at = np.arange(len(hit))
+        one, two = (slice_hashes(prefix_hashes(mix64(x + salt)), at, at + length).view(np.int64) for salt in (U(1), U(1 << 20)))
+        owner, tag = owners[0]
+        found.append(np.stack([one, two, np.full(len(at), owner), np.full(len(at), tag), np.where(hit, -1, places[0] + at)], 1))
+    every = np.concatenate(found)
+    every = every[np.lexsort((every[:, 1], every[:, 0]))]
+    return every[np.append(True, (np.diff(every[:, :2], axis=0) != 0).any(1))] if len(every) else every
+
+
+def meet(known: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the sorted windows of a further shard into those known by binary search. Returns what is known then, and the
+    places (owner, tag, start) that have a like window in the other."""
+    at = np.searchsorted(known[:, 0], more[:, 0])
+    k = np.minimum(at, len(known) - 1)
+    same = (known[k, :2] == more[:, :2]).all(1) if len(known) else np.zeros(len(more), bool)
+    hits = np.concatenate([more[same, 2:], known[k[same], 2:]]) if same.any() else np.zeros((0, 3), np.int64)
+    known[k[same], 4] = -1
+    return np.insert(known, at[~same], more[~same], axis=0), hits[hits[:, 2] >= 0]
 
 
 def _shard(rows: list[tuple], length: int) -> list[tuple]:
@@ -210,7 +213,16 @@ def _found(shard: list[tuple], length: int) -> pd.DataFrame:
         edges = np.flatnonzero(np.diff(hit, prepend=False, append=False))
         for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             out += [(o, t, p + s, p + e - 1 + length) for (o, t), p in zip(owners, places, strict=True)]
-    return pd.DataFrame(out, columns=["owner", "tag", "start", "end"], dtype="int64")
+    return pd.DataFrame(out, columns=["owner", "tag", "start", "end"], dtype="int64").assign(key=0, range=0, windows=None)
+
+
+def _runs(hits: np.ndarray, length: int) -> pd.DataFrame:
+    """(owner, tag, start, end) of what windows at the places (owner, tag, start) cover, neighbours together."""
+    hits = hits[np.lexsort((hits[:, 2], hits[:, 1], hits[:, 0]))]
+    new = np.append(True, (np.diff(hits[:, :2], axis=0) != 0).any(1) | (np.diff(hits[:, 2]) > 1)) if len(hits) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(hits)) - 1
+    return pd.DataFrame({"owner": hits[first, 0], "tag": hits[first, 1], "start": hits[first, 2], "end": hits[last[: len(first)], 2] + length})
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -243,38 +255,55 @@ def spans(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFram
     # rows that repeat in full are found more than once here; what follows holds each place once
     segments = marked.join(copies.select("owner", "tag"), ["owner", "tag"]).select("owner", "tag", F.explode(F.arrays_zip("key", "lo", "hi", "n")).alias("s"))
     segments = segments.select("owner", "tag", "s.key", "s.lo", "s.hi", "s.n")
-    again = segments.groupBy("key").agg(F.sum("n").alias("_n")).where("_n > 1").select("key")
-    wanted = segments.join(again, "key").groupBy("owner", "tag").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("segments"))
+    again = segments.groupBy("key").agg(F.sum("n").alias("_n"), F.sum(F.col("hi") - F.col("lo") + length).alias("_bytes")).where("_n > 1")
+    parts = F.when(F.col("_bytes") > SHARD_BYTES, F.ceil(F.col("_bytes") * 2 / SHARD_BYTES)).otherwise(1).cast("long")
+    wanted = segments.join(again.select("key", parts.alias("parts")), "key").groupBy("owner", "tag").agg(F.collect_list(F.struct("key", "lo", "hi", "parts")).alias("segments"))
+
+    step = max(1, SHARD_BYTES // 4)  # windows of a segment that are dealt together
 
     def fetch(batches):
+        columns = ["key", "part", "parts", "owner", "tag", "lo", "data"]
         for b in batches:
             for g in groups([sum(r["hi"] - r["lo"] + length for r in s) for s in b.segments], 1 << 24):
                 rows = []
                 for owner, tag, t, found in zip(b.owner[g], b.tag[g], b["_t"][g], b.segments[g], strict=True):
                     data = utf8(t)
-                    rows += [(r["key"], owner, tag, r["lo"], data[r["lo"] : r["hi"] + length]) for r in found]
-                yield pd.DataFrame(rows, columns=["key", "owner", "tag", "lo", "data"])
+                    rows += [(r["key"], 0, r["parts"], owner, tag, lo, data[lo : min(r["hi"], lo + step - 1) + length]) for r in found for lo in range(r["lo"], r["hi"] + 1, step)]
+                out = pd.DataFrame(rows, columns=columns)
+                if len(out):
+                    spread = mix64(out.owner.to_numpy(np.int64).astype(U) + mix64(out.tag.to_numpy(np.int64).astype(U) + out.lo.to_numpy(np.int64).astype(U)))
+                    out["part"] = (spread % out.parts.to_numpy(np.int64).astype(U)).astype(np.int64)
+                yield out
 
     # the same columns as remove_repeats() joins, so that texts are shuffled once for both
     pieces = texts.drop("_sha").join(wanted, ["owner", "tag"])
-    dealt = pieces.mapInPandas(fetch, "key long, owner long, tag long, lo long, data binary").repartition("key").sortWithinPartitions("key", "owner", "tag", "lo")
+    dealt = pieces.mapInPandas(fetch, "key long, part long, parts long, owner long, tag long, lo long, data binary").repartition("key", "part").sortWithinPartitions("key", "part", "owner", "tag", "lo")
 
     def work(batches):
-        """Shards of about SHARD_BYTES, cut between keys; a key that doesn't fit has shards of its own, which are merged."""
+        """Shards of about SHARD_BYTES. Keys that fit are never cut; those that don't are dealt in parts, each with shards
+        of its own, and what windows these have goes on, by range of hash, to be met with those of the others."""
         shard: list[tuple] = []
         of_key: list[tuple] = []
-        large: list[list[tuple]] = []
-        size, key = [0, 0], None
+        size, at, several = [0, 0], (None, 0, 1), False
+
+        def large():
+            nonlocal of_key, size
+            done = _shard(of_key, length)
+            of_key, size = [], [size[0], 0]
+            yield _found(done, length)
+            w = windows(done, length)
+            place = (w[:, 0].view(U) >> U(32)) * U(at[2]) >> U(32)  # ranges: as many as parts
+            order = np.argsort(place, kind="stable")
+            some, first = np.unique(place[order], return_index=True)
+            blobs = [x.tobytes() for x in np.split(w[order], first[1:])]
+            yield pd.DataFrame({"owner": 0, "tag": 0, "start": 0, "end": 0, "key": at[0], "range": some.astype(np.int64), "windows": blobs})
 
         def end_of_key():
-            nonlocal shard, of_key, large, size
-            if large:
+            nonlocal shard, of_key, size, several
+            if several or at[2] > 1:
                 if of_key:
-                    large.append(_shard(of_key, length))
-                merge(large, length)
-                for x in large:
-                    yield _found(x, length)
-                of_key, large, size = [], [], [size[0], 0]
+                    yield from large()
+                several = False
             elif size[0] + size[1] > SHARD_BYTES and shard:
                 yield _found(_shard(shard, length), length)
                 shard, of_key, size = of_key, [], [size[1], 0]
@@ -282,20 +311,33 @@ def spans(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFram
                 shard, of_key, size = shard + of_key if len(of_key) > 1 else [*shard, *of_key], [], [sum(size), 0]
 
         for b in batches:
-            for k, owner, tag, lo, data in zip(b.key, b.owner, b.tag, b.lo, b["data"], strict=True):
-                if k != key:
+            for k, part, parts, owner, tag, lo, data in zip(b.key, b.part, b.parts, b.owner, b.tag, b.lo, b["data"], strict=True):
+                if (k, part) != at[:2]:
                     yield from end_of_key()
-                    key = k
+                    at = (k, part, parts)
                 elif size[1] >= SHARD_BYTES:
-                    large.append(_shard(of_key, length))
-                    of_key, size = [], [size[0], 0]
+                    yield from large()
+                    several = True
                 of_key.append(((owner, tag), lo, bytes(data)))
                 size[1] += len(data)
         yield from end_of_key()
         if shard:
             yield _found(_shard(shard, length), length)
 
-    covered = dealt.mapInPandas(work, "owner long, tag long, start long, end long").groupBy("owner", "tag").agg(F.collect_set(F.struct("start", "end")).alias("covered"))
+    def join_up(batches):
+        at, known = None, None
+        for b in batches:
+            for k, r, blob in zip(b.key, b["range"], b.windows, strict=True):
+                w = np.frombuffer(blob, np.int64).reshape(-1, 5)
+                if (k, r) != at:
+                    at, known = (k, r), np.zeros((0, 5), np.int64)
+                known, hits = meet(known, w)
+                yield _runs(hits, length)
+
+    worked = cut(dealt.mapInPandas(work, "owner long, tag long, start long, end long, key long, range long, windows binary"))
+    met = worked.where("windows is not null").select("key", "range", "windows").repartition("key", "range").sortWithinPartitions("key", "range")
+    every = worked.where("windows is null").select("owner", "tag", "start", "end").union(met.mapInPandas(join_up, "owner long, tag long, start long, end long"))
+    covered = every.groupBy("owner", "tag").agg(F.collect_set(F.struct("start", "end")).alias("covered"))
     several = marked.select("owner", "tag", "sha").join(copies.where("copies > 1").select("sha", "copies"), "sha").select("owner", "tag", "copies").distinct()
     return covered.join(several, ["owner", "tag"], "full_outer")
 

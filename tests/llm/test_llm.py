@@ -130,6 +130,26 @@ def test_mix_many_blocks(spark, monkeypatch):
         assert abs((g.copies * g["size"]).sum() - g.target.iloc[0]) < 5
 
 
+def test_mix_repeats_and_names(spark):
+    """A row that repeats very often is one unit; columns of any name survive; a rerun takes the same rows."""
+    rows = [(7, "same words here", "a", 1)] * 9000 + [(i, "word " * (i % 9), "b" if i % 2 else None, i) for i in range(300)] + [(5, t, "b", 0) for t in ("p q", "r s", "t u")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, copies long").select("*", *(F.lit(1).alias(c) for c in ("_d", "_k", "_c", "_size", "row", "times", "unit", "size")))
+    took = [Counter(map(tuple, mixing.take(frame.repartition(n)).collect())) for n in (3, 5)]
+    assert took[0] == took[1] and mixing.take(frame).columns == frame.columns
+    size, have = lambda r: len((r[1] or "").split()), Counter((*r, *[1] * 8) for r in rows)
+    assert all(0 <= n <= 2 * have[r] for r, n in took[0].items())
+    totals = Counter()
+    for r in rows:
+        totals[r[2]] += size(r)
+    got = Counter()
+    for r, n in took[0].items():
+        got[r[2]] += n * size(r)
+    for s, t in level(totals).items():
+        assert abs(got[s] - t) <= max(20, 0.01 * t)
+    out = mixing.sample(frame).toPandas()
+    assert len(out) == len(rows) and out.copies.between(0, 2).all() and out[out.doc_id == 7].copies.sum() in range(13000, 18001)
+
+
 def reassemble(rows):
     by = defaultdict(list)
     for r in rows:
@@ -166,7 +186,7 @@ def test_pack(spark, docs, texts):
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab é1_'st \n\t.,-<|>²日 \x1c")), max_size=60))
 def test_word_ids_equal_the_tokenizer(text):
-    ids = packing.word_ids(packing.default_vocabulary())
+    ids = packing.PartIds(packing.default_vocabulary())
     assert ids.text(text) == ids.whole(text)
 
 
@@ -222,9 +242,12 @@ def test_suffix_shards_and_merge():
         got = [np.zeros(len(t), bool) for t in texts]
         for rows in by.values():
             shards = [suffixes._shard(rows[j::3], length) for j in range(3) if rows[j::3]] if trial % 3 else [suffixes._shard(rows, length)]
-            suffixes.merge(shards, length)
+            found, known = [suffixes._found(s, length) for s in shards], np.zeros((0, 5), np.int64)
             for s in shards:
-                for o, a, b in suffixes._found(s, length)[["owner", "start", "end"]].itertuples(index=False):
+                known, hits = suffixes.meet(known, suffixes.windows(s, length))
+                found.append(suffixes._runs(hits, length))
+            for f in found:
+                for o, a, b in f[["owner", "start", "end"]].itertuples(index=False):
                     got[o][a:b] = True
         for g, w in zip(got, covered(texts, length), strict=True):
             assert (g == w).all()
@@ -236,6 +259,7 @@ def test_suffix_large_keys(spark, monkeypatch):
     random.seed(9)
     passage = "".join(random.choices("abcdefgh ", k=450))
     texts = ["".join(random.choices("xyzw ", k=random.randint(0, 90))) + passage + "".join(random.choices("xyzw ", k=50)) for _ in range(40)]
+    texts += ["ab" * 3000, "zz" + "ab" * 2500]  # one segment that is longer than a shard
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = table_of(suffixes.remove_repeats(frame))
     for i, (t, m) in enumerate(zip(texts, covered([t.encode() for t in texts], 200), strict=True)):
@@ -419,6 +443,30 @@ def test_secrets_structure():
     assert not secret_scan.is_der_key(rsa[:-30]) and not kinds("eyJub3QiOiJhIGhlYWRlciJ9.eyJzdWIiOiIxIn0.x")
 
 
+def test_secrets_in_hex_and_nested_lengths():
+    def der(tag, body):
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+    rsa = der(0x30, b"".join(der(2, bytes([1 + k]) * 20) for k in range(9)))
+    name = der(0x30, der(6, secret_scan.RSA_OID) + b"\5\0")
+    wrapped = der(0x30, der(2, b"\0") + name + der(4, rsa))
+    public = der(0x30, name + der(3, b"\0" + der(0x30, der(2, b"\1" * 30) + der(2, b"\1\0\1"))))
+    sec1 = der(0x30, der(2, b"\1") + der(4, bytes(32)) + der(0xA0, der(6, b"*\x86H\xce=\3\1\7")))
+    assert [secret_scan.der_kind(x) for x in (rsa, wrapped, sec1, public)] == ["der", "der", "der", "public"]
+    broken = bytearray(wrapped)
+    broken[len(wrapped) - 21] += 1  # the last number's length, two levels down
+    assert secret_scan.der_kind(bytes(broken)) is None and secret_scan.der_kind(public[:-1]) is None
+    assert secret_scan.der_kind(der(0x30, b"".join(der(2, b"\1") for _ in range(8)))) is None
+    for key in (rsa, wrapped, sec1):
+        for lead in ("", "a", "bc", "30", "3082"):
+            for tail in ("", "f", "00ff1"):
+                text = f"x {lead}{key.hex()}{tail} y"
+                assert (2 + len(lead), 2 + len(lead) + 2 * len(key), "der") in secret_scan.scan(text), (lead, tail)
+    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(range(32)))).hex()
+    assert (1, 1 + len(ssh), "ssh") in secret_scan.scan("a" + ssh)
+
+
 def test_secrets_over_lines():
     """Keys wrapped over lines, with last lines of every length, alone and one after the other."""
     import base64
@@ -465,10 +513,26 @@ def test_perspectives_edges(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, None, "late"), (2, 0, "system", "alone"), (None, 0, "ann", "x"), (1, 600, "ann", "far")]
     out = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
     by = {(r["conv_id"], r["speaker"], r["chunk"]): r for r in out}
-    assert set(by) == {(1, s, c) for s in ("ann", "bob", "unknown") for c in (-1, 0, 1)} | {(None, "ann", 0)}
+    assert set(by) == {(1, s, 0) for s in ("ann", "bob", "unknown")} | {(None, "ann", 0)}
     r = by[1, "ann", 0]
-    assert r["text"] == "<|system|>\nrules\n<|end|>\n<|assistant|>\nhi\n<|end|>\n<|user name=bob|>\n\n<|end|>\n"
-    assert [r["text"][m["start"] : m["end"]] for m in r["masks"]] == ["hi\n<|end|>\n"]
+    bob = "<|user name=bob|>\n\n<|end|>\n"
+    assert r["text"] == "<|system|>\nrules\n<|end|>\n<|assistant|>\nhi\n<|end|>\n" + bob * 2 + "<|assistant|>\nfar\n<|end|>\n<|user name=unknown|>\nlate\n<|end|>\n"
+    assert [r["text"][m["start"] : m["end"]] for m in r["masks"]] == ["hi\n<|end|>\n", "far\n<|end|>\n"] and r["n_turns"] == 6
+    assert not chat.perspectives(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).collect()
+
+
+def test_perspectives_long_conversations(spark):
+    """Chunks go by a turn's place, whatever its number: with gaps, repeats, and turns without a number."""
+    rng = random.Random(2)
+    rows = [(c, rng.choice([None, *range(0, 4000, 7)]), rng.choice("ab"), rng.choice(["x", "yy", None])) for c in (1, 2, None) for _ in range(90)] + [(1, 5, "a", "same")] * 30
+    got = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), chunk=8).collect()
+    want = {}
+    for c in (1, 2, None):
+        mine = sorted(((t is None, t or 0, r, x or "") for k, t, r, x in rows if k == c))
+        for s in "ab":
+            for i in range(0, len(mine), 8):
+                want[c, s, i // 8] = "".join(("<|assistant|>\n" if r == s else f"<|user name={r}|>\n") + x + "\n<|end|>\n" for _, _, r, x in mine[i : i + 8])
+    assert {(r["conv_id"], r["speaker"], r["chunk"]): r["text"] for r in got} == want
 
 
 def test_odd_rows(spark, odd):
@@ -479,7 +543,7 @@ def test_odd_rows(spark, odd):
         assert mixing.sample(frame.select("doc_id", "source", mixing.words_in("text").alias("size"))).count() == n
         assert mixing.take(frame).count() >= 0
         got = reassemble(packing.pack(frame.where("doc_id <> 5"), packing.default_vocabulary()).collect())
-        ids = packing.word_ids(packing.default_vocabulary())
+        ids = packing.PartIds(packing.default_vocabulary())
         assert got == {r[0]: (ids.whole(r[1]) if r[1] else b"") + b"\1\0\0\0" for r in ODD if r[0] not in (5, None)} or not n
         kept = suffixes.remove_repeats(frame).collect()
         assert len(kept) == n and all(bytes(r["kept"]) == b"" for r in kept if r["doc_id"] in (6, 7))
