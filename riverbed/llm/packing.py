@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,20 @@ CACHE_BYTES = 1 << 26
 #: Parts of up to so many bytes are told apart in numpy, longer ones one by one.
 SHORT_PART = 24
 #: Bytes of texts whose parts are looked up together.
-LOOKUP_BYTES = 2 * STEP_BYTES
+LOOKUP_BYTES = 4 * STEP_BYTES
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: White space of more than one byte, as UTF-8, by the bytes that come before the last one.
 WIDE_SPACES = {b"\xc2": [0x85, 0xA0], b"\xe1\x9a": [0x80], b"\xe2\x80": [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF], b"\xe2\x81": [0x9F], b"\xe3\x80": [0x80]}
 
+#: Characters whose class every Unicode version agrees on, how a byte-level pre-tokenizer cuts texts of these alone, and the
+#: letters that stand for bytes in its vocabulary (printable ones for themselves, then those from 256 on, in the bytes' order).
+COMMON = re.compile("[\0-\x7fÀ-ſ]*")
+PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+| ?[^\x09-\x0d 0-9A-Za-zÀ-ÖØ-öø-ſ]+|[\x09-\x0d ]+(?![^\x09-\x0d ])|[\x09-\x0d ]+")
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LETTER = dict(zip([*_PRINTABLE, *(b for b in range(256) if b not in _PRINTABLE)], [*map(chr, _PRINTABLE), *map(chr, range(256, 512))], strict=False))
+BYTES = {c: b for b, c in _LETTER.items()}
+
 
 def part_starts(data: np.ndarray) -> np.ndarray:
     """Where white space (of one byte) begins after something else: a byte-level pre-tokenizer always cuts there."""
@@ -44,8 +54,47 @@ def part_starts(data: np.ndarray) -> np.ndarray:
     return at[at > 0]
 
 
+@functools.lru_cache(maxsize=1)
+def load(vocabulary: str):
+    """The tokenizer; whether it is byte-level BPE without normalizer, prefix or added words, so that texts may be cut where
+    white space begins; and, if so, a quicker encoder of the same merges with each token's number of bytes.
+
+    The quicker one joins whatever gives a token, the least id first. That is the same as the vocabulary's merges if these
+    come in the order of ids and each token's letters give that token alone: all that stands in a span before it becomes a
+    token depends on that span only, so the last two parts are always the pair that the merges name. Both are looked up here.
+    """
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    tokenizer = Tokenizer.from_file(vocabulary)
+    tokenizer.encode_special_tokens = True
+    with open(vocabulary, encoding="utf-8") as f:
+        said = json.load(f)
+    cutter, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+    by_part = (
+        said.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space", True)
+        and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        and not said.get("truncation") and not said.get("padding") and all(t.get("special") for t in said.get("added_tokens") or ())
+    )
+    if not by_part:
+        return tokenizer, False, None, None
+    special = {t["content"] for t in said.get("added_tokens") or ()}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+    order = [vocab.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    plain = not model.get("ignore_merges") and all(set(t) <= BYTES.keys() for t in vocab) and all(c in vocab for c in BYTES)
+    plain = plain and all(x < y for x, y in zip(order, order[1:], strict=False)) and len(order) + 256 == len(vocab)
+    if not plain or not all([x.id for x in tokenizer.model.tokenize(t)] == [i] for t, i in vocab.items()):
+        return tokenizer, True, None, None
+    import tiktoken
+
+    sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+    sizes[list(vocab.values())] = [len(t) for t in vocab]
+    ranks = {bytes(BYTES[c] for c in t): i for t, i in vocab.items()}
+    return tokenizer, True, tiktoken.Encoding("plain", pat_str=PIECES.pattern, mergeable_ranks=ranks, special_tokens={}), sizes
+
+
 class PartIds:
-    """Token ids, as little-endian 32-bit numbers, of texts; everything is kept only as long as the object.
+    """Token ids, as little-endian 32-bit numbers, of texts; what it learns is kept only as long as the object.
 
     A byte-level pre-tokenizer cuts wherever white space begins, and BPE doesn't join across its cuts, so the ids of a
     text are those of its parts (white space and what follows, up to the next white space) one after another. Each
@@ -54,23 +103,7 @@ class PartIds:
     """
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        with open(vocabulary, encoding="utf-8") as f:
-            said = json.load(f)
-        cutter, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
-        self.by_part = (
-            said.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space", True)
-            and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
-            and not said.get("truncation") and not said.get("padding") and all(t.get("special") for t in said.get("added_tokens") or ())
-        )
-        #: A token's bytes: the byte-level alphabet has a character for each.
-        vocab = self.tokenizer.get_vocab()
-        self.sizes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
-        self.sizes[list(vocab.values())] = [len(t) for t in vocab]
+        self.tokenizer, self.by_part, self.quick, self.sizes = load(vocabulary)
         self.known: dict[bytes, bytes] = {}
         self.held = 0
 
@@ -79,29 +112,24 @@ class PartIds:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _ids(self, parts: list[bytes]) -> list[bytes]:
-        """Of different parts. New ones are encoded as one text, where a part that doesn't end in white space stands before
-        one that begins with it; the tokens' sizes tell where each part ends."""
+        """Of different parts. New ones of plain characters that begin with white space and don't end with it are encoded as
+        one text, in which the tokens' sizes tell where each ends."""
         if self.held > CACHE_BYTES:
             self.known, self.held = {}, 0
-        known = self.known
-        new = [p for p in parts if p not in known]
-        apart = [p for p in new if not (SPACE[p[0]] and (not SPACE[p[-1]] if p[-1] < 128 else not p.decode("utf-8", "replace")[-1].isspace()))]
-        known.update(zip(apart, self.encode(apart), strict=True))
-        alone = set(apart)
-        joint = [p for p in new if p not in alone] if alone else new
-        for i in range(0, len(joint), 4096):
-            some = joint[i : i + 4096]
-            ids = self.encode([b"".join(some)])[0]
-            ends = np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])
-            want = np.cumsum([len(p) for p in some])
-            at = np.searchsorted(ends, want)
-            if len(ends) and at[-1] < len(ends) and (ends[at] == want).all():
-                stops = [0, *((at + 1) * 4).tolist()]
-                found = [ids[x:y] for x, y in zip(stops, stops[1:], strict=False)]
-            else:  # bytes that aren't UTF-8
-                found = self.encode(some)
-            known.update(zip(some, found, strict=True))
-        self.held += 200 * len(new)
+        known, odd, plain = self.known, [], []
+        for p in parts:
+            if p not in known:
+                joins = self.quick and SPACE[p[0]] and not SPACE[p[-1]] and (p.isascii() or COMMON.fullmatch(p.decode("utf-8", "replace")))
+                (plain if joins else odd).append(p)
+        for i in range(0, len(plain), 4096):
+            some = plain[i : i + 4096]
+            ids = np.array(self.quick.encode_ordinary(b"".join(some).decode()), "<u4")
+            stops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p) for p in some])) + 1
+            data, stops = ids.tobytes(), [0, *(4 * stops).tolist()]
+            known.update(zip(some, [data[x:y] for x, y in zip(stops, stops[1:], strict=False)], strict=True))
+        for i in range(0, len(odd), 4096):
+            known.update(zip(odd[i : i + 4096], self.encode(odd[i : i + 4096]), strict=True))
+        self.held += 200 * (len(odd) + len(plain))
         return [known[p] for p in parts]
 
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
