@@ -18,6 +18,8 @@ LENGTH = 200
 GRAM = 32
 #: Bytes of segments in one suffix array. A suffix's number has 21 bits there.
 SHARD_BYTES = 1 << 20
+#: Bytes of one key's segments beyond which they are dealt in parts of half as many.
+KEY_BYTES = 1 << 18
 _PLACE = U((1 << 24) - 1)
 
 
@@ -256,7 +258,7 @@ def spans(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFram
     segments = marked.join(copies.select("owner", "tag"), ["owner", "tag"]).select("owner", "tag", F.explode(F.arrays_zip("key", "lo", "hi", "n")).alias("s"))
     segments = segments.select("owner", "tag", "s.key", "s.lo", "s.hi", "s.n")
     again = segments.groupBy("key").agg(F.sum("n").alias("_n"), F.sum(F.col("hi") - F.col("lo") + length).alias("_bytes")).where("_n > 1")
-    parts = F.when(F.col("_bytes") > SHARD_BYTES, F.ceil(F.col("_bytes") * 2 / SHARD_BYTES)).otherwise(1).cast("long")
+    parts = F.when(F.col("_bytes") > KEY_BYTES, F.ceil(F.col("_bytes") * 2 / KEY_BYTES)).otherwise(1).cast("long")
     wanted = segments.join(again.select("key", parts.alias("parts")), "key").groupBy("owner", "tag").agg(F.collect_list(F.struct("key", "lo", "hi", "parts")).alias("segments"))
 
     step = max(1, SHARD_BYTES // 4)  # windows of a segment that are dealt together

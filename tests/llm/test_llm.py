@@ -256,6 +256,7 @@ def test_suffix_shards_and_merge():
 def test_suffix_large_keys(spark, monkeypatch):
     """A passage that many documents share has keys of several shards."""
     monkeypatch.setattr(suffixes, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(suffixes, "KEY_BYTES", 2000)
     random.seed(9)
     passage = "".join(random.choices("abcdefgh ", k=450))
     texts = ["".join(random.choices("xyzw ", k=random.randint(0, 90))) + passage + "".join(random.choices("xyzw ", k=50)) for _ in range(40)]
