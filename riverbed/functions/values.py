@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Attributes that are null stay, as null.
+KEEP_NULLS = {"ignoreNullFields": "false"}
+
+
 def as_json(df: DataFrame, name: str = "jsonString") -> DataFrame:
-    return df.select(F.to_json(F.struct(*df.columns)).alias(name))
+    return df.select(F.to_json(F.struct(*df.columns), KEEP_NULLS).alias(name))
 
 
 def payload_json(c: Column) -> Column:
     """A value that isn't an object, as {"payload": value}."""
-    return F.to_json(F.struct(c.alias("payload")))
+    return F.to_json(F.struct(c.alias("payload")), KEEP_NULLS)
 
 
-def json_object(c: Column) -> Column:
-    """JSON text as an object's text: arrays and scalars are wrapped; null for what isn't JSON."""
-    ok = F.try_parse_json(c).isNotNull()
+def json_object(c: Column, strict: bool = False) -> Column:
+    """JSON text as an object's text: arrays and scalars are wrapped. What isn't JSON is an error if strict, else null."""
+    ok = (F.parse_json(c) if strict else F.try_parse_json(c)).isNotNull()
     return F.when(ok & F.trim(c).startswith("{"), F.trim(c)).when(ok, F.concat(F.lit('{"payload":'), F.trim(c), F.lit("}")))
 
 
@@ -37,13 +41,13 @@ def flatten_array(df: DataFrame, column: str, key: str, *extra: str, name: str =
 
 
 def tuple_string(df: DataFrame) -> Column:
-    """{a=1,b="x"}: attributes in order, strings quoted."""
+    """{a=1,b="x"}: attributes in order, strings quoted, with backslashes before quotes and backslashes; null without quotes."""
     parts = []
     for f in df.schema:
         text = F.col(f.name).cast("string")
         if isinstance(f.dataType, T.StringType):
-            text = F.concat(F.lit('"'), text, F.lit('"'))
-        parts.append(F.concat(F.lit(f"{f.name}="), text))
+            text = F.concat(F.lit('"'), F.regexp_replace(text, r'(["\\\\])', r"\\$1"), F.lit('"'))
+        parts.append(F.concat(F.lit(f"{f.name}="), F.coalesce(text, F.lit("null"))))
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import EVENTS_SQL, events_of, live_table, table
+from ..sources.tables import EVENTS_SQL, events_of, live_table, shared_folder, table
 from ..streaming import live
 from .registry import query
 
@@ -50,8 +48,7 @@ def _written(spark, sf, make: Callable[[Callable[[], DataFrame]], DataFrame]) ->
     However the table's files are cut and ordered, the stream brings its rows in the order of time: a table of more than
     SLICE_ROWS is first written in ranges of time, and the stream runs until each is done before it goes on with the next.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riverbed-")
-    path = f"{base.rstrip('/')}/live-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "live")
     source, raw = f"{sf}/events.parquet", table(spark, sf, "events")
     n = -(-raw.count() // SLICE_ROWS)
     steps = [None]
@@ -85,3 +82,21 @@ SELECT event_type, start_us, count(*) AS n, sum(cents)::BIGINT AS total FROM e
 WHERE start_us + 3600000000 <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM e) GROUP BY ALL""")
 def stream_panes(spark, sf):
     return _written(spark, sf, lambda stream: live.panes(stream(), "ts", "1 hour", "10 minutes", ["event_type"], n=F.count(F.lit(1)), total=F.sum("cents")))
+
+
+@query(f"SELECT user_id, us, event_id, max(cents) OVER w - min(cents) OVER w AS spread FROM {EVENTS_SQL} WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)")
+def stream_stateful(spark, sf):
+    """A function of the user's own, which keeps the least and the greatest value of its key."""
+
+    def spread(_, rows, state):
+        low, high = state or (rows["cents"].iloc[0],) * 2
+        lows, highs = rows["cents"].cummin().clip(upper=low), rows["cents"].cummax().clip(lower=high)
+        return rows[["user_id", *O]].assign(spread=highs - lows), (int(lows.iloc[-1]), int(highs.iloc[-1]))
+
+    return _written(spark, sf, lambda stream: live.stateful(stream().select("user_id", *O, "cents"), ["user_id"], O, spread, "user_id long, us long, event_id long, spread long", "low long, high long"))
+
+
+@query(f"SELECT user_id, us, event_id, m, n FROM (SELECT user_id, us, event_id, max(cents) OVER w AS m, count(*) OVER w AS n, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS r FROM {EVENTS_SQL} WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS 4 PRECEDING)) WHERE r % 3 = 0")
+def stream_last_trigger(spark, sf):
+    """Any aggregate of a live window of five rows, at each third row of a key."""
+    return _written(spark, sf, lambda stream: live.windowed(stream().select("user_id", *O, "cents"), 5, ["user_id"], O, lambda w: (int(w["cents"].max()), len(w)), "m long, n long", every=3))

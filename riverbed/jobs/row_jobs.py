@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions import schema, topics, values
@@ -131,14 +131,14 @@ def as_string(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("string"))
 
 
-@query("SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS jsonString FROM nation")
+@query("SELECT '{\"o_orderkey\":' || o_orderkey || ',\"priority\":' || CASE WHEN o_orderkey % 7 = 0 THEN 'null' ELSE '\"' || o_orderpriority || '\"' END || '}' AS jsonString FROM orders")
 def as_json(spark, sf):
-    return values.as_json(table(spark, sf, "nation").select("n_nationkey", "n_name"))
+    return values.as_json(table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("priority")))
 
 
-@query("SELECT '{\"payload\":\"' || n_name || '\"}' AS jsonString FROM nation")
+@query("SELECT '{\"payload\":\"' || c_name || '\"}' AS jsonString FROM customer")
 def as_json_payload(spark, sf):
-    return table(spark, sf, "nation").select(values.payload_json(F.col("n_name")).alias("jsonString"))
+    return table(spark, sf, "customer").select(values.payload_json(F.col("c_name")).alias("jsonString"))
 
 
 @query(f"SELECT event_id, CASE WHEN event_id % 3 = 0 THEN props WHEN event_id % 3 = 1 THEN '{{\"payload\":[' || k || ']}}' ELSE '{{\"payload\":' || k || '}}' END AS jsonString FROM {EVENTS_SQL}")
@@ -149,9 +149,9 @@ def json_parse_wrap(spark, sf):
     return e.select("event_id", values.json_object(text).alias("jsonString"))
 
 
-@query("SELECT '{\"event_id\":' || event_id || ',\"k\":' || k || '}' AS jsonString FROM " + EVENTS_SQL)
+@query("SELECT '{\"event_id\":' || event_id || ',\"k\":' || CASE WHEN k % 3 = 0 THEN 'null' ELSE CAST(k AS VARCHAR) END || '}' AS jsonString FROM " + EVENTS_SQL)
 def json_serialize(spark, sf):
-    return events(spark, sf).select(F.to_json(F.struct("event_id", "k")).alias("jsonString"))
+    return values.as_json(events(spark, sf).select("event_id", F.when(F.col("k") % 3 != 0, F.col("k")).alias("k")))
 
 
 def _nested(spark, sf):
@@ -190,15 +190,17 @@ def ts_from_int(spark, sf):
     return events(spark, sf).select("event_id", F.unix_micros(values.timestamp_of(us, "Microseconds")).alias("a"), F.unix_micros(values.timestamp_of(F.floor(us / 1000))).alias("b"), F.unix_micros(values.timestamp_of(us * 1000 + 7, "Nanoseconds")).alias("c"))
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority || ', \"' || o_orderstatus || '\"' END AS note FROM orders")
 def csv_format_parse(spark, sf):
-    text = table(spark, sf, "nation").select(F.to_csv(F.struct("n_nationkey", "n_name")).alias("line"))
-    return text.select(F.from_csv("line", F.lit("n_nationkey INT, n_name STRING")).alias("r")).select("r.*")
+    rows_ = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.concat("o_orderpriority", F.lit(', "'), "o_orderstatus", F.lit('"'))).alias("note"))
+    text = rows_.select(F.to_csv(F.struct("o_orderkey", "note")).alias("line"))
+    return text.select(F.from_csv("line", F.lit("o_orderkey BIGINT, note STRING")).alias("r")).select("r.*")
 
 
-@query("SELECT '{n_nationkey=' || n_nationkey || ',n_name=\"' || n_name || '\"}' AS string FROM nation")
+@query("SELECT '{c_custkey=' || c_custkey || ',c_name=' || CASE WHEN c_custkey % 4 = 0 THEN 'null' ELSE '\"' || c_name || ' \\\"' || c_mktsegment || '\\\"\"' END || '}' AS string FROM customer")
 def tuple_string(spark, sf):
-    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    name = F.when(F.col("c_custkey") % 4 != 0, F.concat("c_name", F.lit(' "'), "c_mktsegment", F.lit('"')))
+    n = table(spark, sf, "customer").select("c_custkey", name.alias("c_name"))
     return n.select(values.tuple_string(n).alias("string"))
 
 
@@ -212,18 +214,70 @@ def print_tag(spark, sf):
     return events(spark, sf).select(F.concat_ws(": ", F.lit("event"), F.col("event_id").cast("string")).alias("line"))
 
 
-@query("SELECT n_name FROM nation WHERE n_name LIKE '%A' OR n_name LIKE '%E'")
+@query("SELECT o_orderkey || '.' || ['txt', 'csv', 'log', 'xtxt'][o_orderkey % 4 + 1] AS file FROM orders WHERE o_orderkey % 4 IN (0, 2)")
 def file_suffix_filter(spark, sf):
-    n = table(spark, sf, "nation").withColumn("file", F.concat(F.expr("left(n_name, length(n_name) - 1)"), F.lit("."), F.right("n_name", F.lit(1))))
-    return n.where(tables.has_suffix(F.col("file"), "A", "E")).select("n_name")
+    suffix = F.get(F.array(*map(F.lit, ("txt", "csv", "log", "xtxt"))), (F.col("o_orderkey") % 4).cast("int"))
+    files = table(spark, sf, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.lit("."), suffix).alias("file"))
+    return files.where(tables.has_suffix(F.col("file"), "txt", "log"))
 
 
-@query("SELECT n_nationkey, n_name, CAST(n_regionkey AS INTEGER) AS n_regionkey FROM nation")
+CUSTOMERS_SQL = """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE c_name || ', "' || c_mktsegment || '"' END AS note, c_acctbal FROM customer"""
+
+
+def _customers(spark, sf):
+    """With nulls, empty texts, quotes and commas."""
+    key = F.col("c_custkey") % 4
+    note = F.when(key == 0, None).when(key == 1, "").otherwise(F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')))
+    return table(spark, sf, "customer").select("c_custkey", note.alias("note"), "c_acctbal")
+
+
+@query(CUSTOMERS_SQL)
 def sink_csv_roundtrip(spark, sf):
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='riverbed-')).rstrip('/')}/nation-csv"
-    n = table(spark, sf, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
-    n.write.mode("overwrite").csv(path)
-    return spark.read.schema(n.schema).csv(path)
+    path, n = tables.shared_folder(spark, "csv"), _customers(spark, sf)
+    tables.write_csv(n, path)
+    return tables.csv_table(spark, path, n.schema)
+
+
+@query(f"SELECT codec, c_custkey, note, c_acctbal FROM ({CUSTOMERS_SQL}), (SELECT unnest(['none', 'gzip', 'bzip2']) AS codec)")
+def src_csv(spark, sf):
+    """Files without a header, plain and compressed, read to a declared schema."""
+    path, n, out = tables.shared_folder(spark, "csv"), _customers(spark, sf), None
+    for codec in ("none", "gzip", "bzip2"):
+        tables.write_csv(n, f"{path}/{codec}", codec)
+        got = tables.csv_table(spark, f"{path}/{codec}", schema.parse_schema("tuple<int64 c_custkey, optional<rstring> note, optional<float64> c_acctbal>"))
+        out = rows.union(got.withColumn("codec", F.lit(codec)), *([out] if out is not None else []))
+    return out
+
+
+@query("SELECT kind, weight, count(*) * weight AS total FROM events JOIN (VALUES ('view', 1), ('click', 2), ('purchase', 5)) v(kind, weight) ON event_type = kind GROUP BY 1, 2")
+def src_constants(spark, sf):
+    """Constant rows, one of them None, that weigh the events of their kind."""
+    weights = tables.constants(spark, [("view", 1), None, ("click", 2), ("purchase", 5)], "kind string, weight long").drop("_i")
+    return events(spark, sf).join(F.broadcast(weights), F.col("event_type") == F.col("kind")).groupBy("kind", "weight").agg((F.count(F.lit(1)) * F.col("weight")).alias("total"))
+
+
+@query("SELECT n, n * 3 + 1 AS \"value\" FROM (SELECT unnest(range(0, (SELECT count(*) FROM events))) AS n) WHERE n % 4 <> 0")
+def src_counter(spark, sf):
+    """As many numbers as there are events; the row function leaves each fourth out."""
+    return tables.counter(spark, events(spark, sf).count(), F.when(F.col("n") % 4 != 0, F.col("n") * 3 + 1))
+
+
+@query("SELECT n, n * n % 1009 AS \"value\" FROM (SELECT unnest(range(0, (SELECT count(*) FROM events))) AS n) WHERE n % 5 <> 0")
+def udf_source(spark, sf):
+    """A source in Python that makes as many rows as there are events, in parts."""
+    spark.dataSource.register(tables.Generated)
+    return spark.read.format("generated").option("rows", str(events(spark, sf).count())).option("parts", "16").load()
+
+
+@query(f"SELECT event_type AS counter, count(*) AS n, sum(cents)::BIGINT AS total FROM {EVENTS_SQL} GROUP BY 1")
+def observe_counts(spark, sf):
+    """Counters that are kept beside a job while it writes its rows."""
+    e = events(spark, sf)
+    kinds = [r[0] for r in e.select("event_type").distinct().collect()]  # a name each
+    seen = Observation("events")
+    counts = [c for i, k in enumerate(kinds) for c in (F.count_if(F.col("event_type") == k).alias(f"n{i}"), F.sum(F.when(F.col("event_type") == k, F.col("cents"))).alias(f"t{i}"))]
+    e.observe(seen, *(counts or [F.count(F.lit(1)).alias("n")])).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(k, seen.get[f"n{i}"], seen.get[f"t{i}"]) for i, k in enumerate(kinds)], "counter string, n long, total long")
 
 
 @query(f"SELECT {TOPIC_SQL} AS topic, CAST(user_id AS VARCHAR) AS key, props AS message FROM {EVENTS_SQL}")
@@ -244,9 +298,9 @@ def union_all(spark, sf):
     return rows.union(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key")), table(spark, sf, "orders").select(F.col("o_orderkey").alias("key")))
 
 
-@query("SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")
+@query("SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier")
 def union_set(spark, sf):
-    n, r = table(spark, sf, "nation").select(F.col("n_name").alias("name")), table(spark, sf, "region").select(F.col("r_name").alias("name"))
+    n, r = table(spark, sf, "customer").select(F.col("c_name").alias("name")), table(spark, sf, "supplier").select(F.col("s_name").alias("name"))
     return rows.union(n, r, n)
 
 
@@ -273,9 +327,9 @@ def par_hash_channel(spark, sf):
     return rows.parallel(table(spark, sf, "lineitem"), 5, channel=F.col("l_orderkey") + 89).groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT n_nationkey, CAST(c AS INTEGER) AS channel FROM nation, range(3) AS r(c)")
+@query("SELECT o_orderkey, CAST(c AS INTEGER) AS channel FROM orders, range(3) AS r(c)")
 def par_broadcast(spark, sf):
-    return rows.broadcast_to(table(spark, sf, "nation").select("n_nationkey"), 3)
+    return rows.broadcast_to(table(spark, sf, "orders").select("o_orderkey"), 3)
 
 
 @query(f"SELECT DISTINCT {TOPIC_SQL} AS topic, true AS name_ok, false AS plus_ok FROM {EVENTS_SQL}")
@@ -333,7 +387,9 @@ def udtf_expand(spark, sf):
 CENTROIDS = 10_000
 
 
-@query()
+@query("""WITH p AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings),
+c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM p GROUP BY 1, 2) GROUP BY 1)
+SELECT vec_id, any_value(e.label) AS label, arg_min(c.label, list_distance(CAST(e.embedding AS DOUBLE[]), c.c)) AS nearest FROM embeddings e, c GROUP BY 1""")
 def score_model(spark, sf):
     """Nearest centroid of each vector; the centroids are means by label, as many as there are labels."""
     e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
@@ -380,16 +436,19 @@ def check_count(spark, sf):
     return checks.count(events(spark, sf), 1, exact=False)
 
 
-@query("SELECT 'contents' AS \"check\", true AS ok, CAST(0 AS BIGINT) AS found")
+@query("SELECT 'contents' AS \"check\", count(*) = 0 AS ok, 2 * count(*) AS found FROM events WHERE event_id % 100 = 7")
 def check_contents(spark, sf):
+    """Against a table in which each hundredth row differs."""
     e = events(spark, sf).select("event_id", "cents")
-    return checks.contents(e, e.orderBy(F.col("cents")))
+    return checks.contents(e, e.withColumn("cents", F.when(F.col("event_id") % 100 == 7, F.col("cents") + 1).otherwise(F.col("cents"))))
 
 
-@query("SELECT 'contents_ordered' AS \"check\", true AS ok, CAST(0 AS BIGINT) AS found")
+@query("SELECT 'contents_ordered' AS \"check\", count(*) = 0 AS ok, count(*) AS found FROM events WHERE event_id % 100 = 7")
 def check_contents_ordered(spark, sf):
+    """Against a table dealt otherwise, in which each hundredth row differs."""
     e = events(spark, sf).select("us", "event_id", "cents")
-    return checks.contents_ordered(e, e.repartition(7), ["us", "event_id"])
+    other = e.withColumn("cents", F.when(F.col("event_id") % 100 == 7, F.col("cents") + 1).otherwise(F.col("cents")))
+    return checks.contents_ordered(e, other.repartition(7), ["us", "event_id"])
 
 
 @query(f"SELECT 'rows' AS \"check\", count(*) = 0 AS ok, count(*) AS found FROM {EVENTS_SQL} WHERE k >= 90")

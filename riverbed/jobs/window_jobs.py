@@ -40,6 +40,17 @@ def win_last_time(spark, sf):
     return Last(micros=6 * HOUR, keys=("user_id",)).aggregate(events(spark, sf), n=F.count(F.lit(1))).select("event_id", "n")
 
 
+@query(f"SELECT event_id, count(*) OVER w AS n, sum(cents) OVER w::BIGINT AS s FROM {EVENTS_SQL} WINDOW w AS (ORDER BY us RANGE BETWEEN {6 * HOUR - 1} PRECEDING AND CURRENT ROW)")
+def win_last_time_global(spark, sf):
+    return Last(micros=6 * HOUR).aggregate(events(spark, sf), n=F.count(F.lit(1)), s=F.sum("cents")).select("event_id", "n", "s")
+
+
+@query(f"""WITH b AS (SELECT us AS at, false AS evicted, us, cents FROM {EVENTS_SQL} UNION ALL SELECT us + {HOUR}, true, NULL, NULL FROM {EVENTS_SQL})
+SELECT "at", evicted, s FROM (SELECT "at", evicted, sum(cents) OVER w::BIGINT AS s, count(us) OVER w AS l FROM b WINDOW w AS (ORDER BY "at" RANGE BETWEEN {HOUR - 1} PRECEDING AND CURRENT ROW)) WHERE l > 0""")
+def win_time_evict_global(spark, sf):
+    return windows.time_evict(events(spark, sf).select("us", "cents"), HOUR, [], s=F.sum("cents"))
+
+
 @query(f"""WITH b AS (SELECT user_id, us AS at, false AS evicted, us, cents FROM {EVENTS_SQL} UNION ALL SELECT user_id, us + {DAY}, true, NULL, NULL FROM {EVENTS_SQL})
 SELECT user_id, "at", evicted, s FROM (SELECT user_id, "at", evicted, sum(cents) OVER w::BIGINT AS s, count(us) OVER w AS l FROM b WINDOW w AS (PARTITION BY user_id ORDER BY "at" RANGE BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW)) WHERE l > 0""")
 def win_time_evict(spark, sf):
@@ -95,13 +106,13 @@ def batch_time(spark, sf):
     return events(spark, sf).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.unix_micros("w.start").alias("start"), "event_type", "n")
 
 
-@query(f"""WITH e AS (SELECT us // {HOUR} AS h, user_id FROM {EVENTS_SQL} WHERE user_id = 3), g AS (SELECT unnest(range((SELECT min(h) FROM e), (SELECT max(h) FROM e) + 1)) AS h)
-SELECT g.h * {HOUR} AS start, count(user_id) AS n FROM g LEFT JOIN e USING (h) GROUP BY 1""")
+@query(f"""WITH e AS (SELECT user_id, us // {HOUR} AS h FROM {EVENTS_SQL}), g AS (SELECT user_id, unnest(range(min(h), max(h) + 1)) AS h FROM e GROUP BY 1)
+SELECT g.user_id, g.h * {HOUR} AS start, count(e.h) AS n FROM g LEFT JOIN e ON g.user_id = e.user_id AND g.h = e.h GROUP BY 1, 2""")
 def batch_time_empty(spark, sf):
-    h = events(spark, sf).where("user_id = 3").select(F.floor(F.col("us") / HOUR).alias("h"))
-    counts = h.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    grid = counts.agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a is not null").select(F.explode(F.sequence("a", "z")).alias("h"))
-    return grid.join(counts, "h", "left").select((F.col("h") * HOUR).alias("start"), F.coalesce("n", F.lit(0)).alias("n"))
+    h = events(spark, sf).select("user_id", F.floor(F.col("us") / HOUR).alias("h"))
+    counts = h.groupBy("user_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    grid = counts.groupBy("user_id").agg(F.min("h").alias("a"), F.max("h").alias("z")).select("user_id", F.explode(F.sequence("a", "z")).alias("h"))
+    return grid.join(counts, ["user_id", "h"], "left").select("user_id", (F.col("h") * HOUR).alias("start"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"SELECT event_id, max(cents) OVER (PARTITION BY user_id, event_type ORDER BY us, event_id ROWS 2 PRECEDING) AS m FROM {EVENTS_SQL} WHERE event_type IN ('click', 'view')")

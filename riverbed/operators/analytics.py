@@ -17,13 +17,21 @@ def running_outliers(df: DataFrame, cents: str, threshold: float, order_by: list
     sums = order.running(df, {"_n": F.lit(1), "_s": c, "_q": (c * c).cast("decimal(38,0)")}, order_by)
     n, s, q = F.col("_n").cast("double"), F.col("_s").cast("double"), F.col("_q").cast("double")
     deviation = F.sqrt((q - s * s / n) / (n - 1))
-    return sums.where(F.col("_n") > 1).withColumn("limit", F.round((F.abs(s / n) + threshold * deviation) / 100, 4)).where(F.abs(c) / 100 > F.col("limit")).select(*df.columns, "limit")
+    return sums.where(F.col("_n") > 1).withColumn("limit", (F.abs(s / n) + threshold * deviation) / 100).where(F.abs(c) / 100 > F.col("limit")).select(*df.columns, "limit")
 
 
-def trending(df: DataFrame, entry: Column, n: int, k: int, order_by: list[str]) -> DataFrame:
-    """In each block of n rows, the k most frequent entries; ties by entry."""
+def trending(df: DataFrame, entry: Column, n: int, k: int, order_by: list[str], every: int | None = None) -> DataFrame:
+    """The k most frequent of the last n entries, ties by entry: once every so many entries (a whole part of n; by default n)
+    and at the end. Blocks of that many are counted once, and their counts are added up for each window that holds them."""
+    every = every or n
+    if every <= 0 or n <= 0 or n % every:
+        raise ValueError("a window holds a whole number of steps")
     rows = order.numbered(df.withColumn("entry", entry).where("entry is not null"), order_by, "_g")
-    counts = rows.groupBy(F.floor(F.col("_g") / n).cast("long").alias("block"), "entry").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(F.floor(F.col("_g") / every).cast("long").alias("block"), "entry").agg(F.count(F.lit(1)).alias("n"))
+    if n > every:
+        last = counts.agg(F.max("block")).first()[0] or 0
+        held = F.sequence(F.col("block"), F.least(F.col("block") + n // every - 1, F.lit(last)))
+        counts = counts.select(F.explode(held).alias("block"), "entry", "n").groupBy("block", "entry").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("block").orderBy(F.col("n").desc(), "entry")
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -51,7 +59,7 @@ def bargains(trades: DataFrame, quotes: DataFrame, n: int = 4) -> DataFrame:
 def accepted(df: DataFrame, arrival: list[str], pane: int, lag: int, discard_age: int) -> DataFrame:
     """Adds watermark (the greatest us among rows that came before this one or with it, less lag), pane (its start) and
     late (the watermark had passed the pane's end); rows go that come after the pane's end plus discard_age."""
-    parts = order.bucketed(df, arrival[0], 1000)
+    parts = order.bucketed(df, arrival[0])
     greatest = parts.groupBy("_bucket").agg(F.max("us").alias("_m"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     marks = greatest.select(F.col("_bucket").alias("_b"), F.max("_m").over(before).alias("_c"))

@@ -1,6 +1,6 @@
 """Order over a whole stream without sorting it in one task: numbers, running totals and neighbours by buckets of the order.
 
-Buckets are ranges of a numeric order column (never of partitions, whose bounds are sampled). What passes through one
+Buckets are ranges of a numeric order column (never of partitions, whose bounds are sampled anew at each run). What passes through one
 task is a row for each bucket; the rows themselves are sorted bucket by bucket.
 """
 
@@ -9,18 +9,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOUR_US = 3_600_000_000
+#: Buckets that the rows are dealt to by quantiles: at least, at most, and rows in one between these.
+BUCKETS, BUCKET_ROWS = (8, 1 << 16), 200_000
+#: The bucket of rows without an order value; they come first.
+NO_ORDER = -(1 << 62)
 
 
-def bucketed(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn("_bucket", F.floor(F.col(order) / F.lit(width)).cast("long"))
+def place_of(values: list, x: Column) -> Column:
+    """How many of the ascending values are less than x, by halving steps; null for null."""
+    if not values:
+        return F.when(x.isNotNull(), 0)
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(values).bit_length()))))
+    every = F.lit(values).cast(f"array<{'double' if isinstance(values[0], float) else 'bigint'}>")
+    found = F.aggregate(steps, F.lit(0), lambda a, k: F.when((a + k <= len(values)) & (F.get(every, a + k - 1) < x), a + k).otherwise(a))
+    return F.when(x.isNotNull(), found)
+
+
+def quantiles(df: DataFrame, column: str) -> list[float]:
+    """Bounds that deal the rows to buckets of about BUCKET_ROWS: the same for every task and retry, as the driver keeps them."""
+    n = min(max(BUCKETS[0], df.count() // BUCKET_ROWS), BUCKETS[1])
+    found = df.select(F.col(column).cast("double").alias("_x")).where("_x is not null").approxQuantile("_x", [i / n for i in range(1, n)], 1 / (4 * n))
+    return sorted(set(found))
+
+
+def bucketed(df: DataFrame, order: str, width: int | None = None) -> DataFrame:
+    """Adds _bucket: ranges of so wide a span of order, or, without width, ranges that hold about as many rows each."""
+    if width is None:
+        bucket = place_of(quantiles(df, order), F.col(order).cast("double"))
+    else:
+        bucket = F.floor(F.col(order) / F.lit(width))
+    return df.withColumn("_bucket", F.coalesce(bucket.cast("long"), F.lit(NO_ORDER)))
 
 
 def by_bucket(order_by: list[str], keys: list[str] | None = None):
     return Window.partitionBy(*(keys or []), "_bucket").orderBy(*order_by)
 
 
-def running(df: DataFrame, sums: dict[str, Column], order_by: list[str], keys: list[str] | None = None, width: int = HOUR_US) -> DataFrame:
+def running(df: DataFrame, sums: dict[str, Column], order_by: list[str], keys: list[str] | None = None, width: int | None = None) -> DataFrame:
     """Adds a running sum, this row included, of each column expression in sums; over all rows, or by keys."""
     keys = keys or []
     parts = bucketed(df, order_by[0], width).withColumns({f"_v_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()})
@@ -35,29 +60,27 @@ def running(df: DataFrame, sums: dict[str, Column], order_by: list[str], keys: l
     return out.select(*df.columns, *sums)
 
 
-def numbered(df: DataFrame, order_by: list[str], name: str = "seq", width: int = HOUR_US) -> DataFrame:
+def numbered(df: DataFrame, order_by: list[str], name: str = "seq", width: int | None = None) -> DataFrame:
     """Adds each row's place in the whole order, from 0."""
     return running(df, {"_n": F.lit(1)}, order_by, width=width).select(*df.columns, (F.col("_n") - 1).alias(name))
 
 
-def carried(df: DataFrame, value: Column, name: str, order_by: list[str], keys: list[str] | None = None, width: int = HOUR_US) -> DataFrame:
+def carried(df: DataFrame, value: Column, name: str, order_by: list[str], keys: list[str] | None = None, width: int | None = None) -> DataFrame:
     """Adds the last value that isn't null up to and with each row: in its bucket, else what the buckets before it carry on."""
     keys = keys or []
     parts = bucketed(df, order_by[0], width).withColumn("_v", value)
-    order = F.struct(*order_by)
-    lasts = parts.where(F.col("_v").isNotNull()).groupBy(*keys, "_bucket").agg(F.max_by("_v", order).alias("_l"))
-    marks = parts.select(*keys, "_bucket").distinct().join(lasts, [*keys, "_bucket"], "left")
+    marks = parts.groupBy(*keys, "_bucket").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order_by))).alias("_l"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     marks = marks.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_bucket").alias("_b"), F.last("_l", ignorenulls=True).over(before).alias("_c"))
     on = F.col("_bucket") == F.col("_b")
     for k in keys:
-        on = on & (F.col(k) == F.col(f"_k_{k}"))
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     w = by_bucket(order_by, keys).rowsBetween(Window.unboundedPreceding, 0)
     out = parts.join(marks, on).withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(w), F.col("_c")))
     return out.select(*df.columns, name)
 
 
-def last_n(df: DataFrame, n: int, aggregates: dict[str, Column], order_by: list[str], block: int | None = None, width: int = HOUR_US) -> DataFrame:
+def last_n(df: DataFrame, n: int, aggregates: dict[str, Column], order_by: list[str], block: int | None = None, width: int | None = None) -> DataFrame:
     """Aggregates of the last n rows of the whole stream at each row. Blocks of rows are windows' partitions; each gets a
     copy of the n - 1 rows before it."""
     if n <= 0:
@@ -69,3 +92,11 @@ def last_n(df: DataFrame, n: int, aggregates: dict[str, Column], order_by: list[
     w = Window.partitionBy("_in").orderBy("_g").rowsBetween(-(n - 1), 0)
     out = copies.withColumns({k: a.over(w) for k, a in aggregates.items()})
     return out.where("_in = _block").select(*df.columns, *aggregates)
+
+
+def time_blocks(df: DataFrame, at: str, micros: int, ahead: Column | None = None) -> DataFrame:
+    """Each row in its block of micros (_block) and, where ahead holds (always, if not given), in the next one too: with _in as
+    a key, windows that look back less than micros need no row of another key. Rows without a time have a block of their own."""
+    block = F.coalesce(F.floor(F.col(at) / F.lit(micros)).cast("long"), F.lit(NO_ORDER))
+    both = F.array("_block", F.col("_block") + 1)
+    return df.withColumn("_block", block).withColumn("_in", F.explode(both if ahead is None else F.when(ahead, both).otherwise(F.array("_block"))))

@@ -51,9 +51,9 @@ def any_contains(df: DataFrame, term: str) -> DataFrame:
     return df.where(functools.reduce(lambda a, b: a | b, (F.coalesce(F.col(c).cast("string").contains(term), F.lit(False)) for c in df.columns)))
 
 
-def union(*frames: DataFrame) -> DataFrame:
-    """All rows of all; a frame given twice counts once."""
-    different = list({id(f): f for f in frames}.values())
+def union(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """All rows of all; a frame given twice counts once, and with no others it is the first itself."""
+    different = list({id(f): f for f in (first, *others)}.values())
     return functools.reduce(lambda a, b: a.unionByName(b), different)
 
 

@@ -28,6 +28,8 @@ class Last:
     def __post_init__(self):
         if (self.rows is None) == (self.micros is None) or (self.rows if self.micros is None else self.micros) <= 0 or self.every <= 0:
             raise ValueError("a window needs a positive number of rows, or of microseconds")
+        if self.complete and self.rows is None:
+            raise ValueError("only a window of rows can be complete")
 
     def partition(self, *keys: str) -> Last:
         return replace(self, keys=keys)
@@ -36,8 +38,13 @@ class Last:
         return replace(self, every=every)
 
     def aggregate(self, df: DataFrame, **aggregates: Column) -> DataFrame:
-        """Adds aggregates. Without keys and by rows, the whole stream is one window, computed in blocks."""
-        if not self.keys and self.rows:
+        """Adds aggregates. Without keys the whole stream is one window, computed in blocks of rows or of time."""
+        if not self.keys and self.micros:
+            w = Window.partitionBy("_in").orderBy(self.order_by[0]).rangeBetween(-(self.micros - 1), 0)
+            out = order.time_blocks(df, self.order_by[0], self.micros).withColumns({k: a.over(w) for k, a in aggregates.items()})
+            out = out.where("_in = _block").select(*df.columns, *aggregates)
+            return order.numbered(out, list(self.order_by), "_n").where((F.col("_n") + 1) % self.every == 0).drop("_n") if self.every > 1 else out
+        if not self.keys:
             if self.every == 1 and not self.complete:
                 return order.last_n(df, self.rows, aggregates, list(self.order_by))
             out = order.numbered(order.last_n(df, self.rows, aggregates, list(self.order_by)), list(self.order_by), "_n")
@@ -76,9 +83,12 @@ def time_evict(df: DataFrame, micros: int, keys: list[str], **aggregates: Column
     columns = [c for c in df.columns if c not in keys]
     into = df.select(*keys, *columns, F.col("us").alias("at"), F.lit(False).alias("evicted"))
     out = df.select(*keys, *(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in columns), (F.col("us") + micros).alias("at"), F.lit(True).alias("evicted"))
-    w = Window.partitionBy(*keys).orderBy("at").rangeBetween(-(micros - 1), 0)
-    both = into.unionByName(out).withColumns({k: a.over(w) for k, a in aggregates.items()}).withColumn("_live", F.count("us").over(w))
-    return both.where("_live > 0").select(*keys, "at", "evicted", *aggregates)
+    both = into.unionByName(out)
+    if not keys:  # the whole stream: blocks of time, with the rows of the block before
+        both = order.time_blocks(both, "at", micros, ~F.col("evicted"))
+    w = Window.partitionBy(*(keys or ["_in"])).orderBy("at").rangeBetween(-(micros - 1), 0)
+    both = both.withColumns({k: a.over(w) for k, a in aggregates.items()}).withColumn("_live", F.count("us").over(w))
+    return (both if keys else both.where("_in = _block")).where("_live > 0").select(*keys, "at", "evicted", *aggregates)
 
 
 def ticks(df: DataFrame, emitted: list[str], period: int, keys: list[str]) -> DataFrame:
@@ -88,6 +98,9 @@ def ticks(df: DataFrame, emitted: list[str], period: int, keys: list[str]) -> Da
     ends = df.groupBy(*keys).agg(F.min("us").alias("_a"), F.max("us").alias("_z"))
     grid = ends.select(*keys, F.explode(F.sequence(F.ceil(F.col("_a") / period) * period, F.floor(F.col("_z") / period) * period + period, F.lit(period))).alias("us"), F.lit(1).alias("_tick"), *(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in emitted))
     rows = df.select(*keys, "us", F.lit(0).alias("_tick"), *emitted)
+    if not keys:  # the whole stream, bucket by bucket
+        said = F.when(F.col("_tick") == 0, F.struct(*emitted))
+        return order.carried(rows.unionByName(grid), said, "_s", ["us", "_tick"]).where("_tick = 1").select("us", *(F.col("_s")[c].alias(c) for c in emitted))
     w = Window.partitionBy(*keys).orderBy("us", "_tick").rowsBetween(Window.unboundedPreceding, 0)
     both = rows.unionByName(grid).withColumns({c: F.last(c, ignorenulls=True).over(w) for c in emitted})
     return both.where("_tick = 1").select(*keys, "us", *emitted)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 
@@ -44,7 +49,7 @@ def kafka_options(servers: str, topics: list[str], **options: str) -> dict[str,
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files, with each file's path and time of change."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("changed"))
+    return spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("changed"))
 
 
 def live_table(spark: SparkSession, path: str, files_per_batch: int | None = 64, schema: StructType | None = None) -> DataFrame:
@@ -77,8 +82,71 @@ def has_suffix(name, *suffixes: str):
     return found
 
 
-def counter(spark: SparkSession, n: int) -> DataFrame:
-    """0 to n - 1; a negative n is an error."""
+def counter(spark: SparkSession, n: int, row: Column | None = None) -> DataFrame:
+    """n from 0 to n - 1, with what row (an expression of n) makes of it as value; where that is null there is no row. A
+    negative n is an error."""
     if n < 0:
         raise ValueError("a count can't be negative")
-    return spark.range(n).select(F.col("id").alias("n"))
+    numbers = spark.range(n).select(F.col("id").alias("n"))
+    return numbers if row is None else numbers.select("n", row.alias("value")).where("value is not null")
+
+
+def constants(spark: SparkSession, rows: list[tuple | None], schema: str) -> DataFrame:
+    """Rows that are given, in their order as _i; None is left out."""
+    kept = [(i, *r) for i, r in enumerate(r for r in rows if r is not None)]
+    return spark.createDataFrame(kept, f"_i long, {schema}")
+
+
+#: How a null stands in CSV files, so that it isn't an empty text.
+NULL_MARK = "\\N"
+
+
+def csv_table(spark: SparkSession, path: str, schema: StructType, null: str = NULL_MARK) -> DataFrame:
+    """CSV files without a header, of a declared schema; .gz and .bz2 are read as what they are. A gzip file is one task."""
+    return spark.read.schema(schema).csv(path, nullValue=null, emptyValue="")
+
+
+def write_csv(df: DataFrame, path: str, compression: str = "none", null: str = NULL_MARK) -> None:
+    df.write.csv(path, nullValue=null, compression=compression)
+
+
+class Generated(DataSource):
+    """A source of the user's own in Python: rows (n, value) for n from 0 to rows - 1, in so many parts, each its own task.
+    A subclass says what row(n) is; None is no row."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "generated"
+
+    def schema(self) -> str:
+        return "n long, value long"
+
+    def row(self, n: int) -> int | None:
+        return n * n % 1009 if n % 5 else None
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return GeneratedReader(self, int(self.options["rows"]), int(self.options.get("parts", "8")))
+
+
+class GeneratedReader(DataSourceReader):
+    def __init__(self, source: Generated, rows: int, parts: int):
+        self.source, self.rows, self.parts = source, rows, parts
+
+    def partitions(self) -> list[InputPartition]:
+        bounds = [self.rows * i // self.parts for i in range(self.parts + 1)]
+        return [InputPartition(x) for x in zip(bounds, bounds[1:], strict=False)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for n in range(*partition.value):
+            if (value := self.source.row(n)) is not None:
+                yield n, value
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; on one machine only, where that is unset, below a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="riverbed-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

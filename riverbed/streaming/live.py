@@ -2,16 +2,18 @@
 
 Within a micro-batch, rows of a key are put in the order of order_by; across micro-batches they count as they arrive. A
 task holds one key's rows of one micro-batch, which the source bounds (files or offsets per batch), and the key's state:
-a few longs, or n of them. Null values count as 0. State lives in the query's checkpoint, so a restart goes on exactly.
+a few longs, n of them, or what a user's function keeps. In sums, null values count as 0. State lives in the query's checkpoint, so a restart goes on exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -64,19 +66,53 @@ def join_last(left: DataFrame, right: DataFrame, keys: list[str], value: str, or
     by = [order_by[0], "_side", *order_by[1:]]
 
     def run(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = state.get[0] if state.exists else None
+        value_, some = state.get if state.exists else (0, False)
         rows = _ordered(frames, by)
         is_left = rows["_side"] == 1
-        said = rows["_v"].astype("Int64").mask(is_left).ffill()
-        if known is not None:
-            said = said.fillna(known)
-        if pd.notna(said.iloc[-1]):
-            state.update((int(said.iloc[-1]),))
+        before = pd.Series([value_ if some else None], dtype="Int64")
+        values = pd.concat([before, rows["_v"].astype("Int64")], ignore_index=True)
+        last = pd.Series(range(1, len(rows) + 1)).mask(is_left).ffill().fillna(0).astype(int)  # of the rows so far, the last right one
+        said = values.iloc[last].reset_index(drop=True)
+        if not is_left.all():
+            end = said.iloc[-1]
+            state.update((0 if pd.isna(end) else int(end), bool(pd.notna(end))))
         yield rows.loc[is_left, names].assign(value=said[is_left])
 
-    tagged = left.select(*names, F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_v"))
-    both = tagged.unionByName(right.select(*names, F.lit(0).alias("_side"), F.coalesce(F.col(value).cast("long"), F.lit(0)).alias("_v")))
-    return both.groupBy(*keys).applyInPandasWithState(run, f"{_fields(left, names)}, value long", "value long", "append", GroupStateTimeout.NoTimeout)
+    tagged = left.select(*names, F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_v"))
+    both = tagged.unionByName(right.select(*names, F.lit(0).alias("_side"), F.col(value).cast("long").alias("_v")))
+    return both.groupBy(*keys).applyInPandasWithState(run, f"{_fields(left, names)}, value long", "value long, some boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def stateful(df: DataFrame, keys: list[str], order_by: list[str], function: Callable[[tuple, pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple]], output: str, state: str) -> DataFrame:
+    """A function of the user's with state by key: it gets the key, the key's rows of a micro-batch in order, and its state
+    (None at first), and returns rows (of the schema output) and the new state (a tuple of the schema state)."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        out, new = function(key, _ordered(frames, order_by), held.get if held.exists else None)
+        held.update(new)
+        yield out
+
+    return df.groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def windowed(df: DataFrame, n: int, keys: list[str], order_by: list[str], aggregate: Callable[[pd.DataFrame], tuple], output: str, every: int = 1) -> DataFrame:
+    """keys and order_by of each every-th row of a key, with what aggregate makes (a tuple, of the fields of output; None: no
+    row) of its last n rows, oldest first; windows that aren't full yet count too. State: n - 1 rows, of any columns."""
+    if n <= 0 or every <= 0:
+        raise ValueError("a window holds one row at least, and emits at each row or more seldom")
+    names, made = [*keys, *order_by], [f.name for f in T.StructType.fromDDL(output)]
+
+    def step(_, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        seen, before = (state[0], pickle.loads(state[1])) if state else (0, rows.iloc[:0])
+        every_row = pd.concat([before, rows], ignore_index=True) if len(before) else rows
+        out = []
+        for i in range(len(before), len(every_row)):
+            if (seen + i - len(before) + 1) % every == 0 and (x := aggregate(every_row.iloc[max(0, i + 1 - n) : i + 1])) is not None:
+                out.append((*every_row.loc[i, names], *x))
+        kept = every_row.iloc[max(0, len(every_row) - n + 1) :].reset_index(drop=True)
+        return pd.DataFrame(out, columns=[*names, *made]), (seen + len(rows), pickle.dumps(kept))
+
+    return stateful(df, keys, order_by, step, f"{_fields(df, names)}, {output}", "seen long, kept binary")
 
 
 def panes(df: DataFrame, at: str, duration: str, lag: str, keys: list[str], **aggregates) -> DataFrame:
@@ -86,11 +122,14 @@ def panes(df: DataFrame, at: str, duration: str, lag: str, keys: list[str], **ag
     return met.select(*keys, F.unix_micros("_p.start").alias("start_us"), *aggregates)
 
 
-def write_batches(df: DataFrame, out: str, checkpoint: str, mode: str = "append"):
+def write_batches(df: DataFrame, out: str, checkpoint: str, mode: str = "append", done: Callable[[DataFrame, int], None] | None = None):
     """Start writing each micro-batch to its own folder of out, by its number; a batch that is tried again replaces itself.
-    Ends when all that stands in the source at the start is done; returns the streaming query."""
+    done, if given, is called with what was written and the batch's number, once it stands (again, if the batch is tried
+    again). Ends when all that stands in the source at the start is done; returns the streaming query."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if done:
+            done(batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/batch={number}"), number)
 
     return df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -97,3 +97,45 @@ def test_many_unordered_files(spark, unordered, monkeypatch, name, slice_rows):
     got = registry.QUERIES[name](spark, unordered)
     want = con.sql(registry.ORACLES[name]).project(", ".join(got.columns)).fetchall()
     assert sorted(map(str, rows_or_none(got))) == sorted(str(tuple(r)) for r in want)
+
+
+def test_a_failed_batch_is_tried_again(spark, slices):
+    """The sink fails in the middle of a batch, after it has written: state and output go on as if it hadn't."""
+    put, base, every, schema = slices
+    for i in range(4):
+        put(i)
+    failed = []
+
+    def done(batch, number):
+        if number == 2 and not failed:
+            failed.append(batch.count())
+            raise RuntimeError("lost")
+
+    def start():
+        stream = tables.events_of(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
+        return live.write_batches(live.running(stream, ["user_id"], "cents", O), f"{base}/out", f"{base}/state", done=done)
+
+    with pytest.raises(Exception, match="lost"):
+        start().awaitTermination()
+    start().awaitTermination()
+    w = Window.partitionBy("user_id").orderBy(*O).rowsBetween(Window.unboundedPreceding, 0)
+    want = every.select("user_id", *O, F.count(F.lit(1)).over(w), F.sum("cents").over(w))
+    assert failed and rows(spark.read.parquet(f"{base}/out").select("user_id", *O, "n", "total")) == rows(want)
+
+
+def test_windowed_across_batches(spark, slices):
+    """A user's aggregate of a live window, at each second row of a key, over a stop."""
+    w = Window.partitionBy("user_id").orderBy(*O)
+    want = slices[2].select("user_id", *O, F.max("value").over(w.rowsBetween(-2, 0)).alias("m"), F.row_number().over(w).alias("r")).where("r % 2 = 0").drop("r")
+    make = lambda s: live.windowed(s.select("user_id", *O, "value"), 3, ["user_id"], O, lambda x: (float(x["value"].max()),), "m double", every=2)
+    assert rows(run(spark, slices, make)) == rows(want)
+
+
+def test_join_last_keeps_nulls(spark, slices):
+    """A right row that says null is what was said last, in the live form as in the batch form."""
+    is_left = F.col("event_id") % 2 == 0
+    said = F.when(F.col("event_id") % 3 != 0, F.col("cents"))
+    want = joins.join_last(slices[2].where(is_left).select("user_id", *O), slices[2].where(~is_left).select("user_id", *O, said.alias("v")), ["user_id"], ["v"], O)
+    got = run(spark, slices, lambda s: live.join_last(s.where(is_left), s.where(~is_left).withColumn("v", said), ["user_id"], "v", O))
+    assert sorted(map(str, rows_or_none(got))) == sorted(map(str, rows_or_none(want.select("user_id", *O, "v"))))
+    assert got.where("value is null").count() > 0

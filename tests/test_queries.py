@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from riverbed.functions import schema, topics, values
 from riverbed.jobs import registry
-from riverbed.operators import joins, order, rows, windows
+from riverbed.operators import analytics, joins, order, rows, windows
 from riverbed.operators.windows import Last
+from riverbed.sources import tables
 from tests.conftest import SMALL
 
 
@@ -130,3 +131,88 @@ def test_json_and_rows(spark):
         rows.sample(j, 2.0, "j")
     n = spark.createDataFrame([(418, "325")], T.StructType([T.StructField("ii", T.IntegerType()), T.StructField("ss", T.StringType())]))
     assert n.select(values.tuple_string(n)).first()[0] == '{ii=418,ss="325"}'
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_sort_of_everything_in_one_task(spark):
+    """Windows over a whole stream: one task gets rows of buckets at most, and sums of them."""
+    e = tables.events(spark, SMALL).select("us", "event_id", "cents")
+    frames = [Last(micros=10**9).aggregate(e, s=F.sum("cents")), windows.time_evict(e, 10**9, [], s=F.sum("cents")), order.last_n(e, 5, {"s": F.sum("cents")}, ["us"])]
+    for df in frames:
+        text = plan(df)
+        assert "Window" in text
+        for part in text.split("SinglePartition")[1:]:  # only what has been summed by bucket
+            assert "sum" in part.split("Scan")[0] and "_bucket" in part.split("Scan")[0]
+    assert not any("SinglePartition" in plan(f) for f in frames[:2])
+    with pytest.raises(ValueError):
+        Last(micros=5, complete=True)
+
+
+def test_joins_of_odd_rows(spark):
+    """Null keys meet null keys, rows without an order come first, left rows that repeat stay: the same in each form."""
+    left = spark.createDataFrame([(1, 5, 1, "a"), (1, 5, 1, "a"), (None, 5, 2, "b"), (2, None, 3, "c"), (3, 9, 4, "d")], "k long, us long, event_id long, x string")
+    right = spark.createDataFrame([(1, 3, 10, 7), (None, 4, 11, None), (None, 2, 12, 8), (2, None, 13, 9), (1, 6, 14, 1)], "k long, us long, event_id long, v long")
+    want = sorted(map(str, [(1, 5, 1, "a", 7), (1, 5, 1, "a", 7), (None, 5, 2, "b", None), (2, None, 3, "c", 9), (3, 9, 4, "d", None)]))
+    for width in (None, 2, 100):
+        got = joins.join_last(left, right, ["k"], ["v"], ["us", "event_id"], width)
+        assert sorted(map(str, map(tuple, got.collect()))) == want
+    lists = {str(tuple(r[:4])): r["items"] for r in joins.join_last_n(left, right, 2, ["k"], "v", ["us", "event_id"]).collect()}
+    assert lists == {"(1, 5, 1, 'a')": [7], "(None, 5, 2, 'b')": [8, None], "(2, None, 3, 'c')": [9], "(3, 9, 4, 'd')": []}
+    timed = joins.join_last_time(left, right, 3, ["k"], "v").collect()
+    assert len(timed) == 5 and {str(tuple(r[:4])): r["items"] for r in timed} == {"(1, 5, 1, 'a')": [7], "(None, 5, 2, 'b')": [None], "(2, None, 3, 'c')": [], "(3, 9, 4, 'd')": []}
+    empty = joins.join_last(left.where("false"), right, [], ["v"], ["us", "event_id"])
+    assert empty.count() == 0 and joins.join_last(left, right.where("false"), [], ["v"], ["us", "event_id"]).where("v is null").count() == 5
+
+
+def test_nulls_quotes_and_bad_json(spark):
+    n = spark.createDataFrame([(1, None), (None, 'a"b\\c')], "a int, b string")
+    assert [r[0] for r in values.as_json(n).collect()] == ['{"a":1,"b":null}', '{"a":null,"b":"a\\"b\\\\c"}']
+    assert [r[0] for r in n.select(values.tuple_string(n)).collect()] == ["{a=1,b=null}", '{a=null,b="a\\"b\\\\c"}']
+    j = spark.createDataFrame([("[1]",), ("{oops",)], "j string")
+    assert [r[0] for r in j.select(values.json_object(F.col("j"))).collect()] == ['{"payload":[1]}', None]
+    with pytest.raises(Exception):
+        j.select(values.json_object(F.col("j"), strict=True)).collect()
+    assert rows.union(n) is n
+
+
+def test_sources(spark, tmp_path):
+    with pytest.raises(ValueError):
+        tables.counter(spark, -1)
+    assert [tuple(r) for r in tables.counter(spark, 4, F.when(F.col("n") > 1, F.col("n") * 2)).collect()] == [(2, 4), (3, 6)]
+    assert [tuple(r) for r in tables.constants(spark, [("a", 1), None, ("b", 2)], "x string, y int").orderBy("_i").collect()] == [(0, "a", 1), (1, "b", 2)]
+    for name, text in (("one.txt", "a\nb\n"), ("two.txt", "c\n")):
+        (tmp_path / name).write_text(text)
+    got = tables.text_lines(spark, str(tmp_path)).collect()
+    assert sorted((r["value"], r["path"].rsplit("/", 1)[-1]) for r in got) == [("a", "one.txt"), ("b", "one.txt"), ("c", "two.txt")]
+    q = tables.live_lines(spark, str(tmp_path), 1).select("value").writeStream.format("memory").queryName("lines").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r[0] for r in spark.table("lines").collect()) == ["a", "b", "c"]
+
+
+def test_schema_of_named_tuples():
+    from typing import NamedTuple
+
+    class Reading(NamedTuple):
+        sensor: str
+        value: float
+        count: int
+        ok: bool
+
+    s = schema.schema_of(Reading)
+    assert s.fieldNames() == ["sensor", "value", "count", "ok"] and [f.dataType.simpleString() for f in s] == ["string", "double", "bigint", "boolean"]
+
+
+def test_trending_windows(spark):
+    items = list("abacabadcc") * 3
+    t = seq(spark, items, "v")
+    got = {}
+    for r in analytics.trending(t, F.col("v"), 8, 2, ["us"], every=4).collect():
+        got.setdefault(r["block"], []).append((r["rank"], r["entry"], r["n"]))
+    for b in range(-(-len(items) // 4)):
+        counts = sorted(((-items[max(0, 4 * b - 4) : 4 * b + 4].count(x), x) for x in set(items[max(0, 4 * b - 4) : 4 * b + 4])))
+        assert sorted(got[b]) == [(i + 1, x, -n) for i, (n, x) in enumerate(counts[:2])]
+    with pytest.raises(ValueError):
+        analytics.trending(t, F.col("v"), 8, 2, ["us"], every=3)
