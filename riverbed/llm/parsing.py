@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import place_of
 from .common import STEP_BYTES, U, from_texts, groups, mix64, prefix_hashes, slice_hashes, table, utf8
 
 #: Levels of phrases; one of a level has some three of the level below.
@@ -118,20 +119,12 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
     cuts = sorted({int(c) for c in ids.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n))})
     last = len(cuts) + 1
 
-    def at_least(values: list[int], x: Column) -> Column:
-        """How many of the ascending values are less than x, by halving steps."""
-        if not values:
-            return F.lit(0)
-        steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(values).bit_length()))))
-        every = F.lit(values).cast("array<bigint>")
-        return F.aggregate(steps, F.lit(0), lambda a, k: F.when((a + k <= len(values)) & (F.get(every, a + k - 1) < x), a + k).otherwise(a))
-
-    bucket = F.when(F.col("doc_id").isNull(), last).otherwise(at_least(cuts, F.col("doc_id").cast("long"))).cast("int")
+    bucket = F.when(F.col("doc_id").isNull(), last).otherwise(place_of(cuts, F.col("doc_id").cast("long"))).cast("int")
     heads = sorted((r["g"], r["m"]) for r in ids.groupBy(bucket.alias("g")).agg(F.min("doc_id").alias("m")).collect())  # a row a range
     order = [g for g, _ in heads]
     firsts = [m for _, m in heads if m is not None]
     # the range before the one that a first id begins; before the first it is the last
-    place = at_least(firsts, F.col("doc_id").cast("long"))
+    place = place_of(firsts, F.col("doc_id").cast("long"))
     before = F.get(F.lit([order[i - 1] for i in range(len(order))] or [0]).cast("array<int>"), F.when(F.col("doc_id").isNull(), len(firsts)).otherwise(place))
     is_first = F.coalesce(F.get(F.lit(firsts or [0]).cast("array<bigint>"), place) == F.col("doc_id"), F.col("doc_id").isNull())
     rows = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("t"), bucket.alias("g"))

@@ -76,6 +76,37 @@ def test_media_formats_and_resize():
     assert np.array_equal(np.load(io.BytesIO(media.to_npy(image))), image)
 
 
+def area_mean(image, height, width):
+    """By repeating each sample until both grids fit, then plain means."""
+    h, w = image.shape
+    return np.kron(image.astype(float), np.ones((height, width))).reshape(height, h, width, w).mean((1, 3))
+
+
+def test_media_forms_and_features(spark, texts):
+    rows, some = table_of(QUERIES["op1_media_tiles"](spark, SF)), sorted(texts, key=lambda i: len(texts[i]))[:400]
+    for i in some:
+        data = texts[i].encode()
+        n = max(1, -(-len(data) // 576))
+        payload = data.ljust(n * 576, b"\xff")
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 24)
+        h = len(image)
+        if n % 2:
+            palette = b"".join(bytes([k, k, k, 0]) for k in range(256))
+            head = b"BM" + (1078 + h * 24).to_bytes(4, "little") + bytes(4) + (1078).to_bytes(4, "little")
+            head += b"".join(x.to_bytes(k, "little") for x, k in ((40, 4), (24, 4), (h, 4), (1, 2), (8, 2), (0, 4), (h * 24, 4), (2835, 4), (2835, 4), (256, 4), (0, 4)))
+            media_ = head + palette + image[::-1].tobytes()
+        else:
+            media_ = f"P5\n24 {h}\n255\n".encode() + payload
+        assert (rows[i]["media_bytes"], rows[i]["media_sha256"]) == (len(media_), hashlib.sha256(media_).hexdigest())
+        small = area_mean(image, 8, 9)
+        bits = "".join("1" if b > a + 1e-9 else "0" for line in small for a, b in zip(line, line[1:], strict=False))
+        if all(abs(b - a) > 1e-6 or a == b for line in small for a, b in zip(line, line[1:], strict=False)):
+            assert rows[i]["feature"].split(":")[0] == f"{int(bits, 2):016x}"
+        tile = np.load(io.BytesIO(media.to_npy(np.clip(np.rint(media.area_resize(image, 24, 24)), 0, 255).astype(np.uint8))))
+        assert np.abs(tile - area_mean(image, 24, 24)).max() <= 0.5 + 1e-6
+        assert int(rows[i]["feature"].split(":")[1], 16) == zlib.crc32(media.to_npy(tile))
+
+
 def level(totals, weights=(5, 2, 1)):
     order = sorted(totals, key=lambda s: (s is None, s))
     w = {s: weights[i % 3] for i, s in enumerate(order)}
@@ -300,6 +331,57 @@ def test_toxicity_folding_and_exceptions():
     assert m[:, 0].tolist() == [0.0, 5.0, 3.0, 0.0, 0.0, 0.0] and m[:, 3].tolist() == [0, 0, 0, 0, 1, 1]
 
 
+def test_toxicity_scores_by_plain_search(spark):
+    """Each score against a search for every entry at every word, one text at a time."""
+    import math
+
+    docs = spark.read.parquet(f"{LABELLED}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{LABELLED}/labels.parquet").select("doc_id", "toxic"))
+    assert model["lexicon"]
+    some = docs.where("doc_id % 40 = 3")
+    for r in toxicity.score(some, model).collect():
+        w = toxicity.fold(r["text"]).split()
+        free = {i for i in range(len(w)) for k in (i - 1, i) if 0 <= k < len(w) - 1 and f"{w[k]} {w[k + 1]}" in model["phrases"]}
+        held = []
+        for i, x in enumerate(w):
+            fits = [v for e, v in model["lexicon"].items() if (x.startswith(e[:-1]) if e.endswith("*") else x == e)]
+            if fits and i not in free:
+                held.append(max(fits))
+        m = [max(held, default=0.0), math.log1p(sum(held)), math.log1p(100 * sum(held) / max(50, len(w))), float(not w)]
+        z = sum(a * b for a, b in zip(m, model["weights"], strict=False)) + model["weights"][-1]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+
+
+def test_quality_by_plain_updates(spark):
+    """The trained weights and the scores against the textbook's formulas, one coordinate at a time."""
+    import math
+
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices("alpha beta gamma delta 1. x, eps".split(), k=rng.randrange(1, 30))).encode() for _ in range(30)] + [b""]
+    labels = np.array([i % 2 for i in range(31)], float)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 0.02 else -(z[i] - math.copysign(0.02, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.6 + 0.1)
+
+    def vector(t):
+        f = quality.features([t])[0].tolist()
+        return {i: c * 24.0 / len(f) for i, c in Counter(f).items()} | {quality.BUCKETS: 1.0}
+
+    for _ in range(quality.EPOCHS):
+        for t, y in zip(texts, labels, strict=True):
+            x = vector(t)
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+            for i, g in [(i, (p - y) * v) for i, v in x.items()]:
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.6
+                z[i], n[i] = z[i] + g - s * weight(i), n[i] + g * g
+    got = quality.train(texts, labels)
+    assert all(got[i] == pytest.approx(weight(i), abs=1e-5) for i in list(z)) and np.count_nonzero(got) <= len(z)
+    frame = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in quality.score(frame, got).collect():
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-sum(float(got[i]) * v for i, v in vector(texts[r["doc_id"]]).items()))), abs=1e-6)
+
+
 def test_quality_held_out(spark):
     pairs = held_out(spark, "op10_quality", "quality")
     assert np.mean([p == y for p, y in pairs]) >= 0.95
@@ -405,6 +487,70 @@ def test_parsing_query(spark, texts):
     assert np.median(near) < 0.2 < 0.4 < np.median(edited_near)
 
 
+def plain_phrases(data):
+    """The bounds, in bytes, of the inner phrases of each level: tosses on whole numbers, one place at a time."""
+    spans, names, out = [(i, i + 1) for i in range(len(data))], [data[i : i + 1] for i in range(len(data))], {}
+    ids = {}
+    for lev in range(1, parsing.LEVELS):
+        runs = []
+        for s, x in zip(spans, names, strict=True):
+            if runs and runs[-1][1] == x:
+                runs[-1] = ((runs[-1][0][0], s[1]), x, runs[-1][2] + 1)
+            else:
+                runs.append((s, x, 1))
+        x = [ids.setdefault((lev, r[1]), plain_number(lev, r[1])) for r in runs]
+        for _ in range(4):
+            label = []
+            for i, v in enumerate(x):
+                d = v ^ (x[i - 1] if i else ~v & (1 << 64) - 1)
+                low = (d & -d).bit_length() - 1
+                label.append(2 * low + (v >> low & 1))
+            x = label
+        begin = [i for i in range(len(runs)) if i == 0 or (1 < i < len(runs) - 1 and x[i] > x[i - 1] and x[i] >= x[i + 1])]
+        ends = [*begin[1:], len(runs)]
+        spans = [(runs[a][0][0], runs[b - 1][0][1]) for a, b in zip(begin, ends, strict=True)]
+        names = [tuple((r[1], r[2]) for r in runs[a:b]) for a, b in zip(begin, ends, strict=True)]
+        out[lev] = (spans, names)
+    return out
+
+
+def plain_number(lev, name):
+    """The number of a name: a byte's own, or the hash of what its phrase is made of."""
+    if lev == 1:
+        return name[0] + 1
+    parts = []
+    for x, n in name:
+        v = plain_number(lev - 1, x)
+        parts.append(mix((v * 0x9E3779B97F4A7C15 + n)) if n > 1 else v)
+    base, total = 0x9E3779B97F4A7C15, 0
+    for k, v in enumerate(parts):
+        total += mix(v + 1) * (pow(base, k, 1 << 64))
+    return mix(total)
+
+
+def mix(x):
+    m = (1 << 64) - 1
+    x &= m
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & m
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def test_parsing_against_a_plain_parser():
+    rng = random.Random(7)
+    for n in (9, 40, 333, 1500):
+        for letters in ("ab", "abcdefgh ", "a"):
+            data = "".join(rng.choices(letters, k=n)).encode()
+            want = set()
+            for lev, (spans, names) in plain_phrases(data).items():
+                if lev in parsing.SKETCHED and len(spans) > 2:
+                    want |= {mix(plain_number(lev + 1, x) + lev) for x in names[1:-1]}
+            got = set(parsing.phrases([data])[0].tolist())
+            assert got == want if want else len(got) == 1
+
+
 def test_parsing_is_locally_consistent():
     rng = np.random.default_rng(8)
     shared = bytes(rng.integers(97, 123, 4000, dtype=np.uint8))
@@ -580,3 +726,24 @@ def test_pipeline(spark, texts):
     assert Counter(r["doc_id"] for r in packed if r["start"] == 0) == copies
     for frame in (good, apart, clean, mixed):
         assert frame.columns == docs.columns
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    """Each stage on nulls, empty texts, rows that repeat, ids that repeat with other texts, and on no rows."""
+    import corpus_pipeline as p
+
+    frame = odd.union(spark.createDataFrame([(4, "other text", "en", "a", 1, "x", "y")], odd.schema))
+    for docs, n in ((frame, len(ODD) + 1), (frame.where("false"), 0)):
+        for name, stage in p.STAGES:
+            out = stage(spark, docs, SF)
+            rows = out.collect()
+            if name == "pack":
+                assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) and sum(r["start"] == 0 for r in rows) == n
+            else:
+                assert out.columns == p.COLUMNS
+                have = Counter(r["doc_id"] for r in docs.collect())
+                assert all(k <= {"mix": 2, "near_duplicates": 1}.get(name, 1) * max(1, have[i]) for i, k in Counter(r["doc_id"] for r in rows).items())
+            if name == "secrets":
+                assert len(rows) == n and sum(r["text"] is None for r in rows) == (1 if n else 0)
+            if name == "near_duplicates" and n:
+                assert sorted((r["doc_id"] or 0, r["text"] or "")[0] for r in rows) == [0, 1, 2, 3, 4, 4, 6, 7, 8]
