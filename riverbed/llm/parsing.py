@@ -17,7 +17,7 @@ SKETCHED = (2, 3, 4)
 #: Names that a fingerprint keeps: the least of a text's different ones.
 KEEP = 64
 #: Ranges of doc_id that neighbours are looked for in: at least and at most, and bytes of text in one between these.
-RANGES, RANGE_BYTES = (64, 1 << 16), 1 << 27
+RANGES, RANGE_BYTES = (16, 1 << 16), 1 << 23
 
 
 def _labels(x: np.ndarray, first: np.ndarray) -> np.ndarray:
