@@ -265,7 +265,7 @@ def src_counter(spark, sf):
 @query("SELECT n, n * n % 1009 AS \"value\" FROM (SELECT unnest(range(0, (SELECT count(*) FROM events))) AS n) WHERE n % 5 <> 0")
 def udf_source(spark, sf):
     """A source in Python that makes as many rows as there are events, in parts."""
-    spark.dataSource.register(tables.Generated)
+    spark.dataSource.register(tables.generated(lambda n: n * n % 1009 if n % 5 else None))
     return spark.read.format("generated").option("rows", str(events(spark, sf).count())).option("parts", "16").load()
 
 

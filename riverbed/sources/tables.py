@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,36 +110,36 @@ def write_csv(df: DataFrame, path: str, compression: str = "none", null: str = N
     df.write.csv(path, nullValue=null, compression=compression)
 
 
-class Generated(DataSource):
-    """A source of the user's own in Python: rows (n, value) for n from 0 to rows - 1, in so many parts, each its own task.
-    A subclass says what row(n) is; None is no row."""
+def generated(row: Callable[[int], int | None], called: str = "generated") -> type[DataSource]:
+    """A source in Python, to be registered: rows (n, value) for n from 0 to the option rows - 1, where value is what the user's
+    function makes of n (None: no row), in as many parts as the option parts says, each its own task. The classes are made
+    here, so that workers get them whole and needn't have this library."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "generated"
+    class Reader(DataSourceReader):
+        def __init__(self, rows: int, parts: int):
+            self.rows, self.parts = rows, parts
 
-    def schema(self) -> str:
-        return "n long, value long"
+        def partitions(self) -> list[InputPartition]:
+            bounds = [self.rows * i // self.parts for i in range(self.parts + 1)]
+            return [InputPartition(x) for x in zip(bounds, bounds[1:], strict=False)]
 
-    def row(self, n: int) -> int | None:
-        return n * n % 1009 if n % 5 else None
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            for n in range(*partition.value):
+                if (value := row(n)) is not None:
+                    yield n, value
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return GeneratedReader(self, int(self.options["rows"]), int(self.options.get("parts", "8")))
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return called
 
+        def schema(self) -> str:
+            return "n long, value long"
 
-class GeneratedReader(DataSourceReader):
-    def __init__(self, source: Generated, rows: int, parts: int):
-        self.source, self.rows, self.parts = source, rows, parts
+        def reader(self, schema: StructType) -> DataSourceReader:
+            return Reader(int(self.options["rows"]), int(self.options.get("parts", "8")))
 
-    def partitions(self) -> list[InputPartition]:
-        bounds = [self.rows * i // self.parts for i in range(self.parts + 1)]
-        return [InputPartition(x) for x in zip(bounds, bounds[1:], strict=False)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for n in range(*partition.value):
-            if (value := self.source.row(n)) is not None:
-                yield n, value
+    return Source
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
