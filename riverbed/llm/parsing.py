@@ -21,26 +21,37 @@ RANGES, RANGE_BYTES = (16, 1 << 16), 1 << 23
 
 
 def _labels(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One toss: twice the place of the lowest bit in which a symbol differs from the one before, plus that bit."""
+    """One toss: twice the place of the lowest bit in which a symbol differs from the one before, plus that bit (64 as the
+    place where none differs). Symbols are unsigned numbers of any width; labels have 8 bits."""
     before = np.empty_like(x)
     before[1:] = x[:-1]
     before[first] = ~x[first]
-    d = x ^ before
-    low = d & (~d + U(1))
-    return (np.bitwise_count(low - U(1)).astype(U) << U(1)) | ((x & low) != 0).astype(U)
+    before ^= x
+    low = np.negative(before)
+    low &= before
+    bit = (x & low) != 0
+    same = low == 0
+    low -= x.dtype.type(1)
+    label = np.bitwise_count(low)
+    label[same] = 64
+    label <<= np.uint8(1)
+    label |= bit
+    return label
 
 
 def _level(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Names of the phrases of sequences laid one after another (starts: their first places; none is empty)."""
     # runs of one symbol become one symbol with its number, so that neighbours differ
     new = np.ones(len(x), bool)
-    new[1:] = x[1:] != x[:-1]
+    np.not_equal(x[1:], x[:-1], out=new[1:])
     new[starts] = True
     at = np.flatnonzero(new)
     run = np.diff(np.append(at, len(x)))
     x = x[at]
     starts = np.searchsorted(at, starts)
-    named = np.where(run > 1, mix64(x * U(0x9E3779B97F4A7C15) + run.astype(U)), x)
+    named = x.astype(U)
+    runs = np.flatnonzero(run > 1)
+    named[runs] = mix64(named[runs] * U(0x9E3779B97F4A7C15) + run[runs].astype(U))
     first = np.zeros(len(x), bool)
     first[starts] = True
     label = x
@@ -59,12 +70,12 @@ def _level(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return slice_hashes(prefix_hashes(mix64(named + U(1))), begin, end), np.searchsorted(begin, starts)
 
 
-def phrases(texts: list[bytes]) -> list[np.ndarray]:
-    """Each text's different phrase names of SKETCHED levels in ascending order; of a text too short for one, the text's name."""
+def _names(texts: list[bytes]) -> list[np.ndarray]:
+    """Each text's phrase names of SKETCHED levels, repeats among them; of a text too short for one, the text's name."""
     out: list[list[np.ndarray]] = [[] for _ in texts]
     full = [i for i, t in enumerate(texts) if t]
     if full:
-        x = np.frombuffer(b"".join(texts[i] for i in full), np.uint8).astype(U) + U(1)
+        x = np.frombuffer(b"".join(texts[i] for i in full), np.uint8).astype(np.uint16) + np.uint16(1)
         sizes = np.array([len(texts[i]) for i in full])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         for level in range(1, LEVELS):
@@ -79,14 +90,26 @@ def phrases(texts: list[bytes]) -> list[np.ndarray]:
     for i, t in enumerate(texts):
         if not out[i] and len(t) > 8:
             whole[i] = slice_hashes(prefix_hashes(np.frombuffer(t, np.uint8).astype(U) + U(1)), np.array([0]), np.array([len(t)]))
-    return [np.unique(np.concatenate(o)) if o else w.astype(U) for o, w in zip(out, whole, strict=True)]
+    return [np.concatenate(o) if o else w.astype(U) for o, w in zip(out, whole, strict=True)]
+
+
+def phrases(texts: list[bytes]) -> list[np.ndarray]:
+    """Each text's different phrase names of SKETCHED levels in ascending order; of a text too short for one, the text's name."""
+    return [np.unique(x) for x in _names(texts)]
+
+
+def _least(names: np.ndarray) -> np.ndarray:
+    x = np.sort((names >> U(32)).astype(np.uint32))
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new][:KEEP]
 
 
 def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
     """The least KEEP different 32-bit hashes of each text's phrase names, ascending. Long texts are parsed one by one."""
     out: list[np.ndarray] = []
     for g in groups([len(t) for t in texts], STEP_BYTES // 2):
-        out += [np.unique((p >> U(32)).astype(np.uint32))[:KEEP] for p in phrases(texts[g])]
+        out += map(_least, _names(texts[g]))
     return out
 
 
