@@ -68,7 +68,7 @@ IS_WORD = np.ones(256, bool)
 IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (BASE, BASE_INVERSE):
@@ -80,7 +80,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers, at least, of an odd number modulo 2**64 and of its inverse."""
-    return _powers(max(20, int(n).bit_length()))
+    return _powers(max(21, int(n).bit_length()))
 
 
 def prefix_hashes(values: np.ndarray) -> np.ndarray:
@@ -144,10 +144,17 @@ def from_texts(df: DataFrame, text: str, out: str, kind: str, make: Callable[[],
                 yield b.set_column(where, b.schema.field(where), found)
             else:
                 yield b.append_column(out, found)
+        del made
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """At a task's end: hand what Arrow keeps of its freed memory back to the system, as later tasks reuse the worker."""
+    pa.default_memory_pool().release_unused()
+
+
 def _segments(data: bytes) -> Iterator[bytes]:
     """Cut a long text at white space into parts of about STEP_BYTES."""
     at = 0

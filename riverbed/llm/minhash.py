@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, cut, mix64, table, text_groups, utf8, words
+from .common import U, cut, mix64, release, table, text_groups, utf8, words
 
 #: Two sets of similarity 0.8 share a band with probability 0.33, so all bands miss them 3 times in a million; at 0.9, never.
 BANDS, ROWS = 32, 5
@@ -86,6 +86,7 @@ def sketch(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
                     bands[i] = k
             columns = [b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(h1), pa.array(h2), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h1", "h2", "bands"])
+        release()
 
     return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 

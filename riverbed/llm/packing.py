@@ -13,19 +13,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, U, mix64, table, text_groups
+from .common import STEP_BYTES, U, mix64, release, table, text_groups
 
 WINDOW = 2048
 END_ID = 1
 #: Pieces shorter than a window that are packed together at most; they and their ids are what a task holds.
 GROUP_PIECES = 16_384
 GROUP_TOKENS = 1 << 22
+#: Pieces that go to the JVM at once, of a window each at most.
+SENT_PIECES = 1024
 #: Bytes that a task keeps different parts and their ids in, about; beyond that it begins anew.
-CACHE_BYTES = 1 << 26
+CACHE_BYTES = 1 << 25
 #: Parts of up to so many bytes are told apart in numpy, longer ones one by one.
 SHORT_PART = 24
 #: Bytes of texts whose parts are looked up together.
-LOOKUP_BYTES = 4 * STEP_BYTES
+LOOKUP_BYTES = STEP_BYTES
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: White space of more than one byte, as UTF-8, by the bytes that come before the last one.
@@ -289,7 +291,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
             if rest:
                 length, tokens = np.concatenate([r[1] for r in rest]), np.concatenate([r[2] for r in rest])
                 places = np.array(best_fit(length.tolist(), window), np.int64)
-                yield _batch(pa.concat_arrays([r[0] for r in rest]), tokens - length, length, np.concatenate([r[3] for r in rest]), tokens, base + opened + places[:, 0], places[:, 1])
+                found = _batch(pa.concat_arrays([r[0] for r in rest]), tokens - length, length, np.concatenate([r[3] for r in rest]), tokens, base + opened + places[:, 0], places[:, 1])
+                yield from (found.slice(i, SENT_PIECES) for i in range(0, found.num_rows, SENT_PIECES))
                 opened += int(places[:, 0].max()) + 1
                 rest, pieces, held = [], 0, 0
 
@@ -303,12 +306,14 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
                 of = np.repeat(np.arange(len(tokens)), full)
                 if len(of):
                     start = (np.arange(len(of)) - np.repeat(np.cumsum(full) - full, full)) * window
-                    for i in range(0, len(of), 1024):
-                        o, s = of[i : i + 1024], start[i : i + 1024]
+                    for i in range(0, len(of), SENT_PIECES):
+                        o, s = of[i : i + SENT_PIECES], start[i : i + SENT_PIECES]
                         took = ids[((begin[o] + s)[:, None] + np.arange(window)).ravel()]
                         yield _batch(doc.take(pa.array(o)), s, np.full(len(o), window, np.int64), took, tokens[o], base + opened + np.arange(len(o)), np.zeros(len(o), np.int64))
                         opened += len(o)
                 part = np.flatnonzero(left)
+                if not len(part):  # whole windows only
+                    continue
                 m = left[part]
                 inside = np.repeat(begin[part] + tokens[part] - m - (np.cumsum(m) - m), m) + np.arange(m.sum())
                 rest.append((doc.take(pa.array(part)), m, tokens[part], ids[inside]))
@@ -316,6 +321,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
                 if pieces >= GROUP_PIECES or held >= GROUP_TOKENS:
                     yield from flush()
         yield from flush()
+        del encode
+        release()
 
     return docs.select("doc_id", text).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 

@@ -188,6 +188,13 @@ def reassemble(rows):
     return {i: b"".join(x[1] for x in sorted(p)) for i, p in by.items()}
 
 
+def test_pack_full_windows_only(spark):
+    frame = spark.createDataFrame([(1, "a" + " a" * 2046), (2, "a" + " a" * 4094)], "doc_id long, text string").coalesce(1)
+    rows = packing.pack(frame, packing.default_vocabulary()).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"], r["offset"]) for r in rows) == [(1, 0, 2048, 0), (2, 0, 2048, 0), (2, 2048, 2048, 0)]
+    assert len({r["sequence_id"] for r in rows}) == 3
+
+
 def test_pack(spark, docs, texts):
     from tokenizers import Tokenizer
 
