@@ -58,8 +58,9 @@ def part_starts(data: np.ndarray) -> np.ndarray:
 
 @functools.lru_cache(maxsize=1)
 def load(vocabulary: str):
-    """The tokenizer; whether it is byte-level BPE without normalizer, prefix or added words, so that texts may be cut where
-    white space begins; and, if so, a quicker encoder of the same merges with each token's number of bytes.
+    """The tokenizer; its added tokens, if it is byte-level BPE without normalizer, prefix or added words, so that texts in
+    which none of them stands may be cut where white space begins (else None); and, if so, a quicker encoder of the same
+    merges with each token's number of bytes.
 
     The quicker one joins whatever gives a token, the least id first. That is the same as the vocabulary's merges if these
     come in the order of ids and each token's letters give that token alone: all that stands in a span before it becomes a
@@ -69,7 +70,6 @@ def load(vocabulary: str):
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.encode_special_tokens = True
     with open(vocabulary, encoding="utf-8") as f:
         said = json.load(f)
     cutter, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
@@ -79,20 +79,21 @@ def load(vocabulary: str):
         and not said.get("truncation") and not said.get("padding") and all(t.get("special") for t in said.get("added_tokens") or ())
     )
     if not by_part:
-        return tokenizer, False, None, None
+        return tokenizer, None, None, None
     special = {t["content"] for t in said.get("added_tokens") or ()}
+    added = [t.encode() for t in sorted(special)]
     vocab = {t: i for t, i in model["vocab"].items() if t not in special}
     order = [vocab.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
     plain = not model.get("ignore_merges") and all(set(t) <= BYTES.keys() for t in vocab) and all(c in vocab for c in BYTES)
     plain = plain and all(x < y for x, y in zip(order, order[1:], strict=False)) and len(order) + 256 == len(vocab)
     if not plain or not all([x.id for x in tokenizer.model.tokenize(t)] == [i] for t, i in vocab.items()):
-        return tokenizer, True, None, None
+        return tokenizer, added, None, None
     import tiktoken
 
     sizes = np.zeros(max(vocab.values()) + 1, np.int64)
     sizes[list(vocab.values())] = [len(t) for t in vocab]
     ranks = {bytes(BYTES[c] for c in t): i for t, i in vocab.items()}
-    return tokenizer, True, tiktoken.Encoding("plain", pat_str=PIECES.pattern, mergeable_ranks=ranks, special_tokens={}), sizes
+    return tokenizer, added, tiktoken.Encoding("plain", pat_str=PIECES.pattern, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
 class PartIds:
@@ -100,12 +101,13 @@ class PartIds:
 
     A byte-level pre-tokenizer cuts wherever white space begins, and BPE doesn't join across its cuts, so the ids of a
     text are those of its parts (white space and what follows, up to the next white space) one after another. Each
-    different part of some texts is encoded once. For a vocabulary with another pre-tokenizer, with a normalizer, or with
-    added tokens that aren't special, whole texts are encoded. Special tokens that stand in a text are ordinary text.
+    different part of some texts is encoded once. A text in which a special token stands is encoded whole, so that it becomes
+    that token's id as in any call of the tokenizer; and so is every text for a vocabulary with another pre-tokenizer, with
+    a normalizer, or with added tokens that aren't special.
     """
 
     def __init__(self, vocabulary: str):
-        self.tokenizer, self.by_part, self.quick, self.sizes = load(vocabulary)
+        self.tokenizer, self.added, self.quick, self.sizes = load(vocabulary)
         self.known: dict[bytes, bytes] = {}
         self.held = 0
 
@@ -136,9 +138,22 @@ class PartIds:
 
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, and each text's number of ids."""
-        if not self.by_part:
+        if self.added is None:
             found = self.encode(texts)
             return np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found], np.int64)
+        named = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not named:
+            return self._by_parts(texts)
+        outs, counts, at = [], np.zeros(len(texts), np.int64), 0
+        for i in [*named, len(texts)]:
+            ids, counts[at:i] = self._by_parts(texts[at:i])
+            whole = self.encode(texts[i : i + 1])
+            outs += [ids, *(np.frombuffer(w, "<u4") for w in whole)]
+            counts[i : i + 1] = [len(w) // 4 for w in whole]
+            at = i + 1
+        return np.concatenate(outs), counts
+
+    def _by_parts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         outs, counts = [], np.zeros(len(texts), np.int64)
         steps: list[tuple[list[bytes], list[int]]] = [([], [])]
         size = 0
@@ -275,7 +290,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
 
     Each document is its token ids and end_id, so an empty or null text is one piece of length 1. Full windows are
     sequences of their own; what remains of each document is packed with others of its input partition, in groups
-    bounded by GROUP_PIECES and GROUP_TOKENS. Nothing is shuffled. Rows that repeat give pieces of their own; an empty
+    bounded by GROUP_PIECES and GROUP_TOKENS. Nothing is shuffled. A special token of the vocabulary that stands in a text
+    is that token. Rows that repeat give pieces of their own; an empty
     table gives none. Other columns of docs are ignored.
     """
 

@@ -199,7 +199,6 @@ def test_pack(spark, docs, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
     rows = packing.pack(docs, packing.default_vocabulary()).collect()
     got = reassemble(rows)
     for i, text in texts.items():
@@ -228,6 +227,18 @@ def test_word_ids_equal_the_tokenizer(text):
     assert ids.text(text) == ids.whole(text)
 
 
+def test_special_tokens_in_texts():
+    """They are what a plain call of the tokenizer makes of them, wherever they stand among other texts."""
+    from tokenizers import Tokenizer
+
+    t, end = Tokenizer.from_file(packing.default_vocabulary()), "<|endoftext|>"
+    some = [end, "a b", "", f"word {end} next{end}", "plain text here", f"{end[:-1]} |>", f" {end}", end[:6], end[6:], "日 " + end, "x"]
+    for texts in (some, some[1:3], some[:1], []):
+        ids, counts = packing.PartIds(packing.default_vocabulary()).texts([x.encode() for x in texts])
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 32), max_size=40))
 def test_best_fit(lengths):
