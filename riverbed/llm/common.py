@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -150,9 +151,17 @@ def from_texts(df: DataFrame, text: str, out: str, kind: str, make: Callable[[],
     return df.mapInArrow(run, schema)
 
 
+@functools.lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    """The C library's malloc_trim; where it has none, nothing."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
 def release() -> None:
-    """At a task's end: hand what Arrow keeps of its freed memory back to the system, as later tasks reuse the worker."""
+    """At a task's end: hand what Arrow and the C library keep of their freed memory back to the system, as later tasks
+    reuse the worker."""
     pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def _segments(data: bytes) -> Iterator[bytes]:

@@ -123,6 +123,7 @@ def rarity(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
                 sums[i] = sums.get(i, np.uint32(0)) + np.frombuffer(c, np.uint32)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
+        release()
 
     schema = "part long, counts binary"
     out = np.zeros(COUNTERS, np.uint32)
@@ -154,6 +155,7 @@ def rare_shingles(docs: DataFrame, seen: np.ndarray, width: int, percent: int, t
                 doc = np.concatenate(doc)
                 columns = [ids[g].take(pa.array(doc)), pa.array(counts[doc]), pa.array(np.concatenate(place).astype(np.int64)), pa.array(np.concatenate(token).view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n", "i", "token"])
+        release()
 
     return docs.select("doc_id", text).mapInArrow(run, "id long, n long, i long, token long")
 
@@ -199,6 +201,7 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, text: st
                     common = len(mine) + len(known) - len(np.unique(np.concatenate([mine, known])))
                     keep[i] = common > 0 and 100 * common >= percent * (len(mine) + len(known) - common)
             yield x.loc[keep, ["a", "b"]]
+        release()
 
     return both.mapInPandas(run, "a long, b long").distinct()
 

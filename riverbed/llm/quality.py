@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, crc_mod, from_texts, mix64, table, utf8, words
+from .common import U, crc_mod, from_texts, mix64, release, table, utf8, words
 
 #: Size of the weight vector; it alone bounds what the driver gathers and broadcasts (float32).
 BUCKETS = 1 << 18
@@ -96,7 +96,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
             text = [utf8(t) for t in b.text]
             order = np.argsort(mix64(b.doc_id.to_numpy(np.int64).astype(U)), kind="stable")
             w = train([text[i] for i in order], b["_y"].to_numpy(float)[order])
-            yield pd.DataFrame({"n": [len(b)], "w": [w.tobytes()]})
+            found = pd.DataFrame({"n": [len(b)], "w": [w.tobytes()]})
+            del kept, b, text
+            yield found
+        release()
 
     # a document may repeat: the least of its texts counts, so that reruns agree and no task gets more than its share
     data = data.groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
