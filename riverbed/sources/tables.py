@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,19 @@ def live_counter(spark: SparkSession, rows_per_batch: int, copies: int = 1) -> D
     return ticks.select("timestamp", F.col("value").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
 
 
+def live_period(spark: SparkSession, seconds: float, copies: int = 1) -> DataFrame:
+    """An endless counter in real time: n from 0 on, one every so many seconds (a whole number of milliseconds, one at least),
+    each in so many copies (numbered from 0); timestamp is when its turn came, at equal distances whatever a batch's delay."""
+    period = Fraction(round(seconds * 1000), 1000)
+    if period <= 0 or copies <= 0:
+        raise ValueError("a period takes a millisecond at least and gives one row at least")
+    # so many ticks a second, of which every so-many-th counts
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", period.denominator).option("numPartitions", 1).load()
+    turns = ticks.where(F.col("value") % period.numerator == 0)
+    n = F.expr(f"value div {period.numerator}")
+    return turns.select("timestamp", n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+
+
 def has_suffix(name, *suffixes: str):
     found = F.lit(False)
     for s in suffixes:

@@ -139,3 +139,16 @@ def test_join_last_keeps_nulls(spark, slices):
     got = run(spark, slices, lambda s: live.join_last(s.where(is_left), s.where(~is_left).withColumn("v", said), ["user_id"], "v", O))
     assert sorted(map(str, rows_or_none(got))) == sorted(map(str, rows_or_none(want.select("user_id", *O, "v"))))
     assert got.where("value is null").count() > 0
+
+
+@pytest.mark.parametrize("seconds", [0.4, 2])
+def test_period_in_real_time(spark, tmp_path, seconds):
+    query = tables.live_period(spark, seconds, copies=2).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).start(str(tmp_path / "out"))
+    query.awaitTermination(9)
+    query.stop()
+    found = sorted((r["n"], r["copy"], r["timestamp"].timestamp()) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    turns = [t for _, copy, t in found if copy == 0]
+    assert len(turns) >= 3 and [f[:2] for f in found] == [(n, c) for n in range(len(turns)) for c in (0, 1)]
+    assert all(b - a == pytest.approx(seconds, abs=0.002) for a, b in zip(turns, turns[1:], strict=False))
+    with pytest.raises(ValueError):
+        tables.live_period(spark, 0)
