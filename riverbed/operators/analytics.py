@@ -15,9 +15,14 @@ def running_outliers(df: DataFrame, cents: str, threshold: float, order_by: list
     included; never the first. Sums are of whole hundredths, so they are exact whatever the partitioning."""
     c = F.col(cents)
     sums = order.running(df, {"_n": F.lit(1), "_s": c, "_q": (c * c).cast("decimal(38,0)")}, order_by)
+    return beyond(sums, c, threshold).select(*df.columns, "limit")
+
+
+def beyond(sums: DataFrame, c: Column, threshold: float) -> DataFrame:
+    """Rows with running sums _n, _s and _q (of squares) whose c is out of bounds, with limit."""
     n, s, q = F.col("_n").cast("double"), F.col("_s").cast("double"), F.col("_q").cast("double")
     deviation = F.sqrt((q - s * s / n) / (n - 1))
-    return sums.where(F.col("_n") > 1).withColumn("limit", (F.abs(s / n) + threshold * deviation) / 100).where(F.abs(c) / 100 > F.col("limit")).select(*df.columns, "limit")
+    return sums.where(F.col("_n") > 1).withColumn("limit", (F.abs(s / n) + threshold * deviation) / 100).where(F.abs(c) / 100 > F.col("limit"))
 
 
 def trending(df: DataFrame, entry: Column, n: int, k: int, order_by: list[str], every: int | None = None) -> DataFrame:
@@ -56,13 +61,14 @@ def bargains(trades: DataFrame, quotes: DataFrame, n: int = 4) -> DataFrame:
     return out.where("vwap is not null").withColumn("index", index_of(F.col("vwap"), F.col("ask"), F.col("size")))
 
 
-def accepted(df: DataFrame, arrival: list[str], pane: int, lag: int, discard_age: int) -> DataFrame:
+def accepted(df: DataFrame, arrival: list[str], pane: int, lag: int, discard_age: int, greatest_before: int | None = None) -> DataFrame:
     """Adds watermark (the greatest us among rows that came before this one or with it, less lag), pane (its start) and
-    late (the watermark had passed the pane's end); rows go that come after the pane's end plus discard_age."""
+    late (the watermark had passed the pane's end); rows go that come after the pane's end plus discard_age. A part of a
+    stream is told the greatest us of what came before it."""
     parts = order.bucketed(df, arrival[0])
     greatest = parts.groupBy("_bucket").agg(F.max("us").alias("_m"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    marks = greatest.select(F.col("_bucket").alias("_b"), F.max("_m").over(before).alias("_c"))
+    marks = greatest.select(F.col("_bucket").alias("_b"), F.greatest(F.max("_m").over(before), F.lit(greatest_before).cast("long")).alias("_c"))
     rows = parts.join(marks, F.col("_bucket") == F.col("_b"))
     w = order.by_bucket(arrival).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("watermark", F.greatest(F.max("us").over(w), "_c") - lag).withColumn("pane", F.floor(F.col("us") / pane) * pane)

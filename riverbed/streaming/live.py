@@ -7,7 +7,6 @@ a few longs, n of them, or what a user's function keeps. In sums, null values co
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .timed import opened, packed
+
 
 def _ordered(frames: Iterator[pd.DataFrame], order_by: list[str]) -> pd.DataFrame:
     return pd.concat(frames, ignore_index=True).sort_values(order_by, kind="stable", ignore_index=True)
@@ -97,20 +98,24 @@ def stateful(df: DataFrame, keys: list[str], order_by: list[str], function: Call
 
 def windowed(df: DataFrame, n: int, keys: list[str], order_by: list[str], aggregate: Callable[[pd.DataFrame], tuple], output: str, every: int = 1) -> DataFrame:
     """keys and order_by of each every-th row of a key, with what aggregate makes (a tuple, of the fields of output; None: no
-    row) of its last n rows, oldest first; windows that aren't full yet count too. State: n - 1 rows, of any columns."""
+    row) of its last n rows, oldest first; windows that aren't full yet count too. State: n - 1 rows, of any columns, as Arrow
+    IPC; a restart under other columns is an error."""
     if n <= 0 or every <= 0:
         raise ValueError("a window holds one row at least, and emits at each row or more seldom")
-    names, made = [*keys, *order_by], [f.name for f in T.StructType.fromDDL(output)]
+    names, made, columns = [*keys, *order_by], [f.name for f in T.StructType.fromDDL(output)], df.columns
 
     def step(_, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        seen, before = (state[0], pickle.loads(state[1])) if state else (0, rows.iloc[:0])
+        seen, before = (state[0], opened(state[1], columns)) if state else (0, rows.iloc[:0])
         every_row = pd.concat([before, rows], ignore_index=True) if len(before) else rows
-        out = []
-        for i in range(len(before), len(every_row)):
-            if (seen + i - len(before) + 1) % every == 0 and (x := aggregate(every_row.iloc[max(0, i + 1 - n) : i + 1])) is not None:
-                out.append((*every_row.loc[i, names], *x))
+        first = len(before) + (-seen - 1) % every  # the first row that emits
+        at, out = [], []
+        for i in range(first, len(every_row), every):
+            if (x := aggregate(every_row.iloc[max(0, i + 1 - n) : i + 1])) is not None:
+                at.append(i)
+                out.append(x)
+        found = pd.concat([every_row[names].iloc[at].reset_index(drop=True), pd.DataFrame(out, columns=made)], axis=1)
         kept = every_row.iloc[max(0, len(every_row) - n + 1) :].reset_index(drop=True)
-        return pd.DataFrame(out, columns=[*names, *made]), (seen + len(rows), pickle.dumps(kept))
+        return found, (seen + len(rows), packed(kept))
 
     return stateful(df, keys, order_by, step, f"{_fields(df, names)}, {output}", "seen long, kept binary")
 
