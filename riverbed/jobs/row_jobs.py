@@ -92,9 +92,11 @@ def str_startswith(spark, sf):
     return table(spark, sf, "documents").where(F.startswith("text", F.lit("An"))).select("doc_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE regexp_full_match(c_name, 'Customer#0+[1-9]*')")
+@query("SELECT c_custkey FROM customer WHERE regexp_full_match(CASE WHEN c_custkey % 3 = 0 THEN c_name || chr(10) ELSE c_name END, 'Customer#0+[1-9]*')")
 def grep_full(spark, sf):
-    return rows.grep(table(spark, sf, "customer"), "c_name", "Customer#0+[1-9]*", "full").select("c_custkey")
+    """Names that end in a line end are no full matches."""
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit("\n"))).otherwise(F.col("c_name"))
+    return rows.grep(table(spark, sf, "customer").withColumn("c_name", name), "c_name", "Customer#0+[1-9]*", "full").select("c_custkey")
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, '[a-z]tion [a-z]+ble')")
@@ -146,7 +148,8 @@ def json_parse_wrap(spark, sf):
     e = events(spark, sf)
     k = F.col("k").cast("string")
     text = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("["), k, F.lit("]"))).otherwise(k)
-    return e.select("event_id", values.json_object(text).alias("jsonString"))
+    space = F.when(F.col("event_id") % 2 == 0, F.lit("\n\t")).otherwise(F.lit(" "))
+    return e.select("event_id", values.json_object(F.concat(space, text, space)).alias("jsonString"))
 
 
 @query("SELECT '{\"event_id\":' || event_id || ',\"k\":' || CASE WHEN k % 3 = 0 THEN 'null' ELSE CAST(k AS VARCHAR) END || '}' AS jsonString FROM " + EVENTS_SQL)
@@ -156,17 +159,17 @@ def json_serialize(spark, sf):
 
 def _nested(spark, sf):
     e = events(spark, sf)
-    return e.select(F.concat(F.lit('{"a":"p"'), F.when(F.col("k") % 4 != 0, F.concat(F.lit(',"list":[{"v":'), F.col("k"), F.lit("},"), F.col("event_id"), F.lit("]"))).otherwise(""), F.lit("}")).alias("j"))
+    return e.select(F.concat(F.lit('{"a":"p"'), F.when(F.col("k") % 4 != 0, F.concat(F.lit(',"li.st":[{"v":'), F.col("k"), F.lit(',"b":2.5},'), F.col("event_id"), F.lit("]"))).otherwise(""), F.lit("}")).alias("j"))
 
 
-@query(f"SELECT '{{\"v\":' || k || '}}' AS jsonString FROM {EVENTS_SQL} WHERE k % 4 <> 0 UNION ALL SELECT '{{\"payload\":' || event_id || '}}' FROM {EVENTS_SQL} WHERE k % 4 <> 0")
+@query(f"SELECT '{{\"v\":' || k || ',\"b\":2.5}}' AS jsonString FROM {EVENTS_SQL} WHERE k % 4 <> 0 UNION ALL SELECT '{{\"payload\":' || event_id || '}}' FROM {EVENTS_SQL} WHERE k % 4 <> 0")
 def json_flatten(spark, sf):
-    return values.flatten_array(_nested(spark, sf), "j", "list")
+    return values.flatten_array(_nested(spark, sf), "j", "li.st")
 
 
-@query(f"SELECT '{{\"v\":' || k || ',\"a\":\"p\"}}' AS jsonString FROM {EVENTS_SQL} WHERE k % 4 <> 0 UNION ALL SELECT '{{\"payload\":' || event_id || ',\"a\":\"p\"}}' FROM {EVENTS_SQL} WHERE k % 4 <> 0")
+@query(f"SELECT '{{\"v\":' || k || ',\"b\":2.5,\"a\":\"p\"}}' AS jsonString FROM {EVENTS_SQL} WHERE k % 4 <> 0 UNION ALL SELECT '{{\"payload\":' || event_id || ',\"a\":\"p\"}}' FROM {EVENTS_SQL} WHERE k % 4 <> 0")
 def json_flatten_extra(spark, sf):
-    return values.flatten_array(_nested(spark, sf), "j", "list", "a", "b")
+    return values.flatten_array(_nested(spark, sf), "j", "li.st", "a", "b")
 
 
 @query("SELECT l_orderkey, unnest([l_partkey, l_suppkey, l_partkey]) AS item FROM lineitem")
@@ -197,10 +200,12 @@ def csv_format_parse(spark, sf):
     return text.select(F.from_csv("line", F.lit("o_orderkey BIGINT, note STRING")).alias("r")).select("r.*")
 
 
-@query("SELECT '{c_custkey=' || c_custkey || ',c_name=' || CASE WHEN c_custkey % 4 = 0 THEN 'null' ELSE '\"' || c_name || ' \\\"' || c_mktsegment || '\\\"\"' END || '}' AS string FROM customer")
+@query("SELECT '{c_custkey=' || c_custkey || ',c_name=' || CASE WHEN c_custkey % 4 = 0 THEN 'null' ELSE '\"' || c_name || ' \\\"' || c_mktsegment || '\\\"\"' END || ',l=[\"' || c_name || '\",null],t={s=\"' || c_mktsegment || '\",n=' || c_custkey || '},m={\"k\":' || c_custkey || '}}' AS string FROM customer")
 def tuple_string(spark, sf):
+    """Strings, nulls, and a list, a tuple and a map inside."""
     name = F.when(F.col("c_custkey") % 4 != 0, F.concat("c_name", F.lit(' "'), "c_mktsegment", F.lit('"')))
-    n = table(spark, sf, "customer").select("c_custkey", name.alias("c_name"))
+    inside = [F.array("c_name", F.lit(None)).alias("l"), F.struct(F.col("c_mktsegment").alias("s"), F.col("c_custkey").alias("n")).alias("t"), F.create_map(F.lit("k"), "c_custkey").alias("m")]
+    n = table(spark, sf, "customer").select("c_custkey", name.alias("c_name"), *inside)
     return n.select(values.tuple_string(n).alias("string"))
 
 
@@ -311,15 +316,8 @@ def par_round_robin(spark, sf):
 
 @query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1")
 def par_key(spark, sf):
-    def count(batches):
-        total: dict = {}
-        for b in batches:
-            for k, n in b.l_suppkey.value_counts().items():
-                total[k] = total.get(k, 0) + n
-        yield pd.DataFrame({"l_suppkey": list(total), "n": list(total.values())})
-
     s = table(spark, sf, "lineitem").select("l_suppkey")
-    return rows.parallel(s, 5, ["l_suppkey"]).mapInPandas(count, f"l_suppkey {s.dtypes[0][1]}, n long")
+    return rows.parallel(s, 5, ["l_suppkey"]).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT CAST((l_orderkey + 89) % 5 AS INTEGER) AS channel, count(*) AS n FROM lineitem GROUP BY 1")
@@ -338,15 +336,18 @@ def topic_valid(spark, sf):
     return t.select("topic", topics.name_valid(F.col("topic")).alias("name_ok"), topics.filter_valid(F.concat("topic", F.lit("+"))).alias("plus_ok"))
 
 
-@query(f"SELECT event_id FROM {EVENTS_SQL} WHERE event_type = 'click' AND k = 7 UNION ALL SELECT event_id FROM {EVENTS_SQL} WHERE event_type = 'view' AND user_id = 3")
+@query(f"SELECT event_id FROM {EVENTS_SQL} WHERE event_type = 'click' AND k = 7 AND event_id % 2 = 0 UNION ALL SELECT event_id FROM {EVENTS_SQL} WHERE event_type = 'view' AND user_id = 3")
 def topic_match(spark, sf):
+    """Topics of odd events end in a line end, which is a letter like others."""
     e = topic_events(spark, sf)
+    e = e.withColumn("topic", F.when(F.col("event_id") % 2 == 0, F.col("topic")).otherwise(F.concat("topic", F.lit("\n"))))
     return e.where(topics.matches(F.col("topic"), "click/+/7") | topics.matches(F.col("topic"), "view/3/#")).select("event_id")
 
 
 @query(f"SELECT filter, count(*) AS n FROM (SELECT unnest([CASE WHEN event_type = 'click' THEN 'click/#' END, CASE WHEN user_id = 3 THEN '+/3/+' END, '#']) AS filter FROM {EVENTS_SQL}) WHERE filter IS NOT NULL GROUP BY 1")
 def topic_fanout(spark, sf):
-    return topics.fan_out(topic_events(spark, sf), ["click/#", "+/3/+", "#"]).groupBy("filter").agg(F.count(F.lit(1)).alias("n"))
+    filters = spark.createDataFrame([("click/#",), ("+/3/+",), ("#",), ("click/#",), ("nothing/+",)], "filter string")
+    return topics.fan_out(topic_events(spark, sf), filters).groupBy("filter").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT event_id FROM {EVENTS_SQL} WHERE event_type IN ('click', 'view') AND user_id = 3")

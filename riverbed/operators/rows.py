@@ -44,7 +44,8 @@ def sample(df: DataFrame, fraction: float, key: str) -> DataFrame:
 
 
 def grep(df: DataFrame, column: str, pattern: str, mode: str = "search") -> DataFrame:
-    return df.where(F.col(column).rlike(f"^(?:{pattern})$" if mode == "full" else pattern))
+    """Rows whose column holds the pattern somewhere, or, with mode "full", is matched by it from the first letter to the last."""
+    return df.where(F.col(column).rlike(f"\\A(?:{pattern})\\z" if mode == "full" else pattern))
 
 
 def any_contains(df: DataFrame, term: str) -> DataFrame:

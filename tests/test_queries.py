@@ -124,7 +124,7 @@ def test_schemas(spark):
 def test_json_and_rows(spark):
     j = spark.createDataFrame([('{"a":"abc","g":[{"v":"hello"},{"v":"bye","a":"def"}]}',), ('{"g":["x"]}',), ("{}",), ('{"g":[]}',)], "j string")
     got = sorted(r[0] for r in values.flatten_array(j, "j", "g", "a").collect())
-    assert got == sorted(['{"v":"hello","a":"abc"}', '{"a":"def","v":"bye"}', '{"payload":"x"}'])
+    assert got == sorted(['{"v":"hello","a":"abc"}', '{"v":"bye","a":"def"}', '{"payload":"x"}'])
     good, bad = rows.catch(spark.createDataFrame([("1",), ("five",), ("3",)], "s string"), "s", "int")
     assert good.count() == 2 and bad.count() == 1
     with pytest.raises(ValueError):
@@ -216,3 +216,32 @@ def test_trending_windows(spark):
         assert sorted(got[b]) == [(i + 1, x, -n) for i, (n, x) in enumerate(counts[:2])]
     with pytest.raises(ValueError):
         analytics.trending(t, F.col("v"), 8, 2, ["us"], every=3)
+
+
+def test_fan_out_of_many_filters(spark):
+    """Filters of a frame against the same filters as regular expressions; topics and filters with odd letters and empty levels."""
+    import itertools
+    import re
+
+    from riverbed.functions import topics
+
+    names = ["a", "b", "", "x\ny", "."]
+    every = ["/".join(t) for n in (1, 2, 3) for t in itertools.product(names, repeat=n)]
+    filters = ["/".join(t) for n in (1, 2, 3) for t in itertools.product(["a", "", "+", "."], repeat=n)]
+    filters = [f for f in filters + [f + "/#" for f in filters] + ["#"] if f]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(every)] + [(None, -1), (every[0], -2)], "topic string, i long")
+    got = topics.fan_out(df, spark.createDataFrame([(f,) for f in [*filters, None, filters[0]]], "f string"))
+    want = [(i, f) for t, i in [*((t, i) for i, t in enumerate(every)), (every[0], -2)] for f in filters if re.search(topics.pattern(f), t)]
+    assert sorted((r["i"], r["filter"]) for r in got.collect()) == sorted(want)
+    few, many = (topics.fan_out(df, spark.range(n).selectExpr("concat('q/', id, '/+')"))._jdf.queryExecution().optimizedPlan().toString().count("\n") for n in (10, 100_000))
+    assert few == many
+
+
+def test_json_elements_keep_their_order(spark):
+    from riverbed.functions import values
+
+    df = spark.createDataFrame([('{"p":{"z":1,"y":"q"},"n":null,"l.x":[{"z":1,"a":[2, 3],"p":0}, {}, "s\\"t", null, [1]]}',), ("\n[1]",), (None,), ("not json",), ('{"l.x":{}}',)], "j string")
+    got = [r[0] for r in values.flatten_array(df, "j", "l.x", "p", "n", "none").collect()]
+    assert got[:3] == ['{"z":1,"a":[2,3],"p":0,"n":null}', '{"p":{"z":1,"y":"q"},"n":null}', '{"payload":"s\\"t","p":{"z":1,"y":"q"},"n":null}']
+    assert got[3:] == ['{"payload":null,"p":{"z":1,"y":"q"},"n":null}', '{"payload":[1],"p":{"z":1,"y":"q"},"n":null}']
+    assert [r[0] for r in df.select(values.json_object(F.col("j"))).collect()][1:4] == ['{"payload":[1]}', None, None]
