@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import analytics, joins
+from ..operators import analytics, joins, windows
 from ..sources.tables import EVENTS_SQL, events, shared_folder, table, text_lines
 from .registry import query
 
@@ -61,6 +61,21 @@ def vwap_event_time(spark, sf):
     return joins.join_band(q, p, ["ticker"], unit, "end").select("ticker", "event_id", "vwap", F.round(index, 4).alias("index"))
 
 
+@query(f"""WITH t AS (SELECT ticker, us // {HOUR} * {HOUR} AS slice, sum(price_cents * volume)::BIGINT AS pv, sum(volume)::BIGINT AS v FROM {CHEAP_TRADES_SQL} GROUP BY 1, 2)
+SELECT ticker, event_id, vwap, round(CASE WHEN vwap > ask THEN size * exp(vwap - ask) ELSE 0 END, 4) AS "index" FROM (
+SELECT q.ticker, q.event_id, any_value(ask) AS ask, any_value(size) AS size, sum(pv) / sum(v) / 100 AS vwap FROM {CHEAP_QUOTES_SQL} q JOIN t ON q.ticker = t.ticker AND t.slice < q.us // {HOUR} * {HOUR} AND t.slice >= q.us // {HOUR} * {HOUR} - {10 * HOUR} GROUP BY 1, 2 HAVING sum(v) > 0)""")
+def vwap_event_time_fine(spark, sf):
+    """Panes of ten units of time, one each unit (an hour, as invented events are sparse): summed up by unit, put together from
+    ten; a quote meets the pane that ended at the start of its own unit."""
+    t, q = _cheap(spark, sf)
+    unit = (F.floor(F.col("us") / HOUR) * HOUR).cast("long")
+    slices = t.groupBy("ticker", unit.alias("end")).agg(F.sum(F.col("price_cents") * F.col("volume")).alias("pv"), F.sum("volume").alias("v"))
+    panes = windows.slid(slices, q.select("ticker", unit.alias("end")), ["ticker"], "end", 10 * HOUR, pv=F.sum("pv"), v=F.sum("v"))
+    panes = panes.where("v > 0").select("ticker", "end", (F.col("pv") / F.col("v") / 100).alias("vwap"))
+    index = analytics.index_of(F.col("vwap"), F.col("ask"), F.col("size"))
+    return joins.join_band(q, panes, ["ticker"], unit, "end").select("ticker", "event_id", "vwap", F.round(index, 4).alias("index"))
+
+
 #: A text with tags for each event; one after a slash isn't a tag.
 TAGGED_SQL = "'#' || event_type || ' é#k' || k || ', (#k' || k % 7 || ') a/#no #日' || k % 3"
 TAG = r"(?:^|\s|[^\P{P}/])#([\p{L}\p{N}_]+)"

@@ -182,3 +182,37 @@ def udaf_batch(spark, sf):
 
     e = events(spark, sf).select("user_id", F.floor(F.col("us") / DAY).alias("day"), "cents")
     return e.groupBy("user_id", "day").applyInPandas(spread, "user_id long, day long, spread long")
+
+
+#: A third of all events in one key, and some without a key.
+SKEWED_SQL = f"(SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 11 = 0 THEN NULL ELSE user_id END AS user_id) FROM {EVENTS_SQL})"
+
+
+def _skewed(spark, sf):
+    key = F.when(F.col("event_id") % 3 == 0, 0).when(F.col("event_id") % 11 != 0, F.col("user_id"))
+    return events(spark, sf).withColumn("user_id", key)
+
+
+@query(f"SELECT event_id, s, n FROM (SELECT event_id, sum(cents) OVER w::BIGINT AS s, count(*) OVER w AS n, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS r FROM {SKEWED_SQL} WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS 9 PRECEDING)) WHERE r % 2 = 0")
+def win_last_n_hot_key(spark, sf):
+    """Windows of keys one of which holds a third of all rows: it is dealt in blocks."""
+    config = Last(rows=10, keys=("user_id",), every=2, hot=200)
+    return config.aggregate(_skewed(spark, sf), s=F.sum("cents"), n=F.count(F.lit(1))).select("event_id", "s", "n")
+
+
+@query(f"SELECT user_id, batch, sum(cents)::BIGINT AS s, count(*) AS n FROM (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1) // 7 AS batch, cents FROM {SKEWED_SQL}) GROUP BY 1, 2")
+def batch_count_hot_key(spark, sf):
+    return windows.batch(_skewed(spark, sf), 7, ["user_id"], O, hot=200, s=F.sum("cents"), n=F.count(F.lit(1)))
+
+
+@query(f"SELECT user_id, us, event_id, m - lo AS spread FROM (SELECT user_id, us, event_id, max(cents) OVER w AS m, min(cents) OVER w AS lo, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS r FROM {SKEWED_SQL} WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS 4 PRECEDING)) WHERE r % 3 = 0 AND r >= 5")
+def udf_sliding(spark, sf):
+    """A Python function over sliding windows, at each third row of a key once its window is full."""
+    config = Last(rows=5, keys=("user_id",), every=3, complete=True)
+    return config.apply(_skewed(spark, sf).select("user_id", *O, "cents"), lambda w: (int(w["cents"].max() - w["cents"].min()),), "spread long")
+
+
+@query(f"SELECT us, event_id, max(cents) OVER w - min(cents) OVER w AS spread FROM {EVENTS_SQL} WINDOW w AS (ORDER BY us, event_id ROWS 11 PRECEDING)")
+def udf_sliding_global(spark, sf):
+    """A Python function over the last twelve rows of the whole stream, at each row."""
+    return Last(rows=12).apply(events(spark, sf).select(*O, "cents"), lambda w: (int(w["cents"].max() - w["cents"].min()),), "spread long")

@@ -80,18 +80,33 @@ def carried(df: DataFrame, value: Column, name: str, order_by: list[str], keys:
     return out.select(*df.columns, name)
 
 
-def last_n(df: DataFrame, n: int, aggregates: dict[str, Column], order_by: list[str], block: int | None = None, width: int | None = None) -> DataFrame:
-    """Aggregates of the last n rows of the whole stream at each row. Blocks of rows are windows' partitions; each gets a
-    copy of the n - 1 rows before it."""
+def blocks(df: DataFrame, n: int, order_by: list[str], keys: list[str] | None = None, block: int | None = None, width: int | None = None) -> DataFrame:
+    """Adds _g (a row's place in the whole order, or in its key's, from 0), _block (of so many rows) and _in: each row stands in its
+    own block, and the last n - 1 of a block in the next one too. With keys and _in as a window's partition, one that looks back less
+    than n rows needs no row of another partition, however many rows a key has."""
     if n <= 0:
         raise ValueError("a window holds one row at least")
     block = max(n, block or 20_000)
-    rows = numbered(df, order_by, "_g", width).withColumn("_block", F.floor(F.col("_g") / block))
+    rows = running(df, {"_g": F.lit(1)}, order_by, keys, width).withColumn("_g", F.col("_g") - 1).withColumn("_block", F.floor(F.col("_g") / block))
     halo = F.when((F.col("_g") % block) >= block - (n - 1), F.array(F.col("_block"), F.col("_block") + 1)).otherwise(F.array("_block"))
-    copies = rows.withColumn("_in", F.explode(halo))
-    w = Window.partitionBy("_in").orderBy("_g").rowsBetween(-(n - 1), 0)
-    out = copies.withColumns({k: a.over(w) for k, a in aggregates.items()})
-    return out.where("_in = _block").select(*df.columns, *aggregates)
+    return rows.withColumn("_in", F.explode(halo))
+
+
+def last_n(df: DataFrame, n: int, aggregates: dict[str, Column], order_by: list[str], block: int | None = None, width: int | None = None, keys: list[str] | None = None, place: str | None = None) -> DataFrame:
+    """Aggregates of the last n rows of the whole stream, or of a row's key, at each row; place, if given, is the name of the column for
+    its place there, from 0. Blocks of rows are windows' partitions; each gets a copy of the n - 1 rows before it."""
+    w = Window.partitionBy(*(keys or []), "_in").orderBy("_g").rowsBetween(-(n - 1), 0)
+    out = blocks(df, n, order_by, keys, block, width).withColumns({k: a.over(w) for k, a in aggregates.items()})
+    return out.where("_in = _block").select(*df.columns, *aggregates, *([F.col("_g").alias(place)] if place else []))
+
+
+def heavy(df: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of keys with more than so many rows, and all others. Counts are made before anything is dealt by key; a null key is a key."""
+    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > rows).select(*(F.col(k).alias(f"_k_{k}") for k in keys))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(found, on, "left_semi"), df.join(found, on, "left_anti")
 
 
 def time_blocks(df: DataFrame, at: str, micros: int, ahead: Column | None = None) -> DataFrame:

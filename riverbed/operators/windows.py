@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import order
 
@@ -15,7 +19,8 @@ class Last:
     """The last rows, or the last microseconds, of each key; emits at each row, or at each m-th of a key.
 
     Rows count in the order of order_by, which must be total. Windows that aren't full yet emit too, unless complete.
-    A row exactly `micros` old has left. The same configuration may be used on several streams.
+    A row exactly `micros` old has left. The same configuration may be used on several streams. With hot given, keys of more rows
+    than that are dealt to many tasks, in blocks of that many; all others are sorted by key.
     """
 
     rows: int | None = None
@@ -24,12 +29,15 @@ class Last:
     order_by: tuple[str, ...] = ("us", "event_id")
     every: int = 1
     complete: bool = False
+    hot: int | None = None
 
     def __post_init__(self):
         if (self.rows is None) == (self.micros is None) or (self.rows if self.micros is None else self.micros) <= 0 or self.every <= 0:
             raise ValueError("a window needs a positive number of rows, or of microseconds")
         if self.complete and self.rows is None:
             raise ValueError("only a window of rows can be complete")
+        if self.hot is not None and (self.rows is None or not self.keys or self.hot <= 0):
+            raise ValueError("only keys of windows of rows can be hot")
 
     def partition(self, *keys: str) -> Last:
         return replace(self, keys=keys)
@@ -50,6 +58,10 @@ class Last:
             out = order.numbered(order.last_n(df, self.rows, aggregates, list(self.order_by)), list(self.order_by), "_n")
             kept = (F.col("_n") + 1) % self.every == 0
             return out.where(kept & (F.col("_n") + 1 >= self.rows) if self.complete else kept).drop("_n")
+        if self.hot:
+            many, few = order.heavy(df, list(self.keys), self.hot)
+            out = order.last_n(many, self.rows, aggregates, list(self.order_by), self.hot, keys=list(self.keys), place="_n")
+            return out.where(self._emits()).drop("_n").unionByName(replace(self, hot=None).aggregate(few, **aggregates))
         w = Window.partitionBy(*self.keys).orderBy(*self.order_by)
         if self.rows:
             frame = w.rowsBetween(-(self.rows - 1), 0)
@@ -62,10 +74,57 @@ class Last:
         return out
 
 
-def batch(df: DataFrame, size: int, keys: list[str], order_by: list[str], **aggregates: Column) -> DataFrame:
-    """Tumbling windows of size rows, by keys or of the whole stream; the last may be smaller."""
+    def _emits(self) -> Column:
+        """Whether the row at the place _n (from 0) of its window's rows emits."""
+        kept = (F.col("_n") + 1) % self.every == 0
+        return kept & (F.col("_n") + 1 >= self.rows) if self.complete else kept
+
+    def apply(self, df: DataFrame, function: Callable[[pd.DataFrame], tuple | None], output: str) -> DataFrame:
+        """keys and order_by of each row that emits, with what function makes of its window's rows, oldest first (a tuple of the fields
+        of output; None: no row). Windows of rows only. The function gets slices of one frame, of df's columns: a task holds a
+        block of rows and the rows before it, of one key or of the whole stream, and no lists of windows are made."""
+        if self.rows is None:
+            raise ValueError("a function is applied to windows of rows")
+        names, made = [*self.keys, *self.order_by], [f.name for f in T.StructType.fromDDL(output)]
+        columns, n, every, complete = df.columns, self.rows, self.every, self.complete
+
+        def run(block: pd.DataFrame) -> pd.DataFrame:
+            block = block.sort_values("_g", ignore_index=True)
+            rows, place = block[columns], block["_g"].to_numpy()
+            own = (block["_in"] == block["_block"]).to_numpy() & ((place + 1) % every == 0)
+            at, out = [], []
+            for i in np.flatnonzero(own & (place + 1 >= n) if complete else own).tolist():
+                if (x := function(rows.iloc[max(0, i + 1 - n) : i + 1])) is not None:
+                    at.append(i)
+                    out.append(x)
+            return pd.concat([rows[names].iloc[at].reset_index(drop=True), pd.DataFrame(out, columns=made)], axis=1)
+
+        schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), output])
+        dealt = order.blocks(df, n, list(self.order_by), list(self.keys), self.hot)
+        return dealt.groupBy(*self.keys, "_in").applyInPandas(run, schema)
+
+
+def slid(slices: DataFrame, ends: DataFrame, keys: list[str], at: str, width: int, **aggregates: Column) -> DataFrame:
+    """Each different (keys, at) of ends with aggregates of the slices of its key whose at lies in [at - width, at): panes put
+    together from what rows were summed up to before, so no row is copied to the panes that hold it. Nulls, if there are none;
+    ends without at go."""
+    if width <= 0:
+        raise ValueError("a pane has a width")
+    asked = ends.where(F.col(at).isNotNull()).select(*keys, at).distinct().withColumn("_end", F.lit(True))
+    both = order.time_blocks(asked.unionByName(slices.where(F.col(at).isNotNull()), allowMissingColumns=True), at, width, F.col("_end").isNull())
+    w = Window.partitionBy(*keys, "_in").orderBy(at).rangeBetween(-width, -1)
+    return both.withColumns({k: a.over(w) for k, a in aggregates.items()}).where("_end").select(*keys, at, *aggregates)
+
+
+def batch(df: DataFrame, size: int, keys: list[str], order_by: list[str], hot: int | None = None, **aggregates: Column) -> DataFrame:
+    """Tumbling windows of size rows, by keys or of the whole stream; the last may be smaller. With hot given, keys of more rows are
+    dealt to many tasks."""
     if size <= 0:
         raise ValueError("a batch holds one row at least")
+    if keys and hot:
+        many, few = order.heavy(df, keys, hot)
+        ids = order.running(many, {"_g": F.lit(1)}, order_by, keys).withColumn("batch", F.floor((F.col("_g") - 1) / size).cast("long"))
+        return ids.groupBy(*keys, "batch").agg(*(a.alias(k) for k, a in aggregates.items())).unionByName(batch(few, size, keys, order_by, **aggregates))
     if keys:
         ids = df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)) - 1) / size).cast("long"))
     else:
