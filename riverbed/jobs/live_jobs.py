@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import EVENTS_SQL, events_of, live_table, shared_folder, table
 from ..streaming import live, timed, whole
 from .registry import query
-from .stream_jobs import HOUR, LATE_SQL, LEFT_SQL, RIGHT_SQL
+from .shared import HOUR, LATE_SQL, LEFT_SQL, RIGHT_SQL
 
 O = ["us", "event_id"]
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import analytics, joins, windows
 from ..sources.tables import EVENTS_SQL, events, shared_folder, table, text_lines
 from .registry import query
+from .shared import HOUR, LATE_SQL, LEFT_SQL, RIGHT_SQL
 
-HOUR = 3_600_000_000
 O = ["us", "event_id"]
 
 TRADES_SQL = f"(SELECT user_id % 20 AS ticker, us, event_id, cents AS price_cents, k AS volume FROM {EVENTS_SQL} WHERE event_type = 'purchase')"
@@ -76,16 +76,17 @@ def vwap_event_time_fine(spark, sf):
     return joins.join_band(q, panes, ["ticker"], unit, "end").select("ticker", "event_id", "vwap", F.round(index, 4).alias("index"))
 
 
-#: A text with tags for each event; one after a slash isn't a tag.
-TAGGED_SQL = "'#' || event_type || ' é#k' || k || ', (#k' || k % 7 || ') a/#no #日' || k % 3"
-TAG = r"(?:^|\s|[^\P{P}/])#([\p{L}\p{N}_]+)"
+#: A text with tags for each event; one after a slash or a letter isn't a tag.
+TAGGED_SQL = "'#' || event_type || ' é#k' || k || ', (#k-' || k % 7 || ') a/#no +#日' || k % 3"
+#: What stands before a tag (white space, ASCII signs but for the slash) and in one.
+TAG = r"(?:^|\s|[!-.:-@\[-`{-~])(#[\p{L}0-9_-]+)"
 
 
 def _tags(spark, sf):
     def k(m=None):
         return (F.col("k") % m if m else F.col("k")).cast("string")
 
-    text = F.concat(F.lit("#"), "event_type", F.lit(" é#k"), k(), F.lit(", (#k"), k(7), F.lit(") a/#no #日"), k(3))
+    text = F.concat(F.lit("#"), "event_type", F.lit(" é#k"), k(), F.lit(", (#k-"), k(7), F.lit(") a/#no +#日"), k(3))
     return events(spark, sf).select("us", "event_id", F.posexplode(F.regexp_extract_all(text, F.lit(TAG), F.lit(1))).alias("pos", "tag"))
 
 
@@ -100,6 +101,25 @@ def trending_topk(spark, sf):
     return analytics.trending(_tags(spark, sf), F.col("tag"), 40_000, 10, [*O, "pos"], every=4000)
 
 
+def _each_sql(n: int) -> str:
+    return f"""WITH t AS (SELECT row_number() OVER (ORDER BY us, event_id, pos) AS g, us, event_id, pos, tag FROM {TAGS_SQL}),
+c AS (SELECT g, d.tag, sum(CAST(t.tag = d.tag AS INTEGER)) OVER (PARTITION BY d.tag ORDER BY g ROWS {n - 1} PRECEDING) AS n FROM t, (SELECT DISTINCT tag FROM t) d),
+r AS (SELECT g, string_agg(tag || ':' || n, ' ' ORDER BY n DESC, tag) AS top FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, tag) AS r FROM c WHERE n > 0) WHERE r <= 10 GROUP BY 1)
+SELECT us, event_id, CAST(pos - 1 AS INTEGER) AS pos, t.tag AS entry, top FROM t JOIN r USING (g)"""
+
+
+@query(_each_sql(40_000))
+def trending_each(spark, sf):
+    """The ten top tags of the last 40,000, at each tag."""
+    return analytics.trending_each(_tags(spark, sf), F.col("tag"), 40_000, 10, [*O, "pos"])
+
+
+@query(_each_sql(300))
+def trending_each_short(spark, sf):
+    """The ten top tags of the last 300, at each tag."""
+    return analytics.trending_each(_tags(spark, sf), F.col("tag"), 300, 10, [*O, "pos"], block=2000)
+
+
 @query(f"""WITH r AS (SELECT event_id, cents, row_number() OVER w AS n, sum(cents) OVER w::DOUBLE AS s, sum(CAST(cents AS HUGEINT) * cents) OVER w::DOUBLE AS q FROM {EVENTS_SQL} WINDOW w AS (ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)),
 l AS (SELECT *, (abs(s / n) + 1.5 * sqrt((q - s * s / n) / (n - 1))) / 100 AS "limit" FROM r WHERE n > 1)
 SELECT event_id, round("limit", 4) AS "limit" FROM l WHERE abs(cents) / 100 > "limit" """)
@@ -108,9 +128,6 @@ def running_outliers(spark, sf):
     return out.select("event_id", F.round("limit", 4).alias("limit"))
 
 
-LEFT_SQL, RIGHT_SQL = f"(SELECT * FROM {EVENTS_SQL} WHERE event_type = 'view')", f"(SELECT * FROM {EVENTS_SQL} WHERE event_type = 'purchase')"
-
-
 def _sides(spark, sf):
     e = events(spark, sf).select("user_id", "us", "event_id", "event_type", "cents")
     return e.where("event_type = 'view'").drop("event_type", "cents"), e.where("event_type = 'purchase'").drop("event_type").withColumnRenamed("event_id", "rid").withColumn("event_id", F.col("rid"))
@@ -184,10 +201,6 @@ def ev_hop(spark, sf):
     return events(spark, sf).groupBy(F.window("ts", "6 hours", "3 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.unix_micros("w.start").alias("start"), "n")
 
 
-LATE_SQL = f"""(SELECT * FROM (SELECT event_id, us, cents, arrival, max(us) OVER (ORDER BY arrival, event_id ROWS UNBOUNDED PRECEDING) - {HOUR} AS watermark, us // {2 * HOUR} * {2 * HOUR} AS pane
-FROM (SELECT *, event_id + 40 * (event_id % 5) AS arrival FROM {EVENTS_SQL})) WHERE watermark < pane + {2 * HOUR} + {6 * HOUR})"""
-
-
 def _accepted(spark, sf):
     e = events(spark, sf).select("event_id", "us", "cents", (F.col("event_id") + 40 * (F.col("event_id") % 5)).alias("arrival"))
     return analytics.accepted(e, ["arrival", "event_id"], 2 * HOUR, HOUR, 6 * HOUR)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, insort
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import sent
 from . import order
 from .joins import join_last
 from .windows import Last
@@ -41,6 +47,66 @@ def trending(df: DataFrame, entry: Column, n: int, k: int, order_by: list[str],
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class Leading:
+    """The k most frequent of a changing bag of whole numbers, ties to smaller ones, kept up to date with a few steps a change.
+
+    Held in order are the first 4k at most; whatever isn't held comes after the last of them. A rise or fall moves one number in
+    that list, in or out of it; only when fewer than k are left is it filled anew, after 3k of them have gone.
+    """
+
+    def __init__(self, size: int, k: int):
+        self.k, self.counts, self.different, self.first = k, [0] * size, 0, []
+
+    def change(self, x: int, by: int) -> None:
+        n, first = self.counts[x], self.first
+        if n:
+            at = bisect_left(first, (-n, x))
+            if at < len(first) and first[at] == (-n, x):
+                del first[at]
+            elif by < 0 or not first:
+                at = -1  # it wasn't held, and comes no nearer
+        else:
+            at = 0
+        self.counts[x] = new = n + by
+        self.different += (new > 0) - (n > 0)
+        if new and (at >= 0 or by > 0) and (first and (-new, x) < first[-1] or self.different == len(first) + 1):
+            insort(first, (-new, x))
+            if len(first) > 4 * self.k:
+                first.pop()
+        if len(first) < min(self.k, self.different):
+            self.first = heapq.nsmallest(4 * self.k, ((-c, i) for i, c in enumerate(self.counts) if c))
+
+    def top(self) -> list[tuple[int, int]]:
+        return [(x, -n) for n, x in self.first[: self.k]]
+
+
+def trending_each(df: DataFrame, entry: Column, n: int, k: int, order_by: list[str], block: int | None = None) -> DataFrame:
+    """df's order columns, entry, and top: the k most frequent of the last n entries at each one of them, as "entry:count" by blanks;
+    ties by entry. Rows without an entry don't count. Entries go in blocks, each with the n - 1 before it; a task counts up and
+    down from row to row."""
+    if k <= 0:
+        raise ValueError("a list of leaders holds one at least")
+    rows = df.withColumn("entry", entry.cast("string")).where("entry is not null").select(*order_by, "entry")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_g", ignore_index=True)
+        names = sorted(set(part["entry"]), key=lambda x: x.encode())
+        number = {x: i for i, x in enumerate(names)}
+        codes = [number[x] for x in part["entry"]]
+        own = (part["_in"] == part["_block"]).to_numpy()
+        leading, out = Leading(len(names), k), []
+        for i, (c, mine) in enumerate(zip(codes, own.tolist(), strict=True)):
+            leading.change(c, 1)
+            if i >= n:
+                leading.change(codes[i - n], -1)
+            if mine:
+                out.append(" ".join(f"{names[x]}:{m}" for x, m in leading.top()))
+        return sent(part.loc[np.flatnonzero(own), [*order_by, "entry"]].assign(top=out))
+
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in order_by), "entry string, top string"])
+    return order.blocks(rows, n, order_by, block=block or max(4 * n, 50_000)).groupBy("_in").applyInPandas(run, schema)
+
+
 def vwap(trades: DataFrame, n: int = 4, key: str = "ticker") -> DataFrame:
     """After each trade, of the last n of its key: least, greatest, mean price and volume-weighted price, trades without
     volume left out; no row if none is left. price_cents and volume are whole numbers."""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.frames import sent
 from . import order
 
 
@@ -97,7 +98,7 @@ class Last:
                 if (x := function(rows.iloc[max(0, i + 1 - n) : i + 1])) is not None:
                     at.append(i)
                     out.append(x)
-            return pd.concat([rows[names].iloc[at].reset_index(drop=True), pd.DataFrame(out, columns=made)], axis=1)
+            return sent(pd.concat([rows[names].iloc[at].reset_index(drop=True), pd.DataFrame(out, columns=made)], axis=1))
 
         schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), output])
         dealt = order.blocks(df, n, list(self.order_by), list(self.keys), self.hot)

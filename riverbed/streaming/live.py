@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.frames import sent
 from .timed import opened, packed
 
 
@@ -115,7 +116,7 @@ def windowed(df: DataFrame, n: int, keys: list[str], order_by: list[str], aggreg
                 out.append(x)
         found = pd.concat([every_row[names].iloc[at].reset_index(drop=True), pd.DataFrame(out, columns=made)], axis=1)
         kept = every_row.iloc[max(0, len(every_row) - n + 1) :].reset_index(drop=True)
-        return found, (seen + len(rows), packed(kept))
+        return sent(found), (seen + len(rows), packed(kept))
 
     return stateful(df, keys, order_by, step, f"{_fields(df, names)}, {output}", "seen long, kept binary")
 

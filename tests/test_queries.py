@@ -245,3 +245,43 @@ def test_json_elements_keep_their_order(spark):
     assert got[:3] == ['{"z":1,"a":[2,3],"p":0,"n":null}', '{"p":{"z":1,"y":"q"},"n":null}', '{"payload":"s\\"t","p":{"z":1,"y":"q"},"n":null}']
     assert got[3:] == ['{"payload":null,"p":{"z":1,"y":"q"},"n":null}', '{"payload":[1],"p":{"z":1,"y":"q"},"n":null}']
     assert [r[0] for r in df.select(values.json_object(F.col("j"))).collect()][1:4] == ['{"payload":[1]}', None, None]
+
+
+def test_leading_entries():
+    import random
+    from collections import Counter, deque
+
+    rng = random.Random(7)
+    for size, n, k in ((3, 5, 2), (40, 30, 2), (200, 90, 3), (30, 400, 1)):
+        leading, window, counts = analytics.Leading(size, k), deque(), Counter()
+        for _ in range(1500):
+            x = min(int(rng.paretovariate(0.6)) - 1, size - 1) if rng.random() < 0.8 else rng.randrange(size)
+            window.append(x)
+            counts[x] += 1
+            leading.change(x, 1)
+            if len(window) > n:
+                counts[y := window.popleft()] -= 1
+                leading.change(y, -1)
+            assert leading.top() == [(i, c) for c, i in sorted((-c, i) for i, c in counts.items() if c)[:k] for c in (-c,)]
+
+
+def test_hot_keys_are_dealt_to_many_tasks(spark):
+    """A key with a third of all rows, in blocks: as many partitions of the window as blocks, and the rows of the plain form."""
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, null, id % 50) as k", "id as us", "id % 7 as event_id", "id % 11 as v")
+    plain = Last(rows=4, keys=("k",)).aggregate(df, s=F.sum("v"))
+    assert sorted(map(str, Last(rows=4, keys=("k",), hot=100).aggregate(df, s=F.sum("v")).collect())) == sorted(map(str, plain.collect()))
+    dealt = order.blocks(df, 4, ["us"], ["k"], 100)
+    assert dealt.where("k is null").select("_in").distinct().count() == 11 and dealt.groupBy("k", "_in").count().agg(F.max("count")).first()[0] == 103
+    for bad in ({"rows": 3, "hot": 5}, {"micros": 3, "keys": ("k",), "hot": 5}, {"rows": 3, "keys": ("k",), "hot": 0}):
+        with pytest.raises(ValueError):
+            Last(**bad)
+
+
+def test_functions_over_windows(spark):
+    df = spark.range(500).selectExpr("concat('k', id % 3) as k", "id as us", "id * 7 % 5 as event_id", "id * id % 101 as v")
+    w = Last(rows=6, keys=("k",), every=4)
+    got = w.apply(df, lambda x: (int(x["v"].iloc[0]), len(x)) if x["v"].iloc[-1] % 2 else None, "a long, n long")
+    want = w.aggregate(df, a=F.first("v"), n=F.count(F.lit(1))).where("v % 2 = 1").select("k", "us", "event_id", "a", "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError):
+        Last(micros=5).apply(df, len, "n long")
