@@ -13,6 +13,11 @@ from .common import U, cut, mix64, release, table, text_groups, utf8, words
 BANDS, ROWS = 32, 5
 #: Documents of one band key beyond which their pairs are formed under the rare shingles that they share.
 LARGE_KEY = 16
+#: Rounds in which documents of such keys are first compared with one each for two bands that they share, and how many bands must
+#: be equal for that: at a similarity of 0.8 some 10 are, and all but 3 in 100 such pairs have so many. What they miss comes later.
+ROUNDS, EQUAL_BANDS = 3, 6
+#: Documents under one rare shingle that one task compares with others; more are dealt to further tasks.
+MEMBERS = 4096
 #: Counters (of four bytes) that shingles of such documents are hashed to, to tell rare ones, and how many go in one row.
 COUNTERS, COUNTER_ROW = 1 << 20, 1 << 14
 #: Texts that one task compares with one and the same text; more are dealt to further tasks.
@@ -160,22 +165,60 @@ def rare_shingles(docs: DataFrame, seen: np.ndarray, width: int, percent: int, t
     return docs.select("doc_id", text).mapInArrow(run, "id long, n long, i long, token long")
 
 
+def likely(placed: DataFrame, classes: DataFrame, percent: int, shift: int) -> DataFrame:
+    """Pairs (a, b) of different components among the documents of placed (key, rep, n, c), at most one for each document: of the
+    least ones that share a band and the one that comes shift later with it, that with most equal bands, if EQUAL_BANDS are."""
+    who = placed.groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"))
+    held = who.join(classes.select("rep", "bands"), "rep")
+    at = held.select("rep", "n", "c", "bands", F.posexplode("bands").alias("_j", "_k"))
+    at = at.withColumn("_k2", F.get("bands", F.pmod(F.col("_j") + shift, F.lit(BANDS))))
+    pivots = at.groupBy("_k", "_k2").agg(F.min(F.struct("c", "rep", "n", "bands")).alias("_p"), F.max("c").alias("_h")).where("_p.c < _h").drop("_h")
+    equal = F.size(F.filter(F.zip_with("bands", "_p.bands", lambda x, y: x == y), lambda x: x))
+    fits = 100 * F.least("n", "_p.n") >= percent * F.greatest("n", "_p.n")
+    near = at.join(pivots, ["_k", "_k2"]).where((F.col("c") != F.col("_p.c")) & fits).select("rep", F.struct(equal.alias("e"), F.col("_p.rep").alias("r")).alias("_e"))
+    best = near.groupBy("rep").agg(F.max("_e").alias("_e")).where(F.col("_e.e") >= EQUAL_BANDS)
+    return best.select(F.greatest("rep", "_e.r").alias("a"), F.least("rep", "_e.r").alias("b")).distinct()
+
+
+def still_split(placed: DataFrame) -> DataFrame:
+    """The rows of placed (key, rep, n, c) whose key has documents of several components."""
+    split = placed.groupBy("key").agg(F.min("c").alias("_l"), F.max("c").alias("_h")).where("_l < _h").select("key")
+    return placed.join(split, "key", "left_semi")
+
+
+def joined(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """placed (key, rep, n, c) with the components that links (a, b) between its documents put together; only keys still split."""
+    of = placed.select(F.col("rep").alias("_r"), F.col("c").alias("_c")).distinct()
+    edges = links.join(of, F.col("a") == F.col("_r")).select("b", F.col("_c").alias("_a")).join(of, F.col("b") == F.col("_r")).select(F.col("_a").alias("a"), F.col("_c").alias("b"))
+    found = components(edges)
+    return still_split(placed.join(found, placed.c == found.id, "left").select("key", "rep", "n", F.coalesce("component", "c").alias("c")))
+
+
 def crowded(placed: DataFrame, docs: DataFrame, width: int, percent: int, text: str = "text") -> DataFrame:
     """Pairs (a, b) of documents in placed (key, rep, c: component) that share a key, have different components and may be
     similar enough; no such pair is left out.
 
     In a family of copies that differ a little too much nearly all pairs share some band. So pairs are formed under a
     shingle that both have among their rarest (two sets of the similarity share one there), and only if enough shingles
-    come after it in both: if it is the first that they share, those before it are in one set alone.
+    come after it in both: if it is the first that they share, those before it are in one set alone. Under a shingle, the
+    documents of the component that has most of them aren't paired with each other: all others are paired with them, so
+    that rows grow with the documents outside it times those under the shingle.
     """
     who = cut(placed.groupBy("rep").agg(F.first("c").alias("c"), F.collect_set("key").alias("keys")))  # at most BANDS keys
     texts = only(docs, who.select(F.col("rep").alias("id")))
     rare = rare_shingles(texts, rarity(texts, width, text), width, percent, text)
-    left = cut(rare.join(who, rare.id == who.rep).select("token", "rep", "n", "i", "c", "keys"))
-    right = left.select("token", *(F.col(x).alias(f"{x}_") for x in left.columns if x != "token"))
+    every = cut(rare.join(who, rare.id == who.rep).select("token", "rep", "n", "i", "c", "keys"))
+    sizes = every.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m"))
+    tokens = sizes.groupBy("token").agg(F.max(F.struct("m", "c")).alias("_m"), F.sum("m").alias("_all"))
+    tokens = tokens.where("_m.m < _all").select("token", F.col("_m.c").alias("_main"), F.ceil(F.col("_all") / MEMBERS).alias("_parts"))
+    every = cut(every.join(tokens, "token"))
+    left = every.where("c <> _main").withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    right = every.select("token", "_main", F.pmod(F.xxhash64("rep"), F.col("_parts")).alias("_p"), *(F.col(x).alias(f"{x}_") for x in ("rep", "n", "i", "c", "keys")))
     most = F.least(F.col("n") - F.col("i"), F.col("n_") - F.col("i_"))
-    may = (F.col("c") < F.col("c_")) & (100 * most >= percent * (F.col("n") + F.col("n_") - most)) & F.arrays_overlap("keys", "keys_")
-    return left.join(right, "token").where(may).select(F.greatest("rep", "rep_").alias("a"), F.least("rep", "rep_").alias("b"))
+    once = (F.col("c_") == F.col("_main")) | (F.col("c") < F.col("c_"))
+    may = once & (100 * most >= percent * (F.col("n") + F.col("n_") - most)) & F.arrays_overlap("keys", "keys_")
+    pairs = left.drop("_main", "_parts").join(right, ["token", "_p"]).where(may)
+    return pairs.select(F.greatest("rep", "rep_").alias("a"), F.least("rep", "rep_").alias("b"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, text: str = "text") -> DataFrame:
@@ -234,7 +277,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
 
     Documents of equal sets form one class; its least doc_id stands for it. Within the documents of one band key, each
     is compared with the least; pairs of documents that are still in different components after that are compared too,
-    so that no link that shares a band is lost if it joins two components: pairs that aren't formed can't be similar
+    so that no link that shares a band is lost if it joins two components (where a key has more than LARGE_KEY documents, rounds
+    of likely pairs come first, so that few components are left): pairs that aren't formed can't be similar
     enough by their sizes, or by their rarest shingles where a key has more than LARGE_KEY documents. A document without
     words (empty or null text) is linked with nothing, nor is one without an id: its component is its own doc_id, and kept
     is true. An empty table gives no rows; other columns of docs are ignored.
@@ -257,8 +301,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     other = few.select("key", *(F.col(x).alias(f"{x}_") for x in few.columns if x != "key"))
     fits = 100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")
     pairs = few.join(other, "key").where((F.col("c") < F.col("c_")) & fits).select(F.greatest("rep", "rep_").alias("a"), F.least("rep", "rep_").alias("b"))
-    pairs = pairs.union(crowded(placed.where(F.col("m") > LARGE_KEY), docs, width, percent, text)).distinct()
-    pairs = cut(pairs.join(first, ["a", "b"], "left_anti"))
+    many, tried = cut(placed.where(F.col("m") > LARGE_KEY).drop("m")), first
+    for shift in range(1, ROUNDS + 1):
+        if many.isEmpty():
+            break
+        tries = cut(likely(many, classes, percent, shift).join(tried, ["a", "b"], "left_anti"))
+        if tries.isEmpty():
+            continue
+        more = cut(verify(tries, docs, width, percent, text))
+        links, tried = links.union(more), tried.union(tries)
+        many = cut(joined(many, more))
+    if not many.isEmpty():
+        pairs = pairs.union(crowded(many, docs, width, percent, text))
+    pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
     # one row a component is enough where the second round links nothing
     all_links = links.union(cut(verify(pairs, docs, width, percent, text)))
     final = cut(components(all_links))

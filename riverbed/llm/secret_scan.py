@@ -6,7 +6,7 @@ import base64
 import binascii
 import json
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,16 +25,25 @@ def _either(word: str) -> str:
 ASSIGN = re.compile("(" + "|".join(map(_either, ("password", "passwd", "secret", "token"))) + "|" + _either("api") + "_?" + _either("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # [A-Z0-9]+ of 18 characters in all: a shorter match ends where its run ends
 HEX = re.compile(r"[0-9a-f]{16,}")
+#: What may stand between two lines of a key: white space, quotes, commas, marks of quoted mail, and line ends written as escapes.
+BETWEEN = r"""(?:\\[nrt]|[\s"',>])"""
 #: Runs that may be encoded bytes: base64 (either alphabet, perhaps over lines), hex of either case, and dotted tokens.
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*={0,2}")
+BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{32,}}(?:{BETWEEN}++[A-Za-z0-9+/_-]{{16,}})*={{0,2}}")
 #: The last line of such a run, if it is a short one.
-TAIL = re.compile(r"\r?\n(?!-----)[A-Za-z0-9+/_-]{1,15}={0,2}")
-LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+TAIL = re.compile(rf"{BETWEEN}++(?!-----)[A-Za-z0-9+/_-]{{1,15}}={{0,2}}")
+LINE = re.compile(rf"{BETWEEN}++|([A-Za-z0-9+/_-]+)")
+#: Where a key may begin: a sequence's tag, wherever it stands.
+SEQUENCE = re.compile("M")
+#: Bytes as pairs of hex digits with colons, perhaps over lines.
+COLON_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{2}(?::\s*+[0-9A-Fa-f]{2}){23,}")
+HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
 LONG_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
 #: Bytes of a key, at most, that stands somewhere inside a run of hex digits.
 HEX_KEY = 1 << 14
 # Object identifiers of RSA and elliptic-curve keys.
 RSA_OID, EC_OID = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201")
+# How the identifiers of encryption by password begin (PKCS#5, PKCS#12).
+PASSWORD_OIDS = bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{4,}+)\.([A-Za-z0-9_-]*)")  # JSON's "{" begins so
 
 
@@ -81,8 +90,8 @@ def elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | Non
 
 
 def der_kind(data: bytes) -> str | None:
-    """"der" for a sequence that fills the data and holds, exactly, elements as a PKCS#1, PKCS#8 or SEC1 private key does,
-    "public" for a public key, else None. The parts inside are followed too: the algorithm's sequence, SEC1's tagged parts,
+    """"der" for a sequence that fills the data and holds, exactly, elements as a PKCS#1, PKCS#8 (encrypted or not) or SEC1
+    private key does, "public" for a public key, else None. The parts inside are followed too: the algorithm's sequence, SEC1's tagged parts,
     and the key that PKCS#8 wraps, where its algorithm says what that must be."""
     if not data or data[0] != 0x30 or not (whole := der_length(data, 0)) or whole[1] < len(data) - 2:
         return None
@@ -92,14 +101,17 @@ def der_kind(data: bytes) -> str | None:
         return "der" if tags == [0x02] * 9 else None
     if tags[:2] == [0x02, 0x04]:
         return "der" if 0xA0 in tags[2:] and all(elements(data, s, e) is not None for t, s, e in parts[2:] if t in (0xA0, 0xA1)) else None
-    if tags[:3] != [0x02, 0x30, 0x04] and tags != [0x30, 0x03]:
+    if tags[:3] != [0x02, 0x30, 0x04] and tags not in ([0x30, 0x03], [0x30, 0x04]):
         return None
     names = elements(data, *parts[tags.index(0x30)][1:])
     if not names or names[0][0] != 0x06:
         return None
     if tags == [0x30, 0x03]:
         return "public"
-    name, inner = data[names[0][1] : names[0][2]], elements(data, *parts[2][1:])
+    name = data[names[0][1] : names[0][2]]
+    if tags == [0x30, 0x04]:  # as a digest with its algorithm has it too
+        return "der" if name.startswith(PASSWORD_OIDS) and parts[1][2] - parts[1][1] >= 16 else None
+    inner = elements(data, *parts[2][1:])
     if name in (RSA_OID, EC_OID):
         within = elements(data, *inner[0][1:]) if inner and [p[0] for p in inner] == [0x30] else None
         shape = [p[0] for p in within or ()]
@@ -150,37 +162,57 @@ def ssh_ends(data: bytes) -> set[int]:
 
 
 def keys_in(run: str, tail: str) -> list[tuple[int, int, str]]:
-    """Keys that begin with a line of a base64 run and end with one, or with the short line after it."""
-    lines = [m.span() for m in LINE.finditer(run)]
-    own, whole, found, i = len(lines), run + tail, [], 0
-    lines += [(len(run) + m.start(), len(run) + m.end()) for m in LINE.finditer(tail)]
+    """Keys in a base64 run and the short line after it: DER keys wherever they begin, SSH keys where a line begins. A DER key
+    ends where its length says, so that nothing glued to it hides it."""
+    whole = run + tail
+    lines = [m.span(1) for m in LINE.finditer(run) if m[1]]
+    own = len(lines)
+    lines += [(len(run) + m.start(1), len(run) + m.end(1)) for m in LINE.finditer(tail) if m[1]]
     before = [0, *accumulate(e - s for s, e in lines)]
+    flat = "".join(whole[s:e] for s, e in lines)
 
-    def reaching(n: int) -> int:  # the first line with which n bytes from line i are whole
-        return bisect_left(before, before[i] + -(-n * 4 // 3), i + 1) - 1
-
-    while i < own:
-        start, last, kind = lines[i][0], None, "ssh"
-        if whole.startswith("M", start):
-            n = der_whole(decode64(whole[start : start + 8]) or b"")
-            if n and (j := reaching(n)) < len(lines) and (known := der_kind(decode64(whole[start : lines[j][1]]) or b"")):
-                last, kind = j, known
-        elif whole.startswith("b3BlbnNzaC1rZXktdjEA", start) or whole.startswith("AAAA", start) and (decode64(whole[start : start + 16]) or b"")[4:8] in (b"ssh-", b"ecds"):
-            n = before[-1] - before[i]
-            text = "".join(whole[s:e] for s, e in lines[i:])
-            data = decode64(text[:-1] if n % 4 == 1 else text) or b""
-            if data.startswith(b"openssh-key-v1\0"):
-                n = openssh_whole(data)
-                last = reaching(n) if n else own - 1
-            elif ends := ssh_ends(data):
-                sizes = [(j, before[j + 1] - before[i]) for j in range(i, len(lines))]
-                last = max((j for j, n in sizes if n % 4 != 1 and n * 3 // 4 in ends and is_ssh_key(data[: n * 3 // 4])), default=None)
-        if last is None:
-            i += 1
+    def at(k: int) -> int:  # the place in whole of the flat text's k-th letter
+        i = bisect_right(before, k) - 1
+        return lines[i][0] + k - before[i]
+
+    def ssh_size(start: int) -> int | None:  # letters of the SSH key that begins there
+        if not flat.startswith(("b3BlbnNzaC1rZXktdjEA", "AAAA"), start):
+            return None
+        if flat.startswith("AAAA", start) and (decode64(flat[start : start + 16]) or b"")[4:8] not in (b"ssh-", b"ecds"):
+            return None
+        n = len(flat) - start
+        data = decode64(flat[start : len(flat) - (n % 4 == 1)]) or b""
+        if data.startswith(b"openssh-key-v1\0"):
+            n = openssh_whole(data)
+            return -(-n * 4 // 3) if n else before[own] - start
+        ends = ssh_ends(data)
+        sizes = [b - start for b in before if b > start]
+        return max((n for n in sizes if n % 4 != 1 and n * 3 // 4 in ends and is_ssh_key(data[: n * 3 // 4])), default=None)
+
+    def der_size(start: int) -> tuple[int, str] | None:  # letters of the DER key that begins there, and its kind
+        head = decode64(flat[start : start + 12]) or b""
+        n = der_whole(head)
+        first = 2 + (head[1] & 127 if n and head[1] & 128 else 0)
+        size = -(-n * 4 // 3) if n else 0
+        if not n or start + size > len(flat) or head[first : first + 1] not in (b"\x02", b"\x30"):
+            return None
+        kind = der_kind(decode64(flat[start : start + size]) or b"")
+        return (size, kind) if kind else None
+
+    begins = {before[i] for i in range(own)}
+    found, done = [], 0
+    for start in sorted(begins | {m.start() for m in SEQUENCE.finditer(flat, 0, before[own])}):
+        if start < done:
+            continue
+        if flat[start] == "M":
+            size, kind = der_size(start) or (None, "der")
+        else:
+            size, kind = ssh_size(start), "ssh"
+        if not size:
             continue
-        end = lines[last][1]
-        found.append((start, end + len(whole[end : end + 2]) - len(whole[end : end + 2].lstrip("=")), kind))
-        i = last + 1
+        done = start + min(size, len(flat) - start)
+        end = at(done - 1) + 1
+        found.append((at(start), end + len(whole[end : end + 2]) - len(whole[end : end + 2].lstrip("=")), kind))
     return found
 
 
@@ -217,6 +249,10 @@ def confirmed(text: str) -> list[tuple[int, int, str]]:
     for m in BASE64.finditer(text):
         tail = None if m[0].endswith("=") else TAIL.match(text, m.end())
         found += [(m.start() + s, m.start() + e, kind) for s, e, kind in keys_in(m[0], tail[0] if tail else "")]
+    for m in COLON_HEX.finditer(text):
+        places = [i for i, c in enumerate(m[0]) if c in HEX_DIGITS]
+        pairs = "".join(m[0][i] for i in places)
+        found += [(m.start() + places[s], m.start() + places[e - 1] + 1, kind) for s, e, kind in keys_in_hex(pairs) if s % 2 == 0]
     for m in LONG_HEX.finditer(text):
         found += [(m.start() + s, m.start() + e, kind) for s, e, kind in keys_in_hex(m[0])]
     return found

@@ -465,6 +465,29 @@ def test_minhash_family_of_distant_copies(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(root))
 
 
+def family(n: int, length: int = 10, seed: int = 8) -> list[tuple[int, str]]:
+    """Texts of 20 passages, in 14 of which one word is one of three."""
+    rng = random.Random(seed)
+    passages = [[f"p{i}w{j}" for j in range(length)] for i in range(20)]
+    rows = []
+    for d in range(n):
+        chosen = [p if i >= 14 else [*p[:5], f"v{i}x{rng.randrange(3)}", *p[6:]] for i, p in enumerate(passages)]
+        rows.append((d, " ".join(w for p in chosen for w in p)))
+    return rows
+
+
+def test_minhash_family_forms_few_pairs(spark, monkeypatch):
+    """Pairs grow with the documents, not with their square, and the classes are those of all pairs."""
+    n = 300
+    rows = family(n)
+    formed, verify = [], minhash.verify
+    monkeypatch.setattr(minhash, "verify", lambda pairs, *a, **k: (formed.append(pairs.count()), verify(pairs, *a, **k))[1])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    want = near_classes(dict(rows), 4)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert 1 < len({c for _, c in want.values()}) < n and sum(formed[:-1]) <= 4 * n and sum(formed) < n * n // 4, formed
+
+
 def test_minhash_estimates_similarity():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
@@ -632,6 +655,60 @@ def test_secrets_in_hex_and_nested_lengths():
     assert (1, 1 + len(ssh), "ssh") in secret_scan.scan("a" + ssh)
 
 
+def test_secrets_in_the_forms_of_crawled_text():
+    """Each kind of key in each form in which keys stand in files and mails; near misses stay clean."""
+    import base64
+
+    rng = random.Random(3)
+
+    def der(tag, body):
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+    def number(n):
+        return der(2, bytes([1 + rng.randrange(100)]) + rng.randbytes(n - 1))
+
+    rsa = der(0x30, der(2, b"\0") + number(257) + der(2, b"\1\0\1") + b"".join(number(k) for k in (256, 129, 129, 129, 129, 129)))
+    password = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, rng.randbytes(40)))
+    kinds = {
+        "rsa": rsa,
+        "pkcs8": der(0x30, der(2, b"\0") + der(0x30, der(6, secret_scan.RSA_OID) + b"\5\0") + der(4, rsa)),
+        "sec1": der(0x30, der(2, b"\1") + der(4, rng.randbytes(32)) + der(0xA0, der(6, b"*\x86H\xce=\3\1\7"))),
+        "ed25519": der(0x30, der(2, b"\0") + der(0x30, der(6, b"+ep")) + der(4, der(4, rng.randbytes(32)))),
+        "encrypted": der(0x30, password + der(4, rng.randbytes(1232))),
+    }
+
+    def forms(key):
+        flat = base64.b64encode(key).decode()
+        lines = [flat[i : i + 64] for i in range(0, len(flat), 64)]
+        for between in ("\n", "\r\n", "\\n", "\\r\\n", "\n  ", "\n> ", " ", '",\n  "', "\\n\" \n\t\"", "\n\n"):
+            yield between, "-----BEGIN KEY-----" + between, between.join(lines), between + "-----END KEY-----"
+        for lead in ("x/", "a+b/", "path/to/M", "MIIMII"):
+            yield lead, "see " + lead, flat, " end"
+        for tail in ("/x", "_and_more_of_it_that_goes_on", " word\nword"):
+            yield tail, "", flat.rstrip("="), tail
+        for between in (":", ":\n    "):
+            h = key.hex()
+            yield "colons" + between, "key: ", between.join(h[i : i + 2] for i in range(0, len(h), 2)), "\nend"
+        yield "capitals", "0x", key.hex().upper(), " end"
+
+    for kind, key in kinds.items():
+        for form, before, body, after in forms(key):
+            text = before + body + after
+            found = [(s, e) for s, e, k in secret_scan.scan(text) if k == "der"]
+            want = len(before) + len(body)
+            assert len(found) == 1 and found[0][0] == len(before) and want - 2 <= found[0][1] <= want, (kind, form, found, len(before), want)
+        cut, grown = key[: len(key) * 2 // 3], bytearray(key)
+        # a tag that no key has there; in PKCS#8 that of the key inside, which would be a key by itself
+        grown[key.index(rsa[:8]) + 4 if rsa in key else key.index(b"\4" if kind == "encrypted" else b"\2")] ^= 0x1F
+        digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + b"\5\0") + der(4, rng.randbytes(64)))
+        for miss in (cut, bytes(grown), digest, rng.randbytes(900)):
+            for form, before, body, after in forms(miss):
+                assert not {k for _, _, k in secret_scan.scan(before + body + after)} & {"der", "ssh", "public", "jwt"}, (kind, form)
+    prose = "an_identifier_of_more_than_32_letters and/then/a/path/that/goes/on, \"internationalization\" > counterrevolutionaries\\nuncharacteristically"
+    assert secret_scan.scan(prose) == []
+
+
 def test_secrets_over_lines():
     """Keys wrapped over lines, with last lines of every length, alone and one after the other."""
     import base64
