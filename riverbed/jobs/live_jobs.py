@@ -8,6 +8,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import rows as row_operators
+from ..sources import python
 from ..sources.tables import EVENTS_SQL, events_of, live_table, shared_folder, table
 from ..streaming import live, timed, whole
 from .registry import query
@@ -175,3 +177,30 @@ def stream_hop_time(spark, sf):
     rows = lambda stream: stream().where("user_id is not null").select("user_id", "ts", F.coalesce("cents", F.lit(0)).alias("cents"))
     make = lambda w: (len(w), int(w["cents"].sum()))
     return _written(spark, sf, lambda stream: timed.time_window(rows(stream), ["user_id"], "ts", 24 * HOUR, 12 * HOUR, make, "n long, total long", "1 hour"), least=3, provider=timed.PROVIDER)
+
+
+@query("""SELECT n, n * n % 1009 AS "value" FROM (SELECT unnest(range(0, (SELECT count(*) FROM events))) AS n) WHERE n % 5 <> 0
+UNION ALL SELECT n, -n FROM (SELECT unnest(range(0, (SELECT count(*) FROM events))) AS n) WHERE n % 10 = 3""")
+def stream_calls(spark, sf):
+    """A live source that calls a function with as many numbers as there are events: no row, one, or two of each."""
+
+    def made(n):
+        return None if n % 5 == 0 else [(n * n % 1009,), (-n,)] if n % 10 == 3 else (n * n % 1009,)
+
+    path, n = shared_folder(spark, "calls"), table(spark, sf, "events").count()
+    calls = python.live_calls(spark, made, "value long", max(1, -(-n // 3)))
+    for _ in range(3):  # a micro-batch each, and a restart in between
+        live.write_batches(calls, f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.schema(calls.schema).parquet(f"{path}/out").where(F.col("n") < n).select("n", "value")
+
+
+@query(f"""SELECT event_id, cents, 0 AS place, false AS is_marker FROM {EVENTS_SQL}
+UNION ALL SELECT event_id, cents, 1, true FROM {EVENTS_SQL} WHERE k = 0""")
+def stream_sink(spark, sf):
+    """A live sink in Python gets each row and each marker once."""
+    path = shared_folder(spark, "sink")
+    raw = table(spark, sf, "events")
+    rows = row_operators.marked(events_of(live_table(spark, f"{sf}/events.parquet", None, raw.schema)), F.col("k") == 0, "after").select("event_id", "cents", "place", "is_marker")
+    spark.dataSource.register(python.sink("rows_and_markers", *python.staged_files(f"{path}/out")))
+    rows.writeStream.format("rows_and_markers").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return python.published(spark, f"{path}/out", rows.schema).drop("batch")

@@ -68,3 +68,14 @@ def parallel(df: DataFrame, width: int, keys: list[str] | None = None, channel:
 def broadcast_to(df: DataFrame, width: int) -> DataFrame:
     """Each row on each of width channels."""
     return df.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+
+
+def marked(df: DataFrame, marker: Column, where: str) -> DataFrame:
+    """Rows with markers among them, live or not: is_marker, and place (0 or 1) in the order of a row and the marker that stands
+    "before" or "after" it, or "replace"s it. A marker has its row's columns, so that it can be put in order."""
+    row, mark = (F.struct(F.lit(m).alias("m")) for m in (False, True))
+    if where not in ("before", "after", "replace"):
+        raise ValueError("a marker stands before, after or in place of a row")
+    made = {"before": F.array(mark, row), "after": F.array(row, mark), "replace": F.array(mark)}[where]
+    out = df.select(*df.columns, F.posexplode(F.when(F.coalesce(marker, F.lit(False)), made).otherwise(F.array(row))).alias("place", "_m"))
+    return out.select(*df.columns, "place", F.col("_m.m").alias("is_marker"))
