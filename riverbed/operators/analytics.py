@@ -37,10 +37,12 @@ def trending(df: DataFrame, entry: Column, n: int, k: int, order_by: list[str],
     every = every or n
     if every <= 0 or n <= 0 or n % every:
         raise ValueError("a window holds a whole number of steps")
-    rows = order.numbered(df.withColumn("entry", entry).where("entry is not null"), order_by, "_g")
+    entries = df.withColumn("entry", entry).where("entry is not null")
+    bounds, total = order.measured(entries, order_by[0])
+    rows = order.numbered(entries, order_by, "_g", bounds)
     counts = rows.groupBy(F.floor(F.col("_g") / every).cast("long").alias("block"), "entry").agg(F.count(F.lit(1)).alias("n"))
     if n > every:
-        last = counts.agg(F.max("block")).first()[0] or 0
+        last = max(total - 1, 0) // every
         held = F.sequence(F.col("block"), F.least(F.col("block") + n // every - 1, F.lit(last)))
         counts = counts.select(F.explode(held).alias("block"), "entry", "n").groupBy("block", "entry").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("block").orderBy(F.col("n").desc(), "entry")

@@ -6,11 +6,16 @@ task is a row for each bucket; the rows themselves are sorted bucket by bucket.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Buckets that the rows are dealt to by quantiles: at least, at most, and rows in one between these.
 BUCKETS, BUCKET_ROWS = (8, 1 << 16), 200_000
+#: Up to so many buckets the bounds come from the pass that counts the rows.
+GRID = 1024
 #: The bucket of rows without an order value; they come first.
 NO_ORDER = -(1 << 62)
 
@@ -25,27 +30,38 @@ def place_of(values: list, x: Column) -> Column:
     return F.when(x.isNotNull(), found)
 
 
-def quantiles(df: DataFrame, column: str) -> list[float]:
-    """Bounds that deal the rows to buckets of about BUCKET_ROWS: the same for every task and retry, as the driver keeps them."""
-    n = min(max(BUCKETS[0], df.count() // BUCKET_ROWS), BUCKETS[1])
-    found = df.select(F.col(column).cast("double").alias("_x")).where("_x is not null").approxQuantile("_x", [i / n for i in range(1, n)], 1 / (4 * n))
-    return sorted(set(found))
+def measured(df: DataFrame, column: str) -> tuple[list[float], int]:
+    """Bounds that deal the rows to buckets of about BUCKET_ROWS, the same for every task and retry as the driver keeps them, and how
+    many rows there are. Both come from one pass; only a table of more than GRID buckets needs a second one, for finer bounds."""
+    x = F.col(column).cast("double")
+    grid = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(x, [i / GRID for i in range(1, GRID)], 4 * GRID).alias("q")).first()
+    n = min(max(BUCKETS[0], grid["n"] // BUCKET_ROWS), BUCKETS[1])
+    if n <= GRID:
+        found = [grid["q"][GRID * i // n - 1] for i in range(1, n)] if grid["q"] else []
+    else:
+        found = df.select(x.alias("_x")).where("_x is not null").approxQuantile("_x", [i / n for i in range(1, n)], 1 / (4 * n))
+    return sorted(set(found)), grid["n"]
 
 
-def bucketed(df: DataFrame, order: str, width: int | None = None) -> DataFrame:
-    """Adds _bucket: ranges of so wide a span of order, or, without width, ranges that hold about as many rows each."""
-    if width is None:
-        bucket = place_of(quantiles(df, order), F.col(order).cast("double"))
-    else:
-        bucket = F.floor(F.col(order) / F.lit(width))
-    return df.withColumn("_bucket", F.coalesce(bucket.cast("long"), F.lit(NO_ORDER)))
+def bucketed(df: DataFrame, order: str, width: int | list[float] | None = None) -> DataFrame:
+    """Adds _bucket: ranges of so wide a span of order, or between bounds that are given, or, without width, ranges that hold about
+    as many rows each. A row's range among bounds is found by binary search in the JVM."""
+    if isinstance(width, int):
+        bucket = F.floor(F.col(order) / F.lit(width)).cast("long")
+        return df.withColumn("_bucket", F.coalesce(bucket, F.lit(NO_ORDER)))
+    bounds = measured(df, order)[0] if width is None else width
+    splits = [float("-inf"), *(x for x in bounds if math.isfinite(x)), float("inf")]
+    if len(splits) == 2:
+        return df.withColumn("_bucket", F.when(F.col(order).isNull(), F.lit(NO_ORDER)).otherwise(F.lit(0).cast("long")))
+    found = Bucketizer(splits=splits, inputCol="_at", outputCol="_found", handleInvalid="keep").transform(df.withColumn("_at", F.col(order).cast("double")))
+    return found.withColumn("_bucket", F.when(F.col(order).isNull(), F.lit(NO_ORDER)).otherwise(F.col("_found").cast("long"))).drop("_at", "_found")
 
 
 def by_bucket(order_by: list[str], keys: list[str] | None = None):
     return Window.partitionBy(*(keys or []), "_bucket").orderBy(*order_by)
 
 
-def running(df: DataFrame, sums: dict[str, Column], order_by: list[str], keys: list[str] | None = None, width: int | None = None) -> DataFrame:
+def running(df: DataFrame, sums: dict[str, Column], order_by: list[str], keys: list[str] | None = None, width: int | list[float] | None = None) -> DataFrame:
     """Adds a running sum, this row included, of each column expression in sums; over all rows, or by keys."""
     keys = keys or []
     parts = bucketed(df, order_by[0], width).withColumns({f"_v_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()})
@@ -60,7 +76,7 @@ def running(df: DataFrame, sums: dict[str, Column], order_by: list[str], keys: l
     return out.select(*df.columns, *sums)
 
 
-def numbered(df: DataFrame, order_by: list[str], name: str = "seq", width: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, order_by: list[str], name: str = "seq", width: int | list[float] | None = None) -> DataFrame:
     """Adds each row's place in the whole order, from 0."""
     return running(df, {"_n": F.lit(1)}, order_by, width=width).select(*df.columns, (F.col("_n") - 1).alias(name))
 

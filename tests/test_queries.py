@@ -285,3 +285,22 @@ def test_functions_over_windows(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     with pytest.raises(ValueError):
         Last(micros=5).apply(df, len, "n long")
+
+
+@pytest.mark.parametrize("grid", [4, 1024])
+def test_buckets_by_one_pass(spark, monkeypatch, grid):
+    """Bounds from the counting pass or from a second one; nulls, NaN, infinite numbers and ties keep the order."""
+    monkeypatch.setattr(order, "GRID", grid)
+    odd = [None, float("nan"), float("inf"), float("-inf")]
+    values = [odd[i // 100] if i % 100 == 0 and i < 400 else float(i % 37) for i in range(2000)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "x double, i long")
+    bounds, n = order.measured(df, "x")
+    assert n == 2000 and bounds == sorted(set(bounds)) and len(bounds) >= 5
+    for width in (None, bounds, []):
+        found = order.numbered(df, ["x", "i"], "seq", width).orderBy("seq").collect()
+        place = lambda v: float("-inf") if v is None else 1e400 if v != v else v
+        want = sorted(range(2000), key=lambda i: (place(values[i]), values[i] is not None and values[i] != values[i], i))
+        assert [r["i"] for r in found] == want and [r["seq"] for r in found] == list(range(2000))
+    empty = df.where("i < 0")
+    assert order.measured(empty, "x") == ([], 0) and order.numbered(empty, ["x", "i"]).collect() == []
+    assert order.measured(df.where("x is null"), "x")[0] == []
