@@ -42,7 +42,8 @@ def win_last_time(spark, sf):
 
 @query(f"SELECT event_id, count(*) OVER w AS n, sum(cents) OVER w::BIGINT AS s FROM {EVENTS_SQL} WINDOW w AS (ORDER BY us RANGE BETWEEN {6 * HOUR - 1} PRECEDING AND CURRENT ROW)")
 def win_last_time_global(spark, sf):
-    return Last(micros=6 * HOUR).aggregate(events(spark, sf), n=F.count(F.lit(1)), s=F.sum("cents")).select("event_id", "n", "s")
+    e = events(spark, sf).select("event_id", "us", "cents")
+    return Last(micros=6 * HOUR).sums(e, n=F.lit(1), s=F.col("cents")).select("event_id", F.col("n").cast("long").alias("n"), "s")
 
 
 @query(f"""WITH b AS (SELECT us AS at, false AS evicted, us, cents FROM {EVENTS_SQL} UNION ALL SELECT us + {HOUR}, true, NULL, NULL FROM {EVENTS_SQL})

@@ -74,6 +74,13 @@ class Last:
             out = (out.where(F.col("_n") >= self.rows) if self.complete and self.rows else out).drop("_n")
         return out
 
+    def sums(self, df: DataFrame, **values: Column) -> DataFrame:
+        """As aggregate with sums of whole-numbered expressions in a window of time, at each row; null if all are null. What a row
+        costs doesn't grow with the rows of its window. Rows without a time are a window of their own."""
+        if self.micros is None or self.every > 1:
+            raise ValueError("sums are those of a window of time, at each row")
+        at = self.order_by[0]
+        return _entries(df, self.micros, list(self.keys), values, at).where("not _gone").select(*df.columns, *values)
 
     def _emits(self) -> Column:
         """Whether the row at the place _n (from 0) of its window's rows emits."""
@@ -133,6 +140,27 @@ def batch(df: DataFrame, size: int, keys: list[str], order_by: list[str], hot: i
     return ids.groupBy(*keys, "batch").agg(*(a.alias(k) for k, a in aggregates.items()))
 
 
+def _entries(df: DataFrame, micros: int, keys: list[str], values: dict[str, Column], at: str) -> DataFrame:
+    """Each row as it enters its key's window of time and, micros later (_gone), as it leaves it: with _when, _live (rows inside) and the
+    sums of values inside, null if all are null. They run over both, as what leaves is taken off again."""
+    parts = {f"_ev_{n}": v for n, v in values.items()} | {f"_ec_{n}": v.isNotNull().cast("long") for n, v in values.items()} | {"_one": F.lit(1)}
+    into = df.withColumns(parts | {"_when": F.col(at), "_gone": F.lit(False)})
+    out = df.withColumns(parts).where(F.col(at).isNotNull())
+    out = out.select(*keys, *((-F.col(p)).alias(p) for p in parts), (F.col(at) + micros).alias("_when"), F.lit(True).alias("_gone"))
+    both = into.unionByName(out, allowMissingColumns=True).withColumn("_timeless", F.col("_when").isNull())
+    sums = {n: F.col(f"_ev_{n}") for n in values} | {f"_n_{n}": F.col(f"_ec_{n}") for n in values} | {"_live": F.col("_one")}
+    met = order.running(both, sums, ["_when"], [*keys, "_timeless"], peers=True)
+    return met.withColumns({n: F.when(F.col(f"_n_{n}") > 0, F.col(n)) for n in values})
+
+
+def time_evict_sums(df: DataFrame, micros: int, keys: list[str], **values: Column) -> DataFrame:
+    """As time_evict with sums of whole-numbered expressions; what an entry costs doesn't grow with the rows of its window."""
+    if micros <= 0:
+        raise ValueError("a window lasts a microsecond at least")
+    met = _entries(df.where("us is not null"), micros, keys, values, "us")
+    return met.where("_live > 0").select(*keys, F.col("_when").alias("at"), F.col("_gone").alias("evicted"), *values)
+
+
 def time_evict(df: DataFrame, micros: int, keys: list[str], **aggregates: Column) -> DataFrame:
     """As Last by time, emitted at each row and at each leaving; at a leaving that empties the window, nothing.
 
