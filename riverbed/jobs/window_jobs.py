@@ -49,7 +49,7 @@ def win_last_time_global(spark, sf):
 @query(f"""WITH b AS (SELECT us AS at, false AS evicted, us, cents FROM {EVENTS_SQL} UNION ALL SELECT us + {HOUR}, true, NULL, NULL FROM {EVENTS_SQL})
 SELECT "at", evicted, s FROM (SELECT "at", evicted, sum(cents) OVER w::BIGINT AS s, count(us) OVER w AS l FROM b WINDOW w AS (ORDER BY "at" RANGE BETWEEN {HOUR - 1} PRECEDING AND CURRENT ROW)) WHERE l > 0""")
 def win_time_evict_global(spark, sf):
-    return windows.time_evict(events(spark, sf).select("us", "cents"), HOUR, [], s=F.sum("cents"))
+    return windows.time_evict_sums(events(spark, sf).select("us", "cents"), HOUR, [], s=F.col("cents"))
 
 
 @query(f"""WITH b AS (SELECT user_id, us AS at, false AS evicted, us, cents FROM {EVENTS_SQL} UNION ALL SELECT user_id, us + {DAY}, true, NULL, NULL FROM {EVENTS_SQL})
