@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from riverbed.jobs import live_jobs, registry
 from riverbed.operators import windows
 from riverbed.operators.windows import Last
+from riverbed.streaming import live
+from tests.conftest import SMALL
 from tests.test_live import rows_or_none
 
 ODD = [(1, 5, 7), (1, 5, None), (2, 6, 1), (2, 30, None), (1, 31, -4), (None, 32, 3), (None, 33, 9), (1, None, 8), (1, None, 2), (2, None, None)]
@@ -36,3 +39,42 @@ def test_a_dense_window_sorts_no_more_than_its_entries(spark):
     got = Last(micros=10**9, order_by=("us",)).sums(df, s=F.col("cents"))
     assert [r["s"] for r in got.orderBy("us").collect()] == list(range(1, 1001))
     assert "RangeFrame, -" not in got._jdf.queryExecution().toString()
+
+
+def test_keys_share_calls_of_python(spark, tmp_path):
+    """Two micro-batches of 3,000 keys, a null one and whole numbers that no double holds: a call for each group, not for each key."""
+    big = 2**60
+    df = spark.range(6000).select(F.when(F.col("id") % 3000 != 0, F.col("id") % 3000 + big).alias("k"), F.col("id").alias("us"), (F.col("id") + big).alias("v"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        calls.add(1)
+        n = rows.assign(_n=rows["_n"].fillna(0) if "_n" in rows else 0)
+        n["_n"] = n.groupby("_key")["_n"].transform("max") + n["_new"].groupby(n["_key"]).cumsum()
+        return n.loc[n["_new"], ["k", "us", "v"]].assign(n=n["_n"].astype("int64")), n.groupby("_key").tail(1)
+
+    for i, part in enumerate((df.where("us < 3000"), df.where("us >= 3000"))):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        live.write_batches(live.stateful_many(stream, ["k"], ["us"], seen, "k long, us long, v long, n long"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        assert calls.value <= (i + 1) * live.GROUPS
+    got = spark.read.parquet(f"{tmp_path}/out").select("k", "us", "v", "n")
+    assert same(got, df.withColumn("n", F.floor(F.col("us") / 3000) + 1))
+
+
+def test_micro_batches_grow_not_in_number(spark, monkeypatch):
+    """However many rows there are, the table is cut in so many micro-batches."""
+    asked = []
+    monkeypatch.setattr(live_jobs, "SLICE_ROWS", 10)
+    monkeypatch.setattr(live_jobs, "_slices", lambda spark, raw, n, path, by: asked.append(n) or slices_of(spark, raw, n, path, by))
+    assert live_jobs.stream_panes(spark, SMALL).count() > 0
+    assert asked == [2 * live_jobs.SLICES]
+
+
+def test_a_python_function_gets_many_groups(spark):
+    """udaf_batch calls Python for shares of the groups, not for each."""
+    plan = registry.QUERIES["udaf_batch"](spark, SMALL)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas [_share" in plan
+
+
+slices_of = live_jobs._slices
