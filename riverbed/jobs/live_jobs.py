@@ -100,14 +100,16 @@ def stream_panes(spark, sf):
 
 @query(f"SELECT user_id, us, event_id, max(cents) OVER w - min(cents) OVER w AS spread FROM {EVENTS_SQL} WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)")
 def stream_stateful(spark, sf):
-    """A function of the user's own, which keeps the least and the greatest value of its key."""
+    """A function of the user's own, which keeps the least and the greatest value of its key; it is given many keys at once."""
 
-    def spread(_, rows, state):
-        low, high = state or (rows["cents"].iloc[0],) * 2
-        lows, highs = rows["cents"].cummin().clip(upper=low), rows["cents"].cummax().clip(lower=high)
-        return rows[["user_id", *O]].assign(spread=highs - lows), (int(lows.iloc[-1]), int(highs.iloc[-1]))
+    def spread(rows):
+        values = rows.assign(low=rows["low"].fillna(rows["cents"]), high=rows["high"].fillna(rows["cents"])) if "low" in rows else rows.assign(low=rows["cents"], high=rows["cents"])
+        by = values.groupby("_key")
+        rows = rows.assign(low=by["low"].cummin(), high=by["high"].cummax())
+        out = rows.loc[rows["_new"], ["user_id", *O]].assign(spread=rows["high"] - rows["low"])
+        return out, rows.groupby("_key").tail(1)
 
-    return _written(spark, sf, lambda stream: live.stateful(stream().select("user_id", *O, "cents"), ["user_id"], O, spread, "user_id long, us long, event_id long, spread long", "low long, high long"))
+    return _written(spark, sf, lambda stream: live.stateful_many(stream().select("user_id", *O, "cents"), ["user_id"], O, spread, "user_id long, us long, event_id long, spread long"))
 
 
 @query(f"SELECT user_id, us, event_id, m, n FROM (SELECT user_id, us, event_id, max(cents) OVER w AS m, count(*) OVER w AS n, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS r FROM {EVENTS_SQL} WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS 4 PRECEDING)) WHERE r % 3 = 0")
