@@ -13,6 +13,8 @@ from .registry import query
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
 O = ["us", "event_id"]
+#: About as many rows as one call of a Python function over many groups takes.
+SHARE_ROWS = 50_000
 
 
 @query(f"SELECT event_id, sum(cents) OVER (ORDER BY us, event_id ROWS 24 PRECEDING)::BIGINT AS s FROM {EVENTS_SQL}")
@@ -176,13 +178,18 @@ def delta_filter(spark, sf):
 
 @query(f"SELECT user_id, us // {DAY} AS day, max(cents) - min(cents) AS spread FROM {EVENTS_SQL} GROUP BY 1, 2")
 def udaf_batch(spark, sf):
-    """A Python function over each user's rows of a day."""
+    """A Python function over each user's rows of a day, called for shares of about SHARE_ROWS rows that hold whole groups."""
 
     def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": pdf.user_id.iloc[:1], "day": pdf.day.iloc[:1], "spread": [int(pdf.cents.max() - pdf.cents.min())]})
-
-    e = events(spark, sf).select("user_id", F.floor(F.col("us") / DAY).alias("day"), "cents")
-    return e.groupBy("user_id", "day").applyInPandas(spread, "user_id long, day long, spread long")
+        by = pdf.groupby(["_user", "_none", "day"], dropna=False)["cents"]
+        out = (by.max() - by.min()).rename("spread").reset_index()
+        out["user_id"] = out["_user"].astype("Int64").mask(out["_none"])
+        return out[["user_id", "day", "spread"]].astype({"day": "Int64", "spread": "Int64"})
+
+    e = events(spark, sf).select(F.coalesce("user_id", F.lit(0)).alias("_user"), F.col("user_id").isNull().alias("_none"), F.floor(F.col("us") / DAY).alias("day"), "cents")
+    shares = max(1, -(-e.count() // SHARE_ROWS))
+    share = F.pmod(F.xxhash64("_user", "_none", "day"), F.lit(shares)).alias("_share")
+    return e.select("*", share).groupBy("_share").applyInPandas(spread, "user_id long, day long, spread long")
 
 
 #: A third of all events in one key, and some without a key.
