@@ -175,10 +175,11 @@ def stream_late_panes(spark, sf):
 SELECT (us // {12 * HOUR} + i) * {12 * HOUR} + {12 * HOUR} AS at, user_id, count(*) AS n, sum(coalesce(cents, 0))::BIGINT AS total FROM e, (SELECT unnest([0, 1]) AS i)
 WHERE (us // {12 * HOUR} + i) * {12 * HOUR} + {12 * HOUR} <= (SELECT max(us) // 1000 * 1000 - {HOUR} FROM e) GROUP BY 1, 2""")
 def stream_hop_time(spark, sf):
-    """A live window of 24 hours that emits each 12 hours, by timers of event time."""
+    """A live window of 24 hours that emits each 12 hours of event time; its state is a row for each user and open window."""
     rows = lambda stream: stream().where("user_id is not null").select("user_id", "ts", F.coalesce("cents", F.lit(0)).alias("cents"))
-    make = lambda w: (len(w), int(w["cents"].sum()))
-    return _written(spark, sf, lambda stream: timed.time_window(rows(stream), ["user_id"], "ts", 24 * HOUR, 12 * HOUR, make, "n long, total long", "1 hour"), least=3, provider=timed.PROVIDER)
+    make = lambda stream: live.panes(rows(stream), "ts", "24 hours", "1 hour", ["user_id"], "12 hours", n=F.count(F.lit(1)), total=F.sum("cents"))
+    out = _written(spark, sf, make, least=3, provider=timed.PROVIDER)
+    return out.select((F.col("start_us") + 24 * HOUR).alias("at"), "user_id", "n", "total")
 
 
 @query("""SELECT n, n * n % 1009 AS "value" FROM (SELECT unnest(range(0, (SELECT count(*) FROM events))) AS n) WHERE n % 5 <> 0
