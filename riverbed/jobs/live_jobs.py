@@ -20,6 +20,8 @@ O = ["us", "event_id"]
 
 #: About as many rows as one micro-batch takes; rows of one instant are never parted.
 SLICE_ROWS = 1_000_000
+#: Micro-batches don't become more than twice so many, as each costs what its jobs and its state cost: beyond that they grow.
+SLICES = 3
 
 
 def _slices(spark, raw: DataFrame, n: int, path: str, by: Column) -> None:
@@ -55,7 +57,7 @@ def _written(spark, sf, make: Callable[[Callable[[], DataFrame]], DataFrame], st
     """
     path = shared_folder(spark, "live")
     source, raw = f"{sf}/events.parquet", table(spark, sf, "events")
-    n = max(least, -(-raw.count() // SLICE_ROWS))
+    n = max(least, min(SLICES, -(-raw.count() // SLICE_ROWS)))
     steps = [None]
     if n > 1:
         _slices(spark, raw, 2 * n, f"{path}/slices", F.unix_micros(F.col("ts").cast("timestamp")) if by is None else by)
