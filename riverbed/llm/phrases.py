@@ -16,7 +16,7 @@ from .common import U, cut, mix64, release, table, text_groups
 #: Words of one shard: a block of texts of one language with word ids of its own.
 SHARD_WORDS = 1 << 20
 #: Entries that one task merges at a time, and about so many in one range of quotients.
-MERGE, RANGE = 1 << 22, 1 << 21
+MERGE, RANGE = 1 << 21, 1 << 21
 #: Groups of word hashes in which ids are given, and parts of a language's phrases that are ranked before the whole.
 GROUPS, PARTS = 1 << 10, 64
 #: Bytes that end a piece (fixed values), as one that no UTF-8 text holds; A-Z as a-z.
