@@ -16,6 +16,9 @@ LARGE_KEY = 16
 #: Rounds in which documents of such keys are first compared with one each for two bands that they share, and how many bands must
 #: be equal for that: at a similarity of 0.8 some 10 are, and all but 3 in 100 such pairs have so many. What they miss comes later.
 ROUNDS, EQUAL_BANDS = 3, 6
+#: A further round is made only if the last one linked one in so many of the pairs that it tried: where hardly any are similar
+#: enough, rounds leave as many components as they found.
+WORTH = 10
 #: Documents under one rare shingle that one task compares with others; more are dealt to further tasks.
 MEMBERS = 4096
 #: Counters (of four bytes) that shingles of such documents are hashed to, to tell rare ones, and how many go in one row.
@@ -167,11 +170,11 @@ def rare_shingles(docs: DataFrame, seen: np.ndarray, width: int, percent: int, t
 
 def likely(placed: DataFrame, classes: DataFrame, percent: int, shift: int) -> DataFrame:
     """Pairs (a, b) of different components among the documents of placed (key, rep, n, c), at most one for each document: of the
-    least ones that share a band and the one that comes shift later with it, that with most equal bands, if EQUAL_BANDS are."""
-    who = placed.groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"))
-    held = who.join(classes.select("rep", "bands"), "rep")
-    at = held.select("rep", "n", "c", "bands", F.posexplode("bands").alias("_j", "_k"))
-    at = at.withColumn("_k2", F.get("bands", F.pmod(F.col("_j") + shift, F.lit(BANDS))))
+    least ones that share a band of placed and the one that comes shift later with it, that with most equal bands, if EQUAL_BANDS
+    are. Bands that no longer part components aren't looked at: a document has as many rows as it has bands in placed."""
+    held = placed.join(classes.select("rep", "bands"), "rep")
+    later = F.pmod(F.array_position("bands", F.col("key")).cast("int") - 1 + shift, F.lit(BANDS))
+    at = held.select("rep", "n", "c", "bands", F.col("key").alias("_k"), F.get("bands", later).alias("_k2"))
     pivots = at.groupBy("_k", "_k2").agg(F.min(F.struct("c", "rep", "n", "bands")).alias("_p"), F.max("c").alias("_h")).where("_p.c < _h").drop("_h")
     equal = F.size(F.filter(F.zip_with("bands", "_p.bands", lambda x, y: x == y), lambda x: x))
     fits = 100 * F.least("n", "_p.n") >= percent * F.greatest("n", "_p.n")
@@ -191,7 +194,7 @@ def joined(placed: DataFrame, links: DataFrame) -> DataFrame:
     of = placed.select(F.col("rep").alias("_r"), F.col("c").alias("_c")).distinct()
     edges = links.join(of, F.col("a") == F.col("_r")).select("b", F.col("_c").alias("_a")).join(of, F.col("b") == F.col("_r")).select(F.col("_a").alias("a"), F.col("_c").alias("b"))
     found = components(edges)
-    return still_split(placed.join(found, placed.c == found.id, "left").select("key", "rep", "n", F.coalesce("component", "c").alias("c")))
+    return still_split(cut(placed.join(found, placed.c == found.id, "left").select("key", "rep", "n", F.coalesce("component", "c").alias("c"))))
 
 
 def crowded(placed: DataFrame, docs: DataFrame, width: int, percent: int, text: str = "text") -> DataFrame:
@@ -278,7 +281,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     Documents of equal sets form one class; its least doc_id stands for it. Within the documents of one band key, each
     is compared with the least; pairs of documents that are still in different components after that are compared too,
     so that no link that shares a band is lost if it joins two components (where a key has more than LARGE_KEY documents, rounds
-    of likely pairs come first, so that few components are left): pairs that aren't formed can't be similar
+    of likely pairs come first, as long as they link some, so that few components are left): pairs that aren't formed can't be similar
     enough by their sizes, or by their rarest shingles where a key has more than LARGE_KEY documents. A document without
     words (empty or null text) is linked with nothing, nor is one without an id: its component is its own doc_id, and kept
     is true. An empty table gives no rows; other columns of docs are ignored.
@@ -294,7 +297,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     first = cut(best.select(F.col("rep").alias("a"), (-F.col("m.col2")).alias("b")))
     links = cut(verify(first, docs, width, percent, text))
     found = components(links)
-    placed = near.join(found, near.rep == found.id, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    placed = cut(near.join(found, near.rep == found.id, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c")))
     split = placed.groupBy("key").agg(F.min("c").alias("_l"), F.max("c").alias("_h"), F.count(F.lit(1)).alias("m")).where("_l < _h").select("key", "m")
     placed = cut(placed.join(split, "key"))
     few = placed.where(F.col("m") <= LARGE_KEY).select("key", "rep", "n", "c")
@@ -306,11 +309,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
         if many.isEmpty():
             break
         tries = cut(likely(many, classes, percent, shift).join(tried, ["a", "b"], "left_anti"))
-        if tries.isEmpty():
-            continue
+        formed = tries.count()
+        if not formed:
+            break
         more = cut(verify(tries, docs, width, percent, text))
+        linked = more.count()
         links, tried = links.union(more), tried.union(tries)
-        many = cut(joined(many, more))
+        many = cut(joined(many, more)) if linked else many
+        if WORTH * linked < formed:
+            break
     if not many.isEmpty():
         pairs = pairs.union(crowded(many, docs, width, percent, text))
     pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))

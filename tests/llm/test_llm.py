@@ -488,6 +488,27 @@ def test_minhash_family_forms_few_pairs(spark, monkeypatch):
     assert 1 < len({c for _, c in want.values()}) < n and sum(formed[:-1]) <= 4 * n and sum(formed) < n * n // 4, formed
 
 
+def test_minhash_likely_rows_and_rounds(spark, monkeypatch):
+    """A document has a row for each band that still parts components, not for all; rounds that link nothing end, and nothing is lost."""
+    rng, rows = random.Random(4), []
+    for i in range(60):
+        words = [f"w{j}" for j in range(200)]
+        for j in rng.sample(range(200), 10):
+            words[j] = f"x{i}y{j}"
+        rows.append((i, " ".join(words)))
+    looked, likely = [], minhash.likely
+
+    def seen(placed, classes, *a):
+        found = likely(placed, classes, *a)
+        looked.append("Generate" in found._jdf.queryExecution().optimizedPlan().toString())
+        return found
+
+    monkeypatch.setattr(minhash, "likely", seen)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == near_classes(dict(rows), 4)
+    assert looked == [False], looked  # one round of three
+
+
 def test_minhash_estimates_similarity():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
