@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riverbed.jobs import live_jobs, registry
-from riverbed.operators import windows
+from riverbed.operators import joins, windows
 from riverbed.operators.windows import Last
 from riverbed.streaming import live
 from tests.conftest import SMALL
@@ -71,6 +71,22 @@ def test_micro_batches_grow_not_in_number(spark, monkeypatch):
     assert asked == [2 * live_jobs.SLICES]
 
 
+def test_lists_of_a_window_of_time_are_cut_from_blocks(spark, monkeypatch):
+    """A block's values are put in order once, no frame gathers them anew for each row; as lists and as text, in parts of two rows."""
+    monkeypatch.setattr(joins, "DEALT", 2)
+    times = [-7, -1, 0, 0, 1, 4, 5, 5, 6, 9, 10, 14, 30, None]
+    left = [(k, t, f"{k}{i}") for k in (None, 1, 2) for i, t in enumerate(times)] * 2
+    right = [(k, t, v) for k in (None, 1) for t in times for v in (None, -3, 12)]
+    l, r = spark.createDataFrame(left, "k long, us long, x string"), spark.createDataFrame(right, "k long, us long, v long")
+    held = lambda k, t: [v for _, v in sorted(((u, v) for q, u, v in right if q == k and None not in (u, t) and t - 5 < u <= t), key=lambda p: (p[0], p[1] is not None, p[1] or 0))]
+    got = joins.join_last_time(l, r, 5, ["k"], "v")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((*row, held(*row[:2]))) for row in left)
+    text = joins.join_last_time(l, r, 5, ["k"], "v", text=("é;", "none"))
+    assert sorted(map(str, map(tuple, text.collect()))) == sorted(str((*row, "é;".join("none" if v is None else str(v) for v in held(*row[:2])))) for row in left)
+    for df in (got, text):
+        assert not any("collect_list" in x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x)
+
+
 def test_a_python_function_gets_many_groups(spark):
     """udaf_batch calls Python for shares of the groups, not for each."""
     plan = registry.QUERIES["udaf_batch"](spark, SMALL)._jdf.queryExecution().toString()
