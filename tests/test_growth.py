@@ -1,5 +1,6 @@
 """Steps that once grew faster than their input, against plain forms of them on odd rows."""
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,27 @@ def test_lists_of_a_window_of_time_are_cut_from_blocks(spark, monkeypatch):
         assert not any("collect_list" in x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x)
 
 
+def test_long_lists_of_a_window_of_time_come_first(spark, tmp_path):
+    """A Parquet writer looks at its memory again after as many rows as still fit by the size of those it has. So short rows don't
+    stand before long ones, and a row group stays near its size, though 20,000 keys have a value and one has 400 in each window."""
+    n = 400
+    sides = lambda v: spark.range(20_000).select(F.col("id").alias("k"), F.lit(0).alias("us"), v.alias("v")).union(spark.range(5 * n).select(F.lit(10**6), F.col("id"), v))
+    left, right = sides(F.lit(0)).drop("v"), sides(F.col("id") + 1000)
+    out = {text: joins.join_last_time(left, right, n, ["k"], "v", text=text) for text in (None, (",", "-"))}
+    for text, df in out.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Sort [" not in plan.split("SortMergeJoin")[0]  # rows come from the join as they are
+        sizes, size = {}, F.length("items") + 1 if text else F.size("items")
+        for part, found in df.select(F.spark_partition_id(), size).collect():
+            sizes.setdefault(part, []).append(found.bit_length())
+        assert sizes and all(x == sorted(x, reverse=True) for x in sizes.values())
+    block = 1 << 18
+    out[",", "-"].write.options(**{"parquet.block.size": block, "parquet.enable.dictionary": "false"}).parquet(f"{tmp_path}/out")
+    files = [pq.ParquetFile(f).metadata for f in tmp_path.glob("out/*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 20_000 + 5 * n and max(g.total_byte_size for g in groups) < 1.5 * block
+
+
 def test_a_python_function_gets_many_groups(spark):
     """udaf_batch calls Python for shares of the groups, not for each."""
     plan = registry.QUERIES["udaf_batch"](spark, SMALL)._jdf.queryExecution().toString()
